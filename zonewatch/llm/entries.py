@@ -7,8 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe
-from .common import prepare, table
+from . import bytebpe, langid, toxicity
+from .common import prepare, table, text_crc
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from two thirds of the rows."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    held_out = text_crc(F.col("doc_id")) % 3 == 1
+    model = langid.fit(docs, ~held_out)
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from three quarters of the labels."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    held_out = text_crc(F.col("doc_id")) % 4 == 2
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +44,8 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_toxicity": op2_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
 }
 
