@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, langid, toxicity
+from . import bytebpe, hilbert, langid, packing, toxicity
 from .common import prepare, table, text_crc
 
 
@@ -29,6 +29,18 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 40 shards, counts at most one apart."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "lang", "source",
+                       (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
+                       text_crc(F.col("text")).alias("text_crc32"), F.xxhash64("text").alias("text_hash"))
+    return hilbert.shard(rows, ["lang", "source", "size", "doc_id"], 40, "text_hash", "doc_id").select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document; digests of both."""
     import public_tokenizers as P
@@ -43,10 +55,23 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 2048 tokens."""
+    import public_tokenizers as P
+
+    prepare(spark)
+    cut = packing.pieces(table(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"))
+    cut = cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(cut, "doc_id", "piece").select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
+    "op3_hilbert_shards": op3_hilbert_shards,
     "op5_byte_bpe": op5_byte_bpe,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
