@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, chat, hilbert, langid, linedup, packing, toxicity
+from . import bytebpe, chat, embdedup, hilbert, knn, langid, linedup, packing, toxicity
 from .common import prepare, table, text_crc
 
 
@@ -55,6 +55,13 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors of every fiftieth one."""
+    prepare(spark)
+    found = knn.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation in windows, read back."""
     import public_tokenizers as P
@@ -66,6 +73,12 @@ def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.windows(turns, P.path("byte_bpe_50k.tiktoken"), P.PATTERN))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links at cosine 0.9 and its component."""
+    prepare(spark)
+    return embdedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9).withColumnRenamed("id", "vec_id")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that an earlier one holds."""
     return linedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
@@ -88,7 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_hilbert_shards": op3_hilbert_shards,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_voronoi_knn": op6_voronoi_knn,
     "op7_chat_windows": op7_chat_windows,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
