@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, chat, embdedup, hilbert, knn, langid, linedup, packing, toxicity
+from . import bytebpe, chat, embdedup, hilbert, knn, langid, linedup, lshforest, packing, toxicity
 from .common import prepare, table, text_crc
 
 
@@ -41,6 +41,12 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shingle count and near-duplicate component."""
+    prepare(spark)
+    return lshforest.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document; digests of both."""
     import public_tokenizers as P
@@ -100,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op3_hilbert_shards": op3_hilbert_shards,
+    "op4_minhash_forest": op4_minhash_forest,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_voronoi_knn": op6_voronoi_knn,
     "op7_chat_windows": op7_chat_windows,
