@@ -51,6 +51,15 @@ def hash_fraction(c: Column, seed: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), c), F.lit(1_000_003)) / F.lit(1_000_003.0)
 
 
+def carrying(df: DataFrame, keep: list[str], text_col: str) -> tuple[DataFrame, str, list[Column]]:
+    """For functions over texts that hand other columns on: a frame of k0, k1, ... (the kept columns, under
+    names that clash with nothing) and `text`, the schema of the k columns, and how to name them again."""
+    names = [f"k{i}" for i in range(len(keep))]
+    frame = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)), F.col(text_col).alias("text"))
+    schema = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for c, n in zip(keep, names))
+    return frame, schema, [F.col(n).alias(c) for c, n in zip(keep, names)]
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges: (node, component), component the smallest node.
 

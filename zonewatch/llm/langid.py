@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_fraction
+from .common import carrying, hash_fraction
 
 
 @dataclass
@@ -98,7 +98,7 @@ def _score(shared, keep: list[str]):
     def score(batches):
         model, letters = shared.value, _letters()
         for p in batches:
-            pred, scores, part, ends = ["und"] * len(p), np.zeros(len(p)), [], []
+            pred, scores, part, held = ["und"] * len(p), np.zeros(len(p)), [], 0
 
             def flush():
                 if not part:
@@ -110,15 +110,15 @@ def _score(shared, keep: list[str]):
                     pred[i] = model.langs[best]
                     scores[i] = 1 / np.exp((s - s[best]) / max(1.0, len(b) / model.evidence)).sum()
                 part.clear()
-                ends.clear()
 
             for i, text in enumerate(p["text"]):
                 b = _buckets(text, letters, len(model.weights), model.max_n) if text and model.langs else ()
                 if len(b):
                     part.append((i, b))
-                    ends.append(len(b))
-                if sum(ends) > 1_000_000:
+                    held += len(b)
+                if held > 1_000_000:
                     flush()
+                    held = 0
             flush()
             yield p[keep].assign(lang_pred=pred, score=scores)
     return score
@@ -129,8 +129,6 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """(id, carried columns, lang_pred, score) for every row, from its whole text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [id_col, *(c for c in carry if c != id_col)]
-    inner = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text_col).alias("text"))
-    names = [f"k{i}" for i in range(len(keep))]
-    schema = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = inner.mapInPandas(_score(shared, names), f"{schema}, lang_pred string, score double")
-    return out.select(*(F.col(n).alias(c) for n, c in zip(names, keep)), "lang_pred", "score")
+    frame, schema, names = carrying(docs, keep, text_col)
+    out = frame.mapInPandas(_score(shared, frame.columns[:-1]), f"{schema}, lang_pred string, score double")
+    return out.select(*names, "lang_pred", "score")

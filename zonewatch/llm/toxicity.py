@@ -26,7 +26,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_fraction, save
+from .common import carrying, hash_fraction, save
 
 #: Second-person words in the languages at hand.
 SECOND_PERSON = frozenset(
@@ -113,13 +113,13 @@ def _features(shared, keep: list[str]):
     return features
 
 
-def features(docs: DataFrame, lexicon: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, features): one dense array for each row."""
+def features(docs: DataFrame, lexicon: dict[str, float], id_col: str = "doc_id", text_col: str = "text",
+             carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, carried columns, features): one dense array for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    kind = docs.schema[id_col].dataType.simpleString()
-    return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-            .mapInPandas(_features(shared, ["id"]), f"id {kind}, features array<double>")
-            .withColumnRenamed("id", id_col))
+    frame, schema, names = carrying(docs, [id_col, *(c for c in carry if c != id_col)], text_col)
+    return (frame.mapInPandas(_features(shared, frame.columns[:-1]), f"{schema}, features array<double>")
+            .select(*names, F.col("features").alias("features")))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -158,14 +158,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
-          threshold: float = 0.3) -> DataFrame:
-    """(id, score, predicted) for every row, from its whole text alone."""
+          threshold: float = 0.3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, carried columns, score, predicted) for every row, from its whole text alone."""
+    keep = [id_col, *(c for c in carry if c != id_col)]
     if model.trees is None:
-        return docs.select(id_col, F.lit(model.base).alias("score"), F.lit(int(model.base >= threshold)).alias("predicted"))
-    rows = features(docs, model.lexicon, id_col, text_col).select(F.col(id_col).alias("id"), array_to_vector("features").alias("features"))
-    out = model.trees.transform(rows).select("id", vector_to_array("probability")[1].alias("p"))
+        return docs.select(*keep, F.lit(model.base).alias("score"), F.lit(int(model.base >= threshold)).alias("predicted"))
+    # the models' column names could clash with carried ones, so those travel in one struct
+    rows = features(docs, model.lexicon, id_col, text_col, carry)
+    rows = rows.select(F.struct(*keep).alias("kept"), array_to_vector("features").alias("features"))
+    out = model.trees.transform(rows).select("kept", vector_to_array("probability")[1].alias("p"))
     if model.calibration is not None:
         # between steps the calibrated value can be flat; a hundredth of the margin keeps the order
         out = model.calibration.transform(out).withColumn("p", 0.99 * F.col("prediction") + 0.01 * F.col("p"))
     value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p")))
-    return out.select(F.col("id").alias(id_col), value.alias("score"), (value >= threshold).cast("int").alias("predicted"))
+    return out.select("kept.*", value.alias("score"), (value >= threshold).cast("int").alias("predicted"))
