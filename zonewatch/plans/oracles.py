@@ -133,7 +133,7 @@ m AS (
   SELECT name, e1, 'text', 'A brand''s text anywhere', regexp_extract(name, '(thanedble|orantion|coop)'), NULL, NULL, NULL
   FROM z WHERE e1 IS NOT NULL AND regexp_matches(name, '(thanedble|orantion|coop)')
   UNION ALL
-  SELECT name, e1, 'watch', 'Squats of our brands', label, method, brand, round({_WEIGHT} + 0.1 * r / 0.65, 3)
+  SELECT name, e1, 'watch', 'Squats of our brands', label, method, brand, round(round_even({_WEIGHT} + 0.1 * r / 0.65, 4)::DECIMAL(9, 4), 3)::DOUBLE
   FROM hits JOIN z USING (label, tld) JOIN three USING (label, tld))"""
 
 
@@ -185,7 +185,7 @@ SELECT label, tld, 'tld_variant' AS method, label AS brand, NULL::INTEGER AS dis
     "squat_all": _squat("true"),
     "assess_scores": ZONE + ALL_LABELS + HITS + LEXICAL + f"""
 SELECT s.label, s.tld, count(method) AS n_watchlist, round(any_value(r) / 0.65, 6) AS randomness,
-       round(coalesce(sum({_WEIGHT}) FILTER (WHERE method IS NOT NULL), 0) + 0.1 * any_value(r) / 0.65, 3) AS score, count(method) > 0 AS fires,
+       round(round_even(coalesce(sum({_WEIGHT}) FILTER (WHERE method IS NOT NULL), 0) + 0.1 * any_value(r) / 0.65, 4)::DECIMAL(9, 4), 3)::DOUBLE AS score, count(method) > 0 AS fires,
        count(method) + (any_value(r) > 0)::INTEGER AS n_signals
 FROM s JOIN three USING (label, tld) LEFT JOIN hits USING (label, tld) GROUP BY s.label, s.tld""",
     "rule_regex_events": MATCHES + r"""

@@ -18,6 +18,11 @@ LATER = "2026-01-03 06:00:00"
 TLDS = ["ch", "li"]
 
 
+def _three(c: str):
+    """A score of four places to three, exactly: engines differ in the last place of a sum of doubles."""
+    return F.round(F.col(c).cast("decimal(9,4)"), 3).cast("double").alias(c)
+
+
 def _at(text: str = NOW):
     return F.lit(text).cast("timestamp")
 
@@ -145,7 +150,7 @@ def squat_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def assess_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.assess(wordzone.labels(spark, sf_dir).select("label", "tld"), _watchlist()).select(
-        "label", "tld", "n_watchlist", F.round("randomness", 6).alias("randomness"), F.round("score", 3).alias("score"), "fires",
+        "label", "tld", "n_watchlist", F.round("randomness", 6).alias("randomness"), _three("score"), "fires",
         F.size("signals").alias("n_signals"))
 
 
@@ -173,7 +178,7 @@ def rule_regex_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rule_typo_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.evaluate(_events(spark, sf_dir), [_typo_rule()]).select(
-        "name", "event_type", "rule_name", "matched_value", "method", "brand", F.round("score", 3).alias("score"))
+        "name", "event_type", "rule_name", "matched_value", "method", "brand", _three("score"))
 
 
 def rule_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +196,7 @@ def match_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.ranked(_matches(spark, sf_dir).withColumn("score", F.round("score", 3)), 20).select("rule_name", "place", "name", "method", "brand")
+    return reports.ranked(_matches(spark, sf_dir).withColumn("score", _three("score")), 20).select("rule_name", "place", "name", "method", "brand")
 
 
 def run_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +207,7 @@ def feature_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir)
     return reports.feature_export(events, rules.evaluate(events, _rules())).select(
         "domain", "tld", "event_type", "length", "hyphen_count", "max_consonant_run", "watchlist_fired", "brand_fired", "methods",
-        F.round("max_score", 3).alias("max_score"))
+        _three("max_score"))
 
 
 def status_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
