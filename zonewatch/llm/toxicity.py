@@ -69,46 +69,63 @@ def _term_counts():
     return count
 
 
+class _Words(dict):
+    """What each word met so far says: None, or (weight, whole word 1 / beginning 2 / neither 0, second person)."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        self.lexicon = lexicon
+
+    def __missing__(self, word: str):
+        weight, kind = max(((self.lexicon[t], 2 if t[-1] == "*" else 1) for t in _terms(word) if t in self.lexicon), default=(0.0, 0))
+        you = word in SECOND_PERSON
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = found = (weight, kind, you) if kind or you else None
+        return found
+
+
+def _classes() -> np.ndarray:
+    """Of each code point: letter 1, upper case 2, neither letter, digit nor space 4, look-alike symbol 8."""
+    out = np.zeros(0x20000, np.uint8)
+    for i in range(len(out)):
+        c = chr(i)
+        out[i] = c.isalpha() | c.isupper() << 1 | (not (c.isalnum() or c.isspace())) << 2 | (c in "0123456789@$!*|") << 3
+    return out
+
+
 def _features(shared, keep: list[str]):
     def features(batches):
         import re
 
-        lexicon = shared.value
-        find, odd, repeat = re.compile(_WORD).findall, re.compile(_ODD).findall, re.compile(r"([^\W\d_])\1\1").findall
-        memo: dict[str, tuple[float, int]] = {}
-
-        def weigh(word: str) -> tuple[float, int]:
-            """The weight of the word's strongest term; 1 if it's the whole word, 2 a beginning."""
-            if word not in memo:
-                if len(memo) > 300_000:
-                    memo.clear()
-                memo[word] = max(((lexicon[t], 2 if t[-1] == "*" else 1) for t in _terms(word) if t in lexicon), default=(0.0, 0))
-            return memo[word]
-
+        words_of, odd, of, memo = re.compile(_WORD).findall, re.compile(_ODD).findall, _classes(), _Words(shared.value)
         for p in batches:
             rows = np.zeros((len(p), len(FEATURES)))
             for i, text in enumerate(p["text"]):
                 if not text:
                     continue
-                words = find(text.lower())
-                if not words:
-                    words = []
-                odds = odd(text)
+                codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+                kinds = of[np.minimum(codes, len(of) - 1)]
+                letter = (kinds & 1).astype(bool)
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], kinds & 1, [0]]).astype(np.int8)))
+                upper = np.concatenate([[0], np.cumsum(kinds >> 1 & 1)])
+                runs = edge[1::2] - edge[::2]
+                shouted = (runs > 2) & (upper[edge[1::2]] - upper[edge[::2]] == runs)
+                repeats = letter[2:] & (codes[2:] == codes[1:-1]) & (codes[2:] == codes[:-2])
+                words = words_of(text.lower())
+                odds = odd(text) if ((kinds[1:] & 8).astype(bool) & letter[:-1]).any() else []
                 words += [w.lower().translate(_FOLD) for w in odds]
                 n = max(1, len(words))
-                hits = [(j, w, *weigh(w)) for j, w in enumerate(words) if weigh(w)[1]]
-                you = [j for j, w in enumerate(words) if w in SECOND_PERSON]
-                at = np.array(you)
-                near = sum(1 for j, *_ in hits if len(at) and np.abs(at - j).min() <= 5)
-                raw = find(text)
+                said = [(j, x) for j, x in enumerate([memo[w] for w in words]) if x]
+                hits = [(j, x) for j, x in said if x[1]]
+                you = np.array([j for j, x in said if x[2]])
+                near = sum(1 for j, _ in hits if np.abs(you - j).min() <= 5) if len(you) else 0
                 rows[i] = (
-                    len(hits), 100 * len(hits) / n, len({w for _, w, *_ in hits}),
-                    sum(k == 1 for *_, k in hits), sum(k == 2 for *_, k in hits),
-                    max((v for _, _, v, _ in hits), default=0), sum(v for _, _, v, _ in hits), near,
-                    100 * len(you) / n, 100 * sum(map(str.isupper, text)) / len(text),
-                    100 * sum(len(w) > 2 and w.isupper() for w in raw) / n, 100 * text.count("!") / len(text),
-                    100 * sum(not (c.isalnum() or c.isspace()) for c in text) / len(text),
-                    100 * len(odds) / n, 100 * len(repeat(text)) / n, np.log1p(n))
+                    len(hits), 100 * len(hits) / n, len({words[j] for j, _ in hits}),
+                    sum(x[1] == 1 for _, x in hits), sum(x[1] == 2 for _, x in hits),
+                    max((x[0] for _, x in hits), default=0), sum(x[0] for _, x in hits), near,
+                    100 * len(you) / n, 100 * upper[-1] / len(text), 100 * shouted.sum() / n,
+                    100 * text.count("!") / len(text), 100 * (kinds >> 2 & 1).sum() / len(text),
+                    100 * len(odds) / n, 100 * repeats.sum() / n, np.log1p(n))
             yield p[keep].assign(features=list(rows))
     return features
 
