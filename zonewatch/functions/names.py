@@ -9,11 +9,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_NAME = 253
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _to_ascii(names: pd.Series) -> pd.Series:
     import idna
 
@@ -34,7 +35,7 @@ def _to_ascii(names: pd.Series) -> pd.Series:
     return names.map(whole, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _to_unicode(names: pd.Series) -> pd.Series:
     import idna
 

@@ -78,7 +78,7 @@ def build(labels: DataFrame, order: int = 3) -> tuple[DataFrame, DataFrame]:
 
 
 def sigmoid(z: Column) -> Column:
-    return 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), z))))
+    return F.when(z.isNotNull(), 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), z)))))
 
 
 def likelihood(labels: DataFrame, counts: DataFrame, stats: DataFrame, order: int = 3) -> DataFrame:
