@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import to_task
+
 CHUNK = 32_768
 OVERLAP = 512
 
@@ -74,8 +76,8 @@ def _encode(path: str, pattern: str, text: str, keep: list[str]):
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
            chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(id, ids): the ids of each whole text as little-endian unsigned 32-bit integers in a binary."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    column, kind, own = to_task(docs, id_col)
+    rows = docs.select(column.alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     short = rows.where(F.length("text") <= chunk).mapInPandas(
         _encode(path, pattern, "text", ["id"]), f"id {kind}, ids binary")
 
@@ -111,7 +113,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     whole = (pieces.groupBy("row")
              .agg(F.expr("aggregate(array_sort(collect_list(struct(piece, ids))), X'', (s, x) -> concat(s, x.ids))").alias("ids"))
              .select(F.from_json("row", key)["id"].alias("id"), "ids"))
-    return short.unionByName(whole).withColumnRenamed("id", id_col)
+    return short.unionByName(whole).select(F.col("id").cast(own).alias(id_col), "ids")
 
 
 def _decode(path: str, pattern: str):
@@ -126,7 +128,7 @@ def _decode(path: str, pattern: str):
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
     """(id, ids, decoded): the tokens' raw bytes one after another; null ids count as none."""
-    kind = encoded.schema[id_col].dataType.simpleString()
-    return (encoded.select(F.col(id_col).alias("id"), F.coalesce("ids", F.lit(b"")).alias("ids"))
+    column, kind, own = to_task(encoded, id_col)
+    return (encoded.select(column.alias("id"), F.coalesce("ids", F.lit(b"")).alias("ids"))
             .mapInPandas(_decode(path, pattern), f"id {kind}, ids binary, decoded binary")
-            .withColumnRenamed("id", id_col))
+            .select(F.col("id").cast(own).alias(id_col), "ids", "decoded"))

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import load_encoding
+from .common import to_task
 
 SCHEMA = ("conv_id {}, window int, n_context int, n_turns int, n_tokens long, text string, "
           "loss_start array<long>, loss_end array<long>")
@@ -107,10 +108,12 @@ def _windows(path: str, pattern: str, budget: int, history: int, target: str):
 def windows(turns: DataFrame, path: str, pattern: str, budget: int = 2048, history: int = 256,
             target: str = "assistant") -> DataFrame:
     """(conv_id, window, n_context, n_turns, n_tokens, text, loss_start, loss_end): a row a window."""
-    kind = turns.schema["conv_id"].dataType.simpleString()
+    column, kind, own = to_task(turns, "conv_id")
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return (rows.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text")
-            .mapInPandas(_windows(path, pattern, budget, history, target), SCHEMA.format(kind)))
+            .select(column.alias("conv_id"), "role", "text")
+            .mapInPandas(_windows(path, pattern, budget, history, target), SCHEMA.format(kind))
+            .withColumn("conv_id", F.col("conv_id").cast(own)))
 
 
 def _read_back():
@@ -148,8 +151,9 @@ def _read_back():
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of what formatted windows hold: every turn once, and all text under the loss mask."""
-    kind = formatted.schema["conv_id"].dataType.simpleString()
+    column, kind, own = to_task(formatted, "conv_id")
     return (formatted.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "window")
-            .select("conv_id", "n_context", "text", "loss_start", "loss_end")
+            .select(column.alias("conv_id"), "n_context", "text", "loss_start", "loss_end")
             .mapInPandas(_read_back(), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, "
-                                       "loss_sha256 string, formatted_chars long"))
+                                       "loss_sha256 string, formatted_chars long")
+            .withColumn("conv_id", F.col("conv_id").cast(own)))

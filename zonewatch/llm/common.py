@@ -51,13 +51,23 @@ def hash_fraction(c: Column, seed: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), c), F.lit(1_000_003)) / F.lit(1_000_003.0)
 
 
+INTEGRAL = ("tinyint", "smallint", "int", "bigint")
+
+
+def to_task(df: DataFrame, col: str) -> tuple[Column, str, str]:
+    """(column, its type in the task, its own type): pandas turns whole numbers beside nulls into floats,
+    which can't hold large ids, so they travel as text."""
+    kind = df.schema[col].dataType.simpleString()
+    return (F.col(f"`{col}`").cast("string"), "string", kind) if kind in INTEGRAL else (F.col(f"`{col}`"), kind, kind)
+
+
 def carrying(df: DataFrame, keep: list[str], text_col: str) -> tuple[DataFrame, str, list[Column]]:
     """For functions over texts that hand other columns on: a frame of k0, k1, ... (the kept columns, under
     names that clash with nothing) and `text`, the schema of the k columns, and how to name them again."""
-    names = [f"k{i}" for i in range(len(keep))]
-    frame = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)), F.col(text_col).alias("text"))
-    schema = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for c, n in zip(keep, names))
-    return frame, schema, [F.col(n).alias(c) for c, n in zip(keep, names)]
+    names, sent = [f"k{i}" for i in range(len(keep))], [to_task(df, c) for c in keep]
+    frame = df.select(*(c.alias(n) for (c, _, _), n in zip(sent, names)), F.col(text_col).alias("text"))
+    schema = ", ".join(f"{n} {kind}" for (_, kind, _), n in zip(sent, names))
+    return frame, schema, [F.col(n).cast(kind).alias(c) for c, (_, _, kind), n in zip(keep, sent, names)]
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -48,7 +48,8 @@ def _route(shared):
             q = stack(p["v"], np.int64).astype(float)
             norm, at = np.linalg.norm(q, axis=1)[:, None], q @ pivots.T
             slack = 1e-9 * (1 + norm * np.linalg.norm(pivots, axis=1).max(initial=0) + norm * radius.max(initial=0))
-            low = np.sort((at[:, :, None] - norm[:, :, None] * near).reshape(len(q), -1), axis=1)
+            reached = at[:, :, None] - norm[:, :, None] * np.where(np.isfinite(near), near, 0)
+            low = np.sort(np.where(np.isfinite(near), reached, -np.inf).reshape(len(q), -1), axis=1)
             reach = low[:, -near.shape[2]][:, None] - slack  # k others at least score this much
             rows, cols = np.nonzero(at + norm * radius >= reach)
             yield pd.DataFrame({"id": p["id"].to_numpy()[rows], "cell": cells[cols], "v": p["v"].to_numpy()[rows]})

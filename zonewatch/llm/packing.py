@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, save
+from .common import ranked, save, to_task
 
 CAPACITY = 2048
 
@@ -127,10 +127,10 @@ def _pieces(path: str, capacity: int, separator: int):
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
            capacity: int = CAPACITY, separator: int = 0) -> DataFrame:
     """(id, piece, start, length, ids): each document's ids and a separator, cut every `capacity`."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    column, kind, own = to_task(docs, id_col)
+    return (docs.select(column.alias("id"), F.col(text_col).alias("text"))
             .mapInPandas(_pieces(path, capacity, separator), f"id {kind}, piece int, start long, length long, ids binary")
-            .withColumnRenamed("id", id_col))
+            .select(F.col("id").cast(own).alias(id_col), "piece", "start", "length", "ids"))
 
 
 def fullest(counts: Counter, room: int) -> list[int]:
@@ -208,6 +208,8 @@ def pack(pieces: DataFrame, *order: str, capacity: int = CAPACITY) -> DataFrame:
     if histogram and not 1 <= min(histogram) <= max(histogram) <= capacity:
         raise ValueError(f"lengths from 1 to {capacity} are needed")
     shared = rows.sparkSession.sparkContext.broadcast(plan(histogram, capacity))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return ranked(rows, "length", *order).select(*rows.columns, "rank").mapInPandas(
-        _place(shared), f"{schema}, sequence_id long, offset long")
+    sent = {c: to_task(rows, c) for c in rows.columns if c != "length"}
+    schema = ", ".join(f"`{c}` {kind}" for c, (_, kind, _) in sent.items())
+    placed = ranked(rows, "length", *order).select(*(c.alias(n) for n, (c, _, _) in sent.items()), "length", "rank").mapInPandas(
+        _place(shared), f"{schema}, length long, sequence_id long, offset long")
+    return placed.select(*(F.col(f"`{c}`").cast(sent[c][2]).alias(c) if c in sent else c for c in rows.columns), "sequence_id", "offset")
