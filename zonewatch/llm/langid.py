@@ -6,7 +6,8 @@ log-probabilities (buckets x languages, at most `max_model_bytes`), broadcast to
 score whole batches by gathering the rows of the buckets present and summing them per text.
 
 `fit` learns from a bounded sample: about `per_lang` rows of each language, chosen by a hash of
-the id. Counting is a Spark aggregation; only buckets x languages counts reach the driver.
+the id. A text counts whole but weighs as `text_weight` n-grams at most, so that one very long odd text
+doesn't make up a language. Counting is a Spark aggregation; only buckets x languages counts reach the driver.
 
 A null text, or one without a letter, is `und` with score 0. With nothing to learn from, every
 text is `und`. The score is the prediction's posterior with the evidence scaled to `evidence`
@@ -57,13 +58,14 @@ def _buckets(text: str, letters: np.ndarray, n_buckets: int, max_n: int) -> np.n
     return np.concatenate(out).astype(np.int64)
 
 
-def _count(n_buckets: int, max_n: int):
+def _count(n_buckets: int, max_n: int, text_weight: int):
     def count(batches):
         letters, sums = _letters(), {}
         for p in batches:
             for lang, text in zip(p["lang"], p["text"]):
-                total = sums.setdefault(lang, np.zeros(n_buckets, np.int64))
-                np.add(total, np.bincount(_buckets(text, letters, n_buckets, max_n), minlength=n_buckets), out=total)
+                total = sums.setdefault(lang, np.zeros(n_buckets))
+                found = _buckets(text, letters, n_buckets, max_n)
+                total += np.bincount(found, minlength=n_buckets) * min(1.0, text_weight / max(1, len(found)))
         for lang, total in sums.items():
             at = np.flatnonzero(total)
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": total[at]})
@@ -71,7 +73,7 @@ def _count(n_buckets: int, max_n: int):
 
 
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        per_lang: int = 3000, n_buckets: int = 1 << 15, max_n: int = 3, evidence: int = 60,
+        per_lang: int = 3000, text_weight: int = 2000, n_buckets: int = 1 << 15, max_n: int = 3, evidence: int = 60,
         max_model_bytes: int = 64 << 20) -> Model:
     """Learn from the rows where `learn` holds and text and language are given."""
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
@@ -85,7 +87,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     sample = (rows.join(F.broadcast(sizes), "lang")  # one row a language
               .where(hash_fraction(F.col("id"), "langid") * F.col("count") < per_lang)
               .select("lang", "text"))
-    counts = (sample.mapInPandas(_count(n_buckets, max_n), "lang string, bucket int, n long")
+    counts = (sample.mapInPandas(_count(n_buckets, max_n, text_weight), "lang string, bucket int, n double")
               .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())
     matrix = np.zeros((n_buckets, len(langs)))
     at = {x: i for i, x in enumerate(langs)}
