@@ -14,7 +14,8 @@ def rows(df: pd.DataFrame) -> list[str]:
     def plain(x):
         if x is None or x is pd.NA or x != x:
             return None
-        return round(float(x), 5) if isinstance(x, float) else x.item() if hasattr(x, "item") else x
+        x = x.item() if hasattr(x, "item") else x
+        return round(float(x), 5) if isinstance(x, (int, float)) and not isinstance(x, bool) else x
 
     df = df[sorted(df.columns)]
     return sorted(str([plain(x) for x in r]) for r in df.astype(object).itertuples(index=False, name=None))

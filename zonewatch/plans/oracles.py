@@ -138,7 +138,7 @@ m AS (
 
 
 def _squat(where: str) -> str:
-    return ZONE + ALL_LABELS + HITS + f"\nSELECT label, tld, method, brand, distance FROM hits WHERE {where}"
+    return ZONE + ALL_LABELS + HITS + f"\nSELECT label, tld, method, brand, coalesce(distance, -1) AS distance FROM hits WHERE {where}"
 
 
 ORACLES: dict[str, str] = {
@@ -181,7 +181,7 @@ FROM tot JOIN fit USING (tld)""",
     "squat_combosquat": _squat("method = 'combosquat'"),
     "squat_hyphenation": _squat("method = 'hyphenation'"),
     "squat_tld_variant": ZONE + f"""
-SELECT label, tld, 'tld_variant' AS method, label AS brand, NULL::INTEGER AS distance FROM s WHERE list_contains({_values(BRANDS)}, label) AND tld <> 'li'""",
+SELECT label, tld, 'tld_variant' AS method, label AS brand, -1 AS distance FROM s WHERE list_contains({_values(BRANDS)}, label) AND tld <> 'li'""",
     "squat_all": _squat("true"),
     "assess_scores": ZONE + ALL_LABELS + HITS + LEXICAL + f"""
 SELECT s.label, s.tld, count(method) AS n_watchlist, round(any_value(r) / 0.65, 6) AS randomness,

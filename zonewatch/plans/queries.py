@@ -137,15 +137,20 @@ def _watchlist(methods=watchlist.METHODS) -> watchlist.Watchlist:
     return watchlist.Watchlist.of(wordzone.BRANDS, methods=tuple(methods), home_tlds={b: "li" for b in wordzone.BRANDS})
 
 
+def _distance():
+    """The edit distance, -1 for methods that have none."""
+    return F.coalesce("distance", F.lit(-1)).alias("distance")
+
+
 def _squat(method: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = watchlist.check(wordzone.labels(spark, sf_dir).select("label", "tld"), _watchlist([method]))
-        return found.select("label", "tld", "method", "brand", "distance")
+        return found.select("label", "tld", "method", "brand", _distance())
     return query
 
 
 def squat_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return watchlist.check(wordzone.labels(spark, sf_dir).select("label", "tld"), _watchlist()).select("label", "tld", "method", "brand", "distance")
+    return watchlist.check(wordzone.labels(spark, sf_dir).select("label", "tld"), _watchlist()).select("label", "tld", "method", "brand", _distance())
 
 
 def assess_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
