@@ -190,6 +190,46 @@ def test_crowded_regions(spark):
     assert near(df, whole=8) == components_by_hand(rows)
 
 
+def copies_of_copies(rng, n, edits=3, tag="x"):
+    """Texts of 120 words, each a random earlier one with a few words replaced, at similarity 0.75 or more."""
+    def grams(w):
+        return {tuple(w[k:k + 5]) for k in range(116)}
+
+    texts = [[f"w{rng.randint(0, 10**9)}" for _ in range(120)]]
+    while len(texts) < n:
+        old = rng.choice(texts)
+        words = list(old)
+        for _ in range(rng.randint(1, edits)):
+            words[rng.randrange(120)] = f"{tag}{rng.randint(0, 10**9)}"
+        x, y = grams(old), grams(words)
+        if 100 * len(x & y) >= 75 * len(x | y):
+            texts.append(words)
+    return [" ".join(w) for w in texts]
+
+
+def test_copies_of_copies_by_the_thousand(spark):
+    import random
+
+    rows = list(enumerate(copies_of_copies(random.Random(8), 4000)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert {r.component_id for r in lshforest.near_duplicates(df).collect()} == {0}
+
+
+def test_crowded_regions_of_many_components(spark):
+    import random
+
+    rng = random.Random(9)
+    texts = copies_of_copies(rng, 400)
+    rows = list(enumerate(texts[::2]))  # every other text's link is gone
+    base = texts[0].split()
+    for i in range(200):  # much in common with one another, too little for a link
+        at = rng.randrange(90)
+        rows.append((1000 + i, " ".join(base[:at] + [f"z{rng.randint(0, 10**9)}" for _ in range(26)] + base[at + 26:])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert near(df) == components_by_hand(rows)
+    assert near(df, whole=2) == components_by_hand(rows)
+
+
 def test_near_copies_empty(spark):
     assert near(empty(spark)) == []
 

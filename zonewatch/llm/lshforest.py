@@ -14,8 +14,16 @@ So a class has at most a fixed number of candidates a tree, whatever a region ho
 confirmed on full sets: first the likeliest partner of every class, then every candidate pair that
 still lies in two components and whose signatures agree often enough (at `least` of their values;
 for a pair at the threshold that is almost 4 standard deviations below the mean). Components are
-computed in Spark. Two classes that the links connect end up in one component unless all trees
-miss them: at similarity 0.75 a pair shares a region of one of 32 trees with probability 0.999995.
+computed in Spark.
+
+Crowded regions that still hold more than one component are then settled exactly. Similar sets share
+one of their rarest shingles (so many that the rest of a set is too small for the threshold), so
+classes of two components that share one are compared on full sets: first below the rarer shingles,
+which joins most of a group of copies of copies, then, between the components that are left, below
+all of them. A shingle that only one component holds costs nothing, a common one is cut into blocks.
+Thus two classes that the links connect end up in one component, however large their group, unless
+all trees miss them: at similarity 0.75 a pair shares a region of one of 32 trees with probability
+0.999995.
 
 Null, empty and all-blank texts have no shingles and are linked with nothing. Repeated rows are a
 class like any copies; a null id is never a component's name unless it is alone. An empty table
@@ -36,6 +44,9 @@ TREES, FIRST = 32, 4
 DEPTHS = (4, 8, 16, 32)
 PATH = (4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
 
+#: Classes that share a shingle are compared in blocks of this many; shingles of at most FEW classes come first.
+BLOCK, FEW = 256, 64
+
 #: So many (class, id) rows are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
 
@@ -140,8 +151,9 @@ def _deepen(depths: tuple[int, ...]):
     return deepen
 
 
-def _candidates(forest: DataFrame, classes: DataFrame, whole: int) -> DataFrame:
-    """(a, b), a < b: pairs of classes worth a look, once for each region that proposes them."""
+def _candidates(forest: DataFrame, classes: DataFrame, whole: int) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b), a < b: pairs of classes worth a look, once for each region that proposes them; and the
+    rows of crowded regions, if there are any."""
     sizes = forest.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
     rows = save(forest.join(sizes, "k"), "regions")
 
@@ -152,7 +164,7 @@ def _candidates(forest: DataFrame, classes: DataFrame, whole: int) -> DataFrame:
     pairs = within(rows.where(F.col("n") <= whole))
     crowded = rows.where(F.col("n") > whole)
     if not crowded.limit(1).count():
-        return pairs
+        return pairs, None
     deep = save(crowded.join(classes, "node").select("node", "tree", "sig")
                 .mapInPandas(_deepen(PATH), "node long, keys array<long>"), "crowded")
     names = [f"k{d}" for d in PATH]
@@ -174,7 +186,55 @@ def _candidates(forest: DataFrame, classes: DataFrame, whole: int) -> DataFrame:
     members = save(deep.select("node", at.alias("at")).select("node", "at.*").join(parts, ["depth", "k"]), "members")
     starred = members.where((F.col("n") > whole) & (F.col("node") != F.col("hub"))).select(
         F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    return pairs.unionByName(within(members.where(F.col("n") <= whole))).unionByName(starred)
+    return pairs.unionByName(within(members.where(F.col("n") <= whole))).unionByName(starred), crowded
+
+
+def _unsettled(crowded: DataFrame, found: DataFrame) -> DataFrame:
+    """The classes of crowded regions that hold more than one component."""
+    rows = crowded.select("node", "k").join(found, "node", "left").select("node", "k", F.coalesce("component", "node").alias("c"))
+    mixed = rows.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("k")
+    return save(rows.join(mixed, "k").select("node").distinct(), "unsettled")
+
+
+def _items(batches):
+    for p in batches:
+        for at in range(0, len(p), 32):
+            part = p.iloc[at:at + 32]
+            found = [np.frombuffer(x, np.int64) for x in part["items"]]
+            yield pd.DataFrame({"node": np.repeat(part["node"].to_numpy(), [len(f) for f in found]), "item": np.concatenate(found)})
+
+
+def _rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, size, item, at): of every set the rarest items that a set like it shares one of, and their places in
+    the set by rarity. Items of one set only come first and meet nothing, so they are counted but not returned."""
+    sized = sets.select("node", F.expr("octet_length(items) div 8").alias("size"))
+    items = sets.mapInPandas(_items, "node long, item long")
+    shared = items.groupBy("item").agg(F.count("*").alias("n")).where("n > 1")
+    lists = items.join(shared, "item").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("l"))
+    own = F.expr("size - size(l)")
+    first = F.expr(f"size - ceil({percent} * size / 100D) + 1").cast("int") - own.cast("int")
+    return (lists.join(sized, "node").where(first > 0)
+            .select("node", "size", own.alias("own"), F.posexplode(F.slice("l", F.lit(1), first)).alias("pos", "e"))
+            .select("node", "size", F.col("e.item").alias("item"), (F.col("own") + F.col("pos")).alias("at")))
+
+
+def _across(rarest: DataFrame, found: DataFrame, percent: int, most: int | None = None) -> DataFrame:
+    """(a, b), a < b: classes of two components that share one of their rarest items (that at most `most`
+    classes share) and can be similar by their sizes and the item's places."""
+    rows = rarest.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    held = rows.groupBy("item", "c").agg(F.count("*").alias("n"))
+    mixed = held.groupBy("item").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("c", F.struct("n", "c")).alias("main")).where("n > top")
+    rows = rows.join(mixed if most is None else mixed.where(F.col("n") <= most), "item")
+    # all outside the item's largest component meet all others, in blocks
+    wide, high = (F.ceil(c / BLOCK).cast("long") for c in (F.col("n"), F.col("n") - F.col("top")))
+    block = F.xxhash64("node")
+    some = rows.where("c <> main").select("item", "main", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("size").alias("sa"), F.col("at").alias("ata"),
+                                          F.pmod(block, high).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), wide - 1)).alias("j"))
+    others = rows.select("item", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("size").alias("sb"), F.col("at").alias("atb"),
+                         F.explode(F.sequence(F.lit(0).cast("long"), high - 1)).alias("i"), F.pmod(block, wide).alias("j"))
+    able = F.expr(f"{100 + percent} * least(sa - ata, sb - atb) >= {percent} * (sa + sb) AND 100 * least(sa, sb) >= {percent} * greatest(sa, sb)")
+    return (some.join(others, ["item", "i", "j"]).where("ca <> cb AND (cb = main OR a < b)").where(able)
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def _sets(width: int):
@@ -224,7 +284,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                   "signatures")
     classes = save(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "classes")
     forest = classes.select("node", "sig").mapInPandas(_plant(trees), "node long, tree int, k long")
-    pairs = save(_candidates(forest, classes, whole).groupBy("a", "b").agg(F.count("*").alias("times")), "candidates")
+    proposed, crowded = _candidates(forest, classes, whole)
+    pairs = save(proposed.groupBy("a", "b").agg(F.count("*").alias("times")), "candidates")
 
     needed = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
     wanted = save(needed.join(classes, "node").select("node", F.col("rep").alias("id")), "wanted")
@@ -248,7 +309,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     likely = _with(other, classes, "sig").select("a", "b", "x", "y").mapInPandas(_agree(least), "a long, b long")
     more = confirmed(likely)
     if more.limit(1).count():
-        found = components(links.union(more))
+        links = links.union(more)
+        found = components(links)
+    if crowded is not None:
+        unsettled = _unsettled(crowded, found)
+        if unsettled.limit(1).count():
+            rarest = save(_rarest(sets.join(unsettled, "node").dropDuplicates(["node"]), percent), "rarest")
+            tried = None
+            for most in (FEW, None):
+                met = _across(rarest, found, percent, most)
+                met = save(met if tried is None else met.join(tried, ["a", "b"], "left_anti"), "across")
+                more = confirmed(met)
+                if more.limit(1).count():
+                    links = links.union(more)
+                    found = components(links)
+                tried = met
 
     # a component can hold a third of all rows: its name is found for classes, then joined to rows as a
     # plain join, of which Spark can split the large side
