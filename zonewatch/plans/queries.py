@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import confusables, lexical
+from ..functions import confusables, lexical, names
 from ..operators import diff, ngram, reports, rules, scoring, staging, watchlist
 from ..sources import zonefile
 from ..sources.scratch import new_folder
@@ -31,6 +31,10 @@ def _day(c: str):
     return F.date_format(c, "yyyy-MM-dd").alias(c)
 
 
+def _whole(sf_dir: str) -> bool:
+    return isinstance(sf_dir, wordzone.Whole)
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     state, staged = wordzone.zone(spark, sf_dir)
     return diff.events(diff.classify(state, staged, TLDS), _at(), 1)
@@ -60,8 +64,13 @@ def zone_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def zone_stage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names in capitals with a dot behind, and again between blanks, are one name each."""
     _, staged = wordzone.zone(spark, sf_dir)
-    raw = staged.select(F.explode(F.array(F.concat(F.upper("name"), F.lit(".")), F.concat(F.lit(" \t"), "name", F.lit("  ")))).alias("raw_name"), "tld")
-    return staging.stage(raw, idn=False)
+    if _whole(sf_dir):
+        staged = staged.withColumn("name", names.display(F.col("name")))
+    capitals = F.upper("name")
+    if _whole(sf_dir):  # some letters have capitals that aren't theirs alone; reversed, as Spark reads lower(upper(x)) as lower(x)
+        capitals = F.when(F.lower(F.reverse(capitals)) == F.reverse("name"), capitals).otherwise(F.col("name"))
+    raw = staged.select(F.explode(F.array(F.concat(capitals, F.lit(".")), F.concat(F.lit(" \t"), "name", F.lit("  ")))).alias("raw_name"), "tld")
+    return staging.stage(raw, idn=_whole(sf_dir))
 
 
 def zone_text_ns_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +139,7 @@ def randomness_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def skeleton_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wordzone.labels(spark, sf_dir).select("label", confusables.skeleton(F.col("label"), decode=False).alias("skeleton"))
+    return wordzone.labels(spark, sf_dir).select("label", confusables.skeleton(F.col("label"), decode=_whole(sf_dir)).alias("skeleton"))
 
 
 def _watchlist(methods=watchlist.METHODS) -> watchlist.Watchlist:
@@ -196,7 +205,7 @@ def match_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.by_brand(_matches(spark, sf_dir), idn=False).select(
+    return reports.by_brand(_matches(spark, sf_dir), idn=_whole(sf_dir)).select(
         "brand", "n_matches", "n_domains", F.array_join("domains", ",").alias("domains"), F.array_join("methods", ",").alias("methods"))
 
 
@@ -205,7 +214,7 @@ def match_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.digest(_matches(spark, sf_dir), idn=False)
+    return reports.digest(_matches(spark, sf_dir), idn=_whole(sf_dir))
 
 
 def feature_export(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,3 +251,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         assess_scores, rule_regex_events, rule_typo_events, rule_backfill, match_by_rule, match_by_brand, match_ranked, run_digest,
         feature_export, status_totals, recent_runs, availability_candidates)
 } | {f"squat_{m}": _squat(m) for m in (*watchlist.METHODS, *watchlist.OPTIONAL_METHODS)}
+
+
+def _of_whole(query):
+    return lambda spark, sf_dir: query(spark, wordzone.Whole(sf_dir))
+
+
+def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Today's names as people read them."""
+    _, staged = wordzone.zone(spark, wordzone.Whole(sf_dir))
+    return staged.select("name", names.display(F.col("name")).alias("display"), confusables.is_homograph(F.col("name")).alias("is_homograph"))
+
+
+#: The same on the whole zone, and its names decoded. A-labels can't be said in SQL; plain versions test them.
+WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "whole_display_names": display_names, **{f"whole_{k}": _of_whole(q) for k, q in QUERIES.items()}}

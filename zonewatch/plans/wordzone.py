@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import normalise
+
 #: Words of the documents that serve as brands.
 BRANDS = ("thanedble", "orantion", "thintion", "onbleea", "thshing", "teteber", "hetition", "thatin", "ononst", "coop")
 
@@ -21,12 +23,24 @@ SQUATS = (
     "my-thatin", "ononst-banking", "coop-login", "coop-shop", "tha-nedble", "co-op", "th-at-in", "ornation")
 
 
+#: Squats in other scripts, in the whole zone beside the others.
+IDN_SQUATS = ("thаnedble", "оrantion", "thintiоn", "onblееa", "thshíng", "tétéber", "hetitioñ", "ｔhatin", "ononѕt", "cоор", "straße-coop")
+
+
+class Whole(str):
+    """A folder of tables whose zone is whole: words in all scripts, as A-labels, and pairs at every position.
+
+    On a plain path the zone is what the SQL says: words of a-z and digits, and pairs of every seventh."""
+
+
 def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(label, source): words of 3 to 63 letters a-z and digits, and hyphenated pairs of every seventh."""
+    """(label, source): words of 3 to 63 letters and digits, and hyphenated pairs."""
+    whole = isinstance(sf_dir, Whole)
+    allowed, step = (r"^[\p{L}\p{N}]+$", 1) if whole else ("^[a-z0-9]+$", 7)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", F.coalesce("source", F.lit("")).alias("source"))
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w.rlike("^[a-z0-9]+$") & F.length(w).between(3, 63))
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w.rlike(allowed) & F.length(w).between(3, 63))
     rows = docs.select("source", words.alias("w"))
-    pairs = F.when(F.size("w") >= 2, F.transform(F.sequence(F.lit(1), F.size("w") - 1, F.lit(7)),
+    pairs = F.when(F.size("w") >= 2, F.transform(F.sequence(F.lit(1), F.size("w") - 1, F.lit(step)),
                                                  lambda i: F.concat(F.get("w", i - 1), F.lit("-"), F.get("w", i))))
     return rows.select("source", F.explode(F.concat("w", F.coalesce(pairs, F.array().cast("array<string>")))).alias("label"))
 
@@ -37,8 +51,11 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
              .agg(F.bool_or(F.col("source") != "src9").alias("known"),
                   F.bool_or(~F.col("source").isin("src8", "src9")).alias("in_zone"),
                   F.bool_or(F.col("source") != "src0").alias("staged")))
-    more = spark.createDataFrame([(x,) for x in SQUATS], "label string").select(
-        "label", F.contains(F.col("label"), F.lit("-")).alias("known"), F.contains(F.col("label"), F.lit("-")).alias("in_zone"), F.lit(True).alias("staged"))
+    squats, hyphen = SQUATS, F.contains(F.regexp_replace("label", "^xn--.*", ""), F.lit("-"))
+    if isinstance(sf_dir, Whole):
+        found, squats = found.withColumn("label", normalise(F.col("label"))), SQUATS + IDN_SQUATS
+    more = spark.createDataFrame([(x,) for x in squats], "label string").withColumn("label", normalise(F.col("label"))).select(
+        "label", hyphen.alias("known"), hyphen.alias("in_zone"), F.lit(True).alias("staged"))
     return (found.unionByName(more).groupBy("label")
             .agg(*(F.bool_or(c).alias(c) for c in ("known", "in_zone", "staged")))
             .withColumn("tld", F.when(F.length("label") % 10 == 0, "li").otherwise("ch")))
