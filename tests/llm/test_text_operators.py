@@ -341,3 +341,10 @@ def test_ranks(spark):
 def test_digest_is_of_whole_text(docs):
     rows = linedup.drop_lines(docs.where("doc_id = 111")).select(F.sha2(F.col("kept_text").cast("binary"), 256).alias("h")).first()
     assert rows.h == hashlib.sha256(("x" * 5000 + " " + "word " * 9000).encode()).hexdigest()
+
+
+def test_letters_beyond_two_planes():
+    letters = langid._letters()
+    assert len(langid._buckets("\U00020000\U0002A6D6\U00031350", letters, 1 << 16, 3))
+    assert not len(langid._buckets("\U0003FFFF\U000F0000\U0010FFFF \U0001F600", letters, 1 << 16, 3))
+    assert toxicity._classes()[[0x20000, 0x31350, 0x3FFFF]].tolist() == [1, 1, 4]

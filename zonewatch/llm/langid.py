@@ -36,8 +36,8 @@ class Model:
 
 
 def _letters() -> np.ndarray:
-    """Which code points are letters."""
-    return np.fromiter((chr(i).isalpha() for i in range(0x20000)), bool, 0x20000)
+    """Which code points are letters; those beyond the table aren't, as its last."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x40000)), bool, 0x40000)
 
 
 def _buckets(text: str, letters: np.ndarray, n_buckets: int, max_n: int) -> np.ndarray:

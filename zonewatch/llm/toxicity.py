@@ -85,8 +85,9 @@ class _Words(dict):
 
 
 def _classes() -> np.ndarray:
-    """Of each code point: letter 1, upper case 2, neither letter, digit nor space 4, look-alike symbol 8."""
-    out = np.zeros(0x20000, np.uint8)
+    """Of each code point: letter 1, upper case 2, neither letter, digit nor space 4, look-alike symbol 8.
+    Those beyond the table are as its last."""
+    out = np.zeros(0x40000, np.uint8)
     for i in range(len(out)):
         c = chr(i)
         out[i] = c.isalpha() | c.isupper() << 1 | (not (c.isalnum() or c.isspace())) << 2 | (c in "0123456789@$!*|") << 3
