@@ -1,24 +1,27 @@
 """Sharding along a Hilbert curve.
 
-Several metadata dimensions are quantised to `bits` bits each by approximate quantiles (a string
-counts by its first bytes, which keeps its order), the cells are numbered along a Hilbert curve,
-rows are sorted by that number and the order is cut into runs of equal count. Rows of a shard are
-then close in every dimension at once, so that file statistics prune by any of them.
-
-Within a cell, equal texts lie side by side (by a hash of the text), then rows by id: a cell or a
-group of copies that holds a third of all rows is spread over as many tasks and shards as its size
-takes. Nulls have a cell of their own below all values. Repeated rows each get a place; an empty
-table gives no rows. Columns beside the dimensions, the id and the text are carried as they are.
+Several metadata dimensions are quantised to `bits` bits each by approximate quantiles over all rows
+(a string counts by the rank of its whole value among all distinct ones), the cells are numbered
+along a Hilbert curve, rows are sorted by that number and the order is cut into runs of equal count.
+Rows of a shard are then close in every dimension at once, so that file statistics prune by any of
+them.
+
+Within a cell rows go by the given ties (for documents: a hash of the text, so that equal texts lie
+side by side, then size and id): a cell or a group of copies that holds a third of all rows is spread
+over as many tasks and shards as its size takes. Nulls share the lowest cell of their dimension.
+Repeated rows each get a place; an empty table gives no rows. Columns beside the dimensions and ties
+are carried as they are; those named curve, shard, slot or
+rank are replaced.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, save
+from .common import fresh, hot_keys, lookup, quoted, ranked, save
 
 
 def curve_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -48,30 +51,30 @@ def curve_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    kind = df.schema[name].dataType.simpleString()
-    if kind == "string":  # the first six bytes as a number
-        return F.conv(F.hex(F.rpad(F.substring(F.col(name).cast("binary"), 1, 6), 6, b"\0")), 16, 10).cast("double")
-    return F.col(name).cast("double")
-
-
-def with_curve(df: DataFrame, dimensions: list[str], bits: int = 4) -> DataFrame:
+def with_curve(df: DataFrame, dimensions: list[str], bits: int = 4, accuracy: int = 10_000) -> DataFrame:
     """df with `curve`, its cell's position along the Hilbert curve of the quantised dimensions."""
-    numbers = {d: _number(df, d) for d in dimensions}
+    df = df.drop("curve") if "curve" not in dimensions else df
+    row, numbers = fresh(df, "row"), [fresh(df, f"number{i}") for i in range(len(dimensions))]
+    rows = df.select(F.struct("*").alias(row), *(
+        (quoted(d) if df.schema[d].dataType.simpleString() == "string" else quoted(d).cast("double")).alias(n) for d, n in zip(dimensions, numbers)))
+    for n in numbers:
+        if rows.schema[n].dataType.simpleString() == "string":
+            ranks = ranked(rows.select(n).where(F.col(n).isNotNull()).distinct(), n)
+            rows = lookup(rows, ranks, n, hot_keys(rows, n)).drop(n).withColumnRenamed("rank", n).withColumn(n, F.col(n).cast("double"))
     steps = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = df.agg(*(F.percentile_approx(c, steps, 1000).alias(d) for d, c in numbers.items())).first()
-    cells = [F.coalesce(sum((c >= F.lit(float(cut))).cast("int") for cut in sorted({*(cuts[d] or [0.0])})), F.lit(0))
-             for d, c in numbers.items()]
+    cuts = rows.agg(*(F.percentile_approx(n, steps, accuracy).alias(n) for n in numbers)).first()
+    cells = [F.coalesce(sum((F.col(n) >= F.lit(float(cut))).cast("int") for cut in sorted({*(cuts[n] or [0.0])})), F.lit(0)) for n in numbers]
 
     @F.pandas_udf("long")
     def position(*columns: pd.Series) -> pd.Series:
         return pd.Series(curve_index(np.stack([c.to_numpy() for c in columns]), bits))
 
-    return df.withColumn("curve", position(*cells))
+    return rows.select(f"{row}.*", position(*cells).alias("curve"))
 
 
 def shard(df: DataFrame, dimensions: list[str], n_shards: int, *ties: str, bits: int = 4) -> DataFrame:
     """df with curve, shard (0 to n_shards - 1) and slot (gapless from 0): counts at most one apart."""
+    df = save(df.drop("shard", "slot", "rank"), "unsharded")
     rows = ranked(save(with_curve(df, dimensions, bits), "curve"), "curve", *ties)
     total = max(1, rows.count())
     first = F.expr(f"(shard * {total} + {n_shards - 1}) div {n_shards}")
