@@ -2,19 +2,21 @@
 
 A document's set holds the 64-bit hashes of its distinct 5-word shingles. Equal sets are one class;
 only one signature of each class goes on. Every tree of the forest takes the `trees * first` values
-of the signature in another order; documents that share a tree's first `first` values are a region.
-
-- A region of at most `whole` classes is compared whole.
-- A larger one is looked at more deeply: the common prefix grows step by step until its parts are
-  small enough, so that depth adapts to how crowded a region is. On the way every member also meets
-  the region's hub, the class reached by always following the most frequent next values. In a group
-  of copies with independent edits that is the text they were made from, or one next to it.
-
-So a class has at most a fixed number of candidates a tree, whatever a region holds. Candidates are
-confirmed on full sets: first the likeliest partner of every class, then every candidate pair that
-still lies in two components and whose signatures agree often enough (at `least` of their values;
-for a pair at the threshold that is almost 4 standard deviations below the mean). Components are
-computed in Spark.
+of the signature in another order, and sorts the classes by it; those that share a tree's first
+`first` values are a region, neighbours in its sorted order.
+
+- In a region of at most `whole` classes all are each other's candidates.
+- In a larger one a class's candidates are its `near` neighbours on both sides of the sorted order.
+  Those are the ones with the longest common prefixes, so the depth that a class is looked at adapts
+  to how crowded its surroundings are. Every member also meets the region's hub, the class reached
+  by always following the most frequent next values, and the hubs of its crowded parts further down.
+  In a group of copies with independent edits that is the text they were made from, or one next to it.
+
+So a class has a fixed number of candidates a tree, whatever a region holds. Candidates are
+confirmed on full sets: first the likeliest partner of every class (the most common prefix over all
+trees), then every candidate pair that still lies in two components and whose signatures agree often
+enough (at `least` of their values; for a pair at the threshold that is over 6 standard deviations
+below the mean). Components are computed in Spark.
 
 Crowded regions that still hold more than one component are then settled exactly. Similar sets share
 one of their rarest shingles (so many that the rest of a set is too small for the threshold), so
@@ -26,8 +28,11 @@ all trees miss them: at similarity 0.75 a pair shares a region of one of 32 tree
 0.999995.
 
 Null, empty and all-blank texts have no shingles and are linked with nothing. Repeated rows are a
-class like any copies; a null id is never a component's name unless it is alone. An empty table
-gives no rows; other columns are ignored.
+class like any copies. A row with a null id links like any other and takes its component's name from
+the others; where no row of a component has an id, the name is null and all its rows are kept. An
+empty table gives no rows; other columns are ignored, whatever their names. The id may be any column
+that Spark orders, a struct too. Very long texts are read a piece at a time; memory holds a text's
+word hashes.
 """
 
 from __future__ import annotations
@@ -37,12 +42,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, save, to_task
+from .common import annotate, components, hot_keys, lookup, pieces, ranked, save
 
 TREES, FIRST = 32, 4
-#: Prefix lengths that a crowded region is split by, and those that lead on to its hub.
+#: Prefix lengths at which a crowded region's parts have hubs, and those that lead on to a hub.
 DEPTHS = (4, 8, 16, 32)
 PATH = (4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
+#: Values of a tree's order, behind the region's own, that classes are sorted by; rows sorted at once in a task.
+DEEP, RUN = 32, 4096
 
 #: Classes that share a shingle are compared in blocks of this many; shingles of at most FEW classes come first.
 BLOCK, FEW = 256, 64
@@ -71,17 +78,21 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def shingles(text: str | None, width: int = 5, powers=None) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles: A-Z lower-cased words, `width` at a time."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+def _words(raw: np.ndarray, powers) -> np.ndarray:
+    """A hash of each A-Z lower-cased word."""
     blank = np.concatenate([[True], _BLANK[raw], [True]])
     edge = np.flatnonzero(blank[1:] != blank[:-1])
     starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
-        return np.empty(0, np.uint64)
     up, down = powers if powers is not None and len(powers[0]) > len(raw) else _powers(len(raw))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * up[:len(raw)], dtype=np.uint64)])
-    words = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def shingles(text: str | None, width: int = 5, powers=None, size: int = 1 << 16) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles: A-Z lower-cased words, `width` at a time."""
+    words = np.concatenate([_words(np.frombuffer(p.encode("utf-8", "surrogatepass"), np.uint8), powers) for p in pieces(text or " ", size)])
+    if not len(words):
+        return np.empty(0, np.uint64)
     width = min(width, len(words))
     out = np.full(len(words) - width + 1, width, np.uint64)
     for i in range(width):
@@ -107,16 +118,21 @@ def _set_hash(found: np.ndarray) -> int:
 
 
 def _sign(n: int, width: int):
-    def sign(batches):
-        powers, factors = _powers(1 << 16), _factors(n)
-        for p in batches:
-            rows = []
-            for text in p["text"]:
+    def start():
+        import pyarrow as pa
+
+        powers, factors = _powers(1 << 17), _factors(n)
+
+        def sign(texts):
+            sizes, nodes, sigs = [], [], []
+            for text in texts:
                 found = shingles(text, width, powers)
-                rows.append((len(found), _set_hash(found), signature(found, factors).tobytes()) if len(found) else (0, 0, b""))
-            out = pd.DataFrame(rows, columns=["n_shingles", "node", "sig"])
-            yield pd.concat([p[["id"]].reset_index(drop=True), out], axis=1)
-    return sign
+                sizes.append(len(found))
+                nodes.append(_set_hash(found) if len(found) else None)
+                sigs.append(signature(found, factors).tobytes() if len(found) else None)
+            return pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sigs, pa.binary())
+        return sign
+    return start
 
 
 def _prefixes(sig: np.ndarray, tree: int, depths: tuple[int, ...]) -> np.ndarray:
@@ -139,54 +155,95 @@ def _plant(trees: int):
     return plant
 
 
-def _deepen(depths: tuple[int, ...]):
-    def deepen(batches):
+def _order(whole: int):
+    """Of each class the places to take in its trees' sorted orders; in crowded regions the prefixes that lead to hubs too."""
+    def order(batches):
         for p in batches:
             sig = np.frombuffer(b"".join(p["sig"]), "<u4").reshape(len(p), -1)
-            keys = np.empty((len(p), len(depths)), np.int64)
-            for t in p["tree"].unique():
-                at = np.flatnonzero(p["tree"] == t)
-                keys[at] = _prefixes(sig[at], int(t), depths)
-            yield p[["node"]].assign(keys=list(keys))
-    return deepen
-
-
-def _candidates(forest: DataFrame, classes: DataFrame, whole: int) -> tuple[DataFrame, DataFrame | None]:
-    """(a, b), a < b: pairs of classes worth a look, once for each region that proposes them; and the
-    rows of crowded regions, if there are any."""
-    sizes = forest.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
-    rows = save(forest.join(sizes, "k"), "regions")
-
-    def within(small: DataFrame) -> DataFrame:  # at most `whole` rows of a key
-        other = small.select("k", F.col("node").alias("b"))
-        return small.select("k", F.col("node").alias("a")).join(other, "k").where("a < b").select("a", "b")
-
-    pairs = within(rows.where(F.col("n") <= whole))
-    crowded = rows.where(F.col("n") > whole)
-    if not crowded.limit(1).count():
-        return pairs, None
-    deep = save(crowded.join(classes, "node").select("node", "tree", "sig")
-                .mapInPandas(_deepen(PATH), "node long, keys array<long>"), "crowded")
+            tree, k, n = (np.concatenate(p[c].to_list()) for c in ("tree", "k", "n"))
+            of = np.repeat(np.arange(len(p)), [len(x) for x in p["tree"]])
+            for t in np.unique(tree):
+                at = np.flatnonzero(tree == t)
+                turned = np.roll(sig[of[at]], -t * FIRST, axis=1)[:, FIRST:FIRST + DEEP].astype(">u2")
+                keys, many = [None] * len(at), np.flatnonzero(n[at] > whole)
+                if len(many):
+                    for i, x in zip(many, _prefixes(sig[of[at[many]]], int(t), PATH)):
+                        keys[i] = x
+                yield pd.DataFrame({"k": k[at], "turned": [x.tobytes() for x in turned], "node": p["node"].to_numpy()[of[at]], "n": n[at], "keys": keys})
+    return order
+
+
+def _neighbours(whole: int, near: int):
+    """Pairs of classes side by side in a run of a sorted order, and how long their common prefix is there."""
+    reach = max(whole - 1, near)
+
+    def pairs_of(p):
+        k, node, n, own, run, place = (p[c].to_numpy() for c in ("k", "node", "n", "own", "run", "rank"))
+        turned = np.frombuffer(b"".join(p["turned"]), ">u2").reshape(len(p), -1)
+        for step in range(1, min(reach, len(p) - 1) + 1):
+            # of a pair the later row is in its own run; the earlier may have come from the run before
+            at = np.flatnonzero((k[step:] == k[:-step]) & own[step:] & (run[step:] == run[:-step]) & (place[step:] - place[:-step] == step)
+                                & (step <= np.where(n[step:] <= whole, whole - 1, near)))
+            if len(at):
+                same = turned[at] == turned[at + step]
+                depth = FIRST + np.where(same.all(axis=1), same.shape[1], same.argmin(axis=1))
+                a, b = node[at], node[at + step]
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "depth": depth})
+
+    def neighbours(batches):
+        last = None
+        for p in batches:  # a batch is looked at together with the last rows of the one before
+            q = p if last is None else pd.concat([last.assign(own=False), p], ignore_index=True)
+            yield from pairs_of(q)
+            last = q.iloc[-reach:]
+    return neighbours
+
+
+def _sorted_neighbours(orders: DataFrame, whole: int, near: int) -> DataFrame:
+    """(a, b, depth) of neighbours in the trees' sorted orders. All orders are one range-sorted table, cut
+    into runs of equal length that begin with the last rows of the run before."""
+    reach = max(whole - 1, near)
+    rows = ranked(orders.select("k", "turned", "node", "n"), "k", "turned", "node").withColumn("run", F.expr(f"rank div {RUN}"))
+    again = rows.where(F.col("rank") % RUN >= RUN - reach).withColumn("run", F.col("run") + 1)
+    runs = rows.withColumn("own", F.lit(True)).unionByName(again.withColumn("own", F.lit(False)))
+    return (runs.repartition(F.col("run")).sortWithinPartitions("run", "rank").select("run", "rank", "own", "k", "turned", "node", "n")
+            .mapInPandas(_neighbours(whole, near), "a long, b long, depth int"))
+
+
+def _hubs(crowded: DataFrame, whole: int) -> DataFrame:
+    """(a, b, depth): the members of crowded parts of regions with the part's hub."""
     names = [f"k{d}" for d in PATH]
-    part = (deep.select("node", *(F.get("keys", i).alias(n) for i, n in enumerate(names)))
+    part = (crowded.select("node", *(F.get("keys", i).alias(n) for i, n in enumerate(names)))
             .groupBy(*names).agg(F.count("*").alias("n"), F.min("node").alias("hub")))
     # from the deepest parts upwards: a part's hub is that of its most frequent continuation
-    levels = {}
+    levels = []
     for i in range(len(PATH) - 1, -1, -1):
         if PATH[i] in DEPTHS:
-            part = levels[PATH[i]] = save(part, f"parts-{PATH[i]}")
+            part = save(part, f"parts-{PATH[i]}")
+            levels.append(part.where(F.col("n") > whole).select(F.lit(PATH[i]).alias("depth"), F.col(names[i]).alias("k"), "hub"))
         if i:
             part = part.groupBy(*names[:i]).agg(F.sum("n").alias("n"), F.max_by("hub", F.struct("n", "hub")).alias("hub"))
-    parts = levels[FIRST].select(F.lit(FIRST).alias("depth"), F.col(f"k{FIRST}").alias("k"), "n", "hub", F.lit(None).cast("long").alias("above"))
-    for upper, lower in zip(DEPTHS, DEPTHS[1:]):
-        above = levels[upper].select(f"k{upper}", F.col("n").alias("above"))
-        parts = parts.unionByName(levels[lower].join(above, f"k{upper}").select(
-            F.lit(lower).alias("depth"), F.col(f"k{lower}").alias("k"), "n", "hub", "above").where((F.col("above") > whole) & (F.col("n") > 1)))
-    at = F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), F.get("keys", PATH.index(d)).alias("k")) for d in DEPTHS)))
-    members = save(deep.select("node", at.alias("at")).select("node", "at.*").join(parts, ["depth", "k"]), "members")
-    starred = members.where((F.col("n") > whole) & (F.col("node") != F.col("hub"))).select(
-        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    return pairs.unionByName(within(members.where(F.col("n") <= whole))).unionByName(starred), crowded
+    parts = levels[0]
+    for level in levels[1:]:
+        parts = parts.unionByName(level)
+    at = crowded.select("node", F.explode(F.array(*(F.get("keys", PATH.index(d)) for d in DEPTHS))).alias("k"))
+    return (lookup(at, save(parts, "hubs"), "k", hot_keys(at, "k")).where("node <> hub")
+            .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), "depth"))
+
+
+def _candidates(forest: DataFrame, classes: DataFrame, whole: int, near: int) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b, depth), a < b: pairs of classes worth a look, once for each tree that proposes them; and
+    (node, k) of crowded regions, if there are any."""
+    sizes = forest.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    places = forest.join(sizes, "k").groupBy("node").agg(F.collect_list(F.struct("tree", "k", "n")).alias("l"))  # a tree at most once
+    places = places.select("node", *(F.transform("l", lambda x: x[c]).alias(c) for c in ("tree", "k", "n")))
+    orders = save(places.join(classes.select("node", "sig"), "node").mapInPandas(
+        _order(whole), "k long, turned binary, node long, n long, keys array<long>"), "orders")
+    pairs = _sorted_neighbours(orders, whole, near)
+    crowded = orders.where(F.col("n") > whole)
+    if not crowded.limit(1).count():
+        return pairs, None
+    return pairs.unionByName(_hubs(crowded.select("node", "keys"), whole)), crowded.select("node", "k")
 
 
 def _unsettled(crowded: DataFrame, found: DataFrame) -> DataFrame:
@@ -274,31 +331,31 @@ def _with(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = 5,
-                    trees: int = TREES, whole: int = 16, least: float = 0.6) -> DataFrame:
+                    trees: int = TREES, whole: int = 16, near: int = 4, least: float = 0.5) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row."""
-    column, kind, own = to_task(docs, id_col)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = save(docs.select(column.alias("id"), F.col(text_col).alias("text"))
-                  .mapInPandas(_sign(trees * FIRST, width), f"id {kind}, n_shingles long, node long, sig binary")
-                  .select(F.col("id").cast(own).alias("id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"), "sig"),
-                  "signatures")
-    classes = save(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    signed = save(annotate(texts, ["id", "h"], "text", _sign(trees * FIRST, width), "n_shingles long, node long, sig binary"), "signatures")
+    # a class goes by one of its rows: the smallest id, or where all ids are null the hash of a text
+    classes = save(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.min("h").alias("h"), F.first("sig").alias("sig")), "classes")
     forest = classes.select("node", "sig").mapInPandas(_plant(trees), "node long, tree int, k long")
-    proposed, crowded = _candidates(forest, classes, whole)
-    pairs = save(proposed.groupBy("a", "b").agg(F.count("*").alias("times")), "candidates")
+    proposed, crowded = _candidates(forest, classes, whole, near)
+    pairs = save(proposed.groupBy("a", "b").agg(F.sum("depth").alias("depth")), "candidates")
 
     needed = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
-    wanted = save(needed.join(classes, "node").select("node", F.col("rep").alias("id")), "wanted")
+    wanted = save(needed.join(classes, "node").select("node", F.col("rep").alias("id"), "h"), "wanted")
     few = wanted.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-    # a repeated row gives a set twice, and then a confirmed pair twice, which is one link
-    sets = save(texts.join(F.broadcast(wanted) if few else wanted, "id").select("node", "text")
-                .mapInPandas(_sets(width), "node long, items binary"), "sets")
+    sized = F.broadcast if few else lambda x: x
+    named = texts.join(sized(wanted.where("id IS NOT NULL").select("node", "id")), "id").select("node", "text")
+    unnamed = (texts.where("id IS NULL").join(sized(wanted.where("id IS NULL").select("node", "h")), "h")
+               .groupBy("node").agg(F.first("text").alias("text")))
+    # a repeated id gives a set twice, and then a confirmed pair twice, which is one link
+    sets = save(named.unionByName(unnamed).mapInPandas(_sets(width), "node long, items binary"), "sets")
 
     def confirmed(some: DataFrame) -> DataFrame:
         return save(_with(some, sets, "items").select("a", "b", "x", "y").mapInPandas(_confirm(percent), "a long, b long"), "confirmed")
 
-    ends = pairs.union(pairs.select("b", "a", "times"))
-    best = save(ends.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
+    ends = pairs.union(pairs.select("b", "a", "depth"))
+    best = save(ends.groupBy("a").agg(F.max_by("b", F.struct("depth", "b")).alias("b"))
                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "best")
     links = confirmed(best)
     found = components(links)
@@ -325,12 +382,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     found = components(links)
                 tried = met
 
-    # a component can hold a third of all rows: its name is found for classes, then joined to rows as a
-    # plain join, of which Spark can split the large side
-    component = F.coalesce("component", "node").alias("component")
-    located = classes.select("node", "rep").join(found, "node", "left").select("node", "rep", component)
+    # a component, or one text, can hold a third of all rows
+    located = save(classes.select("node", "rep").join(found, "node", "left")
+                   .select("node", "rep", F.coalesce("component", "node").alias("component")), "located")
     names = located.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = save(located.join(names, "component").select("node", "component_id"), "named")
-    return (signed.select("id", "n_shingles", "node").join(named, "node", "left")
-            .select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
-            .withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))))
+    named = save(lookup(located, names, "component", hot_keys(located, "component")).select("node", "component_id"), "named")
+    return (lookup(signed.select("id", "n_shingles", "node"), named, "node", hot_keys(signed, "node"))
+            .select("id", "n_shingles", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+            .withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull())))
