@@ -4,23 +4,23 @@ A text longer than `chunk` code points is cut into chunks that overlap by `overl
 is pre-tokenised by itself, in parallel. Where two neighbours' pre-token boundaries meet inside
 the overlap they stay together from there on, so that place is a boundary of the whole text. Each
 chunk then encodes the piece between its two meeting places; the pieces' ids, in order, are the
-ids of the whole text. Where no boundary meets (an unbroken run longer than the overlap), that
-chunk and all later ones of the text are joined again and encoded as one piece: exact, only less
-parallel.
+ids of the whole text. Where no boundary meets (an unbroken run longer than the overlap), the two
+chunks become one and are pre-tokenised again, until it meets the next one behind the run: exact,
+and only as much is joined as the run is long.
 
 Null and empty texts give no ids. Repeated rows are encoded each by itself: rows are told apart
-by a row number, never by their id. Other columns of the input are ignored.
+by a row number, never by their id, which may be any column. An empty table gives no rows; other
+columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import to_task
+from .common import annotate, save
 
 CHUNK = 32_768
 OVERLAP = 512
@@ -36,99 +36,107 @@ def load_encoding(path: str, pattern: str):
 
 
 def _cut(chunk: int, overlap: int):
-    def cut(batches):
-        for p in batches:
-            rows = []
-            for row, text in zip(p["row"], p["text"]):
-                n = max(1, -(-len(text) // chunk))
-                rows += [(row, i, n, i * chunk, text[i * chunk:(i + 1) * chunk + overlap]) for i in range(n)]
-            yield pd.DataFrame(rows, columns=["row", "chunk", "n", "start", "text"])
-    return cut
-
-
-def _boundaries(pattern: str, chunk: int, overlap: int):
-    """Pre-token ends inside the overlap with the chunk before (head) and after (tail)."""
-    def scan(batches):
+    def start():
+        import pyarrow as pa
+
+        def cut(texts):
+            found = [(i, k, at, t[at:at + chunk + overlap]) for i, t in enumerate(texts) for k, at in enumerate(range(0, len(t), chunk))]
+            return [pa.array([x[c] for x in found], kind) for c, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.string()))]
+        return cut
+    return start
+
+
+def _boundaries(pattern: str, overlap: int):
+    """Pre-token ends in the first (head) and the last (tail) `overlap` code points of a chunk."""
+    def start():
+        import pyarrow as pa
         import regex
 
         find = regex.compile(pattern).finditer
-        for p in batches:
+
+        def scan(texts):
             heads, tails = [], []
-            for i, n, start, text in zip(p["chunk"], p["n"], p["start"], p["text"]):
+            for text in texts:
                 # a match that touches the end of the chunk may go on in the text
                 ends = [m.end() for m in find(text) if m.end() < len(text)]
-                heads.append([start + e for e in ends if e < overlap] if i else [])
-                tails.append([start + e for e in ends if e >= chunk] if i + 1 < n else [])
-            yield p[["row", "chunk", "n", "start", "text"]].assign(head=heads, tail=tails)
-    return scan
+                heads.append([e for e in ends if e < overlap])
+                tails.append([e for e in ends if e >= len(text) - overlap])
+            return pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))
+        return scan
+    return start
 
 
-def _encode(path: str, pattern: str, text: str, keep: list[str]):
-    def encode(batches):
+def _ids(path: str, pattern: str):
+    def start():
         import numpy as np
+        import pyarrow as pa
 
         enc = load_encoding(path, pattern)
-        for p in batches:
-            yield p[keep].assign(ids=[np.array(enc.encode_ordinary(t), dtype="<u4").tobytes() if t else b"" for t in p[text]])
-    return encode
+        return lambda texts: [pa.array([np.array(enc.encode_ordinary(t), dtype="<u4").tobytes() if t else b"" for t in texts], pa.binary())]
+    return start
+
+
+def _met(cut: DataFrame, pattern: str, overlap: int) -> DataFrame:
+    """The chunks (id, row, chunk, start, body) with `begin`, where each takes over from the one before;
+    chunks that don't meet are joined until all do."""
+    keep = ["id", "row", "chunk", "start", "body"]
+
+    def scan(df: DataFrame) -> DataFrame:
+        return annotate(df, keep, "body", _boundaries(pattern, overlap), "head array<bigint>, tail array<bigint>")
+
+    inside = Window.partitionBy("row").orderBy("chunk")
+    whole = F.expr("transform(tail, e -> e + start)")
+    first = F.array_min(F.array_intersect(F.expr("transform(head, e -> e + start)"), F.lag(whole).over(inside)))
+    chunks = save(scan(cut), "chunks")
+    while True:
+        met = chunks.withColumn("begin", F.when(F.row_number().over(inside) == 1, F.lit(0).cast("long")).otherwise(first))
+        if not met.where("begin IS NULL").limit(1).count():
+            return met
+        part = met.withColumn("part", F.count("begin").over(inside)).withColumn("next", F.lead("start").over(inside))
+        sizes = Window.partitionBy("row", "part")
+        part = part.withColumn("alone", F.count("*").over(sizes) == 1)
+        # all but the last of those joined without what they share with the next
+        of = F.array_sort(F.collect_list(F.struct("chunk", "start", "next", "body")))
+        text = F.expr("array_join(transform(l, (x, i) -> if(i = size(l) - 1, x.body, substring(x.body, 1, int(x.next - x.start)))), '')")
+        joined = part.where("NOT alone").groupBy("row", "part").agg(F.first("id").alias("id"), of.alias("l")).select(
+            "id", "row", F.expr("l[0].chunk").alias("chunk"), F.expr("l[0].start").alias("start"), text.alias("body"))
+        chunks = save(part.where("alone").select(*keep, "head", "tail").unionByName(scan(joined)), "chunks")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
            chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(id, ids): the ids of each whole text as little-endian unsigned 32-bit integers in a binary."""
-    column, kind, own = to_task(docs, id_col)
-    rows = docs.select(column.alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    short = rows.where(F.length("text") <= chunk).mapInPandas(
-        _encode(path, pattern, "text", ["id"]), f"id {kind}, ids binary")
-
-    long = (rows.where(F.length("text") > chunk)
-            .withColumn("row", F.struct("id", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("at"))))
-    key = f"struct<id:{kind},h:bigint,at:bigint>"
-    flat = long.select(F.to_json("row", {"ignoreNullFields": "false"}).alias("row"), "text")
-    cut = flat.mapInPandas(_cut(chunk, overlap), "row string, chunk int, n int, start bigint, text string")
-    cut = cut.repartition(F.col("row"), F.col("chunk"))
-    scanned = cut.mapInPandas(
-        _boundaries(pattern, chunk, overlap),
-        "row string, chunk int, n int, start bigint, text string, head array<bigint>, tail array<bigint>")
-    # a chunk starts where its head first meets the tail of the chunk before
-    w = "PARTITION BY row ORDER BY chunk"
-    met = (scanned
-           .withColumn("begin", F.expr(f"CASE WHEN chunk = 0 THEN 0L ELSE array_min(array_intersect(head, lag(tail) OVER ({w}))) END"))
-           .withColumn("ok", F.expr(f"min(begin IS NOT NULL) OVER ({w} ROWS UNBOUNDED PRECEDING)"))
-           .drop("head", "tail")
-           .withColumn("until", F.expr(f"CASE WHEN lead(ok) OVER ({w}) THEN lead(begin) OVER ({w}) END")))
-    # chunks that never met belong to the last one that did
-    owned = met.withColumn("piece", F.expr(f"max(CASE WHEN ok THEN chunk END) OVER ({w} ROWS UNBOUNDED PRECEDING)"))
-    single = owned.where("ok AND until IS NOT NULL OR ok AND chunk = n - 1").select(
-        "row", "piece", F.expr("substring(text, int(begin - start) + 1, int(coalesce(until - begin, length(text))))").alias("text"))
-    joined = (owned.where("NOT (ok AND until IS NOT NULL OR ok AND chunk = n - 1)")
-              .withColumn("begin", F.when(F.col("ok"), F.col("begin")))
-              .groupBy("row", "piece")
-              .agg(F.expr(f"""array_join(transform(array_sort(collect_list(struct(chunk, n,
-                       CASE WHEN chunk = n - 1 THEN text ELSE substring(text, 1, {chunk}) END AS text))), x -> x.text), '')""").alias("text"),
-                   F.expr("max(begin - start)").alias("skip"))
-              .select("row", "piece", F.expr("substring(text, int(coalesce(skip, 0)) + 1)").alias("text")))
-    pieces = single.unionByName(joined).mapInPandas(
-        _encode(path, pattern, "text", ["row", "piece"]), "row string, piece int, ids binary")
-    whole = (pieces.groupBy("row")
-             .agg(F.expr("aggregate(array_sort(collect_list(struct(piece, ids))), X'', (s, x) -> concat(s, x.ids))").alias("ids"))
-             .select(F.from_json("row", key)["id"].alias("id"), "ids"))
-    return short.unionByName(whole).select(F.col("id").cast(own).alias(id_col), "ids")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    short = annotate(rows.where(F.length("text") <= chunk), ["id"], "text", _ids(path, pattern), "ids binary")
+
+    long = rows.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
+    cut = annotate(long, ["id", "row"], "text", _cut(chunk, overlap), "chunk int, start bigint, body string", many=True)
+    met = _met(cut.repartition(F.col("row"), F.col("chunk")), pattern, overlap)
+    until = F.lead("begin").over(Window.partitionBy("row").orderBy("chunk"))
+    pieces = met.withColumn("until", until).select("id", "row", "chunk", F.expr(
+        "substring(body, int(begin - start) + 1, int(coalesce(until - begin, length(body))))").alias("text"))
+    whole = (annotate(pieces, ["id", "row", "chunk"], "text", _ids(path, pattern), "ids binary")
+             .groupBy("row").agg(F.first("id").alias("id"), F.expr("listagg(ids) WITHIN GROUP (ORDER BY chunk)").alias("ids")).select("id", "ids"))
+    return short.unionByName(whole).withColumnRenamed("id", id_col)
 
 
 def _decode(path: str, pattern: str):
     def decode(batches):
         import numpy as np
-
-        enc = load_encoding(path, pattern)
-        for p in batches:
-            yield p[["id", "ids"]].assign(decoded=[enc.decode_bytes(np.frombuffer(b, "<u4").tolist()) for b in p["ids"]])
+        import pyarrow as pa
+
+        enc, most = load_encoding(path, pattern), 1 << 20
+        for b in batches:
+            out = []
+            for found in b.column("ids"):
+                ids = np.frombuffer(found.as_py(), "<u4")
+                out.append(b"".join(enc.decode_bytes(ids[at:at + most].tolist()) for at in range(0, len(ids), most)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "decoded"])
     return decode
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
     """(id, ids, decoded): the tokens' raw bytes one after another; null ids count as none."""
-    column, kind, own = to_task(encoded, id_col)
-    return (encoded.select(column.alias("id"), F.coalesce("ids", F.lit(b"")).alias("ids"))
-            .mapInPandas(_decode(path, pattern), f"id {kind}, ids binary, decoded binary")
-            .select(F.col("id").cast(own).alias(id_col), "ids", "decoded"))
+    rows = encoded.select(F.col(id_col).alias("id"), F.coalesce("ids", F.lit(b"")).alias("ids"))
+    schema = rows.withColumn("decoded", F.lit(b"")).schema
+    return rows.mapInArrow(_decode(path, pattern), schema).withColumnRenamed("id", id_col)
