@@ -35,8 +35,8 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", "lang", "source",
                        (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
-                       text_crc(F.col("text")).alias("text_crc32"), F.xxhash64("text").alias("text_hash"))
-    return hilbert.shard(rows, ["lang", "source", "size", "doc_id"], 40, "text_hash", "doc_id").select(
+                       text_crc(F.col("text")).alias("text_crc32"))
+    return hilbert.shard(rows, ["lang", "source", "size", "doc_id"], 40, "text_crc32", "size", "doc_id").select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "curve")
 
@@ -88,7 +88,7 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that an earlier one holds."""
     return linedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
-        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+        "row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ input) are broadcast, so that a line found in a third of all documents isn't gat
 
 Null and empty texts are one empty line. Documents with a null doc_id keep all their lines and own
 none. Rows that repeat a doc_id are one document: lines they share stay. An empty table gives no
-rows. Columns beside the id and the text are carried by `drop_lines`.
+rows. Whole rows are carried by `drop_lines` in a struct, so their names clash with nothing. The id may
+be of any type that Spark orders.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, shared_dir
+from .common import save
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -47,7 +48,7 @@ def keyed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 class LineRuns:
-    """The runs of one corpus. Tables are kept in the cluster's shared directory."""
+    """The runs of one corpus, tables in the cluster's shared warehouse until `drop`."""
 
     def __init__(self, spark: SparkSession, fanout: int = 3):
         self.spark, self.fanout, self.levels = spark, fanout, {}
@@ -61,7 +62,7 @@ class LineRuns:
         name = f"line_run_{uuid.uuid4().hex}"
         (keys.select("h1", "h2", "owner").repartition(self.buckets, "h1", "h2")
          .write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
-         .option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name))
+         .saveAsTable(name))
         self.levels.setdefault(level, []).append(name)
         return name
 
@@ -98,30 +99,37 @@ class LineRuns:
             level += 1
 
 
+    def drop(self) -> None:
+        for name in self.runs:
+            self.spark.sql(f"DROP TABLE {name}")
+        self.levels = {}
+
+
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 10,
                batches: int = 4, fanout: int = 3) -> DataFrame:
-    """docs with kept_text, n_lines and n_dropped. Batches are taken in the order of the ids, so that
-    a line stays in the smallest id that holds it."""
+    """(row, kept_text, n_lines, n_dropped): row is the whole row of docs. Batches are taken in the order
+    of the ids, so that a line stays in the smallest id that holds it."""
     spark = docs.sparkSession
     lines = save(keyed_lines(docs, id_col, text_col, min_length), "lines")
-    cuts = lines.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)])).first()[0] or []
+    # any ids can part the batches; these are about evenly spread
+    some = sorted(r[0] for r in lines.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(1000).collect())
+    cuts = [some[len(some) * i // batches] for i in range(1, batches)] if some else []
     low, runs, drops = None, LineRuns(spark, fanout), None
     for high in [*sorted(set(cuts)), None]:
         batch = lines if low is None else lines.where(F.col("id") > low)
         part = runs.add(batch if high is None else batch.where(F.col("id") <= high))
         drops, low = part if drops is None else drops.unionByName(part), high
+    runs.drop()  # what is to be dropped is written
     gone = drops.groupBy("id", "version").agg(F.sort_array(F.collect_list("pos")).alias("gone"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select("*", F.col(id_col).alias("__id"), F.xxhash64(text).alias("__version"))
-    gone = gone.select(F.col("id").alias("__id"), F.col("version").alias("__version"), F.col("gone").alias("__gone"))
-    rows = rows.join(gone, ["__id", "__version"], "left").withColumn("__lines", lines_of(F.col(text_col)))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("version"))
+    rows = rows.join(gone, ["id", "version"], "left").withColumn("lines", lines_of(F.col("text")))
     # one byte a line, 0 where it goes: a lookup that costs the same for the last line as for the first
-    mask = """encode(array_join(transform(__gone, (p, k) ->
-        concat(repeat('1', p - if(k = 0, 0, get(__gone, k - 1) + 1)), '0')), ''), 'UTF-8')"""
-    return (rows.withColumn("__mask", F.expr(f"CASE WHEN __gone IS NOT NULL THEN {mask} END"))
-            .withColumn("kept_text", F.expr(f"""CASE WHEN __gone IS NULL THEN coalesce(`{text_col}`, '') ELSE array_join(
-                filter(__lines, (x, i) -> substring(__mask, i + 1, 1) <> X'30'), '\n') END"""))
-            .withColumn("n_lines", F.size("__lines").cast("long"))
-            .withColumn("n_dropped",
-                        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long"))
-            .drop("__id", "__version", "__gone", "__lines", "__mask"))
+    mask = """encode(array_join(transform(gone, (p, k) ->
+        concat(repeat('1', p - if(k = 0, 0, get(gone, k - 1) + 1)), '0')), ''), 'UTF-8')"""
+    return (rows.withColumn("mask", F.expr(f"CASE WHEN gone IS NOT NULL THEN {mask} END"))
+            .select("row",
+                    F.expr("""CASE WHEN gone IS NULL THEN text ELSE array_join(
+                        filter(lines, (x, i) -> substring(mask, i + 1, 1) <> X'30'), '\n') END""").alias("kept_text"),
+                    F.size("lines").cast("long").alias("n_lines"),
+                    F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped")))

@@ -8,9 +8,11 @@ input): a combination is repeated as often as the counts allow. The plan's segme
 (their number depends on the lengths, not on the pieces) and every piece finds its place from its
 rank in the order of lengths, without a group being gathered anywhere.
 
-`pieces` makes the input: a document's ids, a closing separator id, and cuts every `capacity`
-tokens. Null and empty texts are the separator alone. Repeated rows are packed each by itself;
-an empty table gives no rows; other columns are ignored.
+`pieces` makes the input: a document's ids as the tokenizer's library gives them (special tokens that
+a text spells out are special tokens), a closing separator id, and cuts every `capacity` tokens. Null
+and empty texts are the separator alone. Repeated rows are packed each by itself, ties between equal
+lengths go by the given order; an empty table gives no rows. `pieces` ignores other columns, `pack`
+hands them on, whatever their names. Very long texts are encoded a part at a time.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ranked, save, to_task
+from .common import annotate, quoted, ranked, save
+from .common import pieces as parts_of
 
 CAPACITY = 2048
 
@@ -49,10 +52,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.own.encode_special_tokens = True
         self.memo, self.most = {}, memo
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.special = [t["content"].lower() for t in spec.get("added_tokens") or []]
         self.fast = self._ranks(spec)
 
     def _ranks(self, spec: dict):
@@ -92,45 +95,55 @@ class WordTokenizer:
         for w, a, b in zip(words, ends[:-1].tolist(), ends[1:].tolist()):
             self.memo[w] = data[4 * a:4 * b]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+    def encode(self, texts: list[str], size: int = 1 << 18) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text. White space is dropped, so a long text can be
+        encoded in parts that end before blanks."""
         from unicodedata import is_normalized
 
-        def plain(t: str) -> bool:  # others differ between the two libraries in what is white space or lower case
-            return self.fast is not None and not any(c in t for c in "\x1c\x1d\x1e\x1fΣİ") and is_normalized("NFC", t)
+        def plain(t: str, low: str) -> bool:  # others differ between the two libraries in what is white space or lower case
+            return (self.fast is not None and not any(c in t for c in "\x1c\x1d\x1e\x1fΣİ") and is_normalized("NFC", t)
+                    and not any(x in low for x in self.special))
 
-        words = [t.lower().split() if plain(t) else None for t in texts]
+        parts = [(i, t) for i, text in enumerate(texts) for t in parts_of(text, size)]
+        words = [low.split() if plain(t, low := t.lower()) else None for _, t in parts]
         if len(self.memo) > self.most:
             self.memo.clear()
         new = list(dict.fromkeys(w for x in words if x for w in x if w not in self.memo))
         if new:
             self._learn(new)
-        get = self.memo.__getitem__
-        return [np.array(self.own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if x is None else b"".join(map(get, x))
-                for t, x in zip(texts, words)]
+        get, out = self.memo.__getitem__, [[] for _ in texts]
+        for (i, t), x in zip(parts, words):
+            out[i].append(np.array(self.own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if x is None else b"".join(map(get, x)))
+        return [b"".join(x) for x in out]
 
 
 def _pieces(path: str, capacity: int, separator: int):
-    def pieces(batches):
+    def start():
+        import pyarrow as pa
+
         tokenizer, end = WordTokenizer(path), np.array([separator], "<u4").tobytes()
-        for p in batches:
-            for at in range(0, len(p), 64):
-                q, rows = p.iloc[at:at + 64], []
-                for key, ids in zip(q["id"], tokenizer.encode([t or "" for t in q["text"]])):
-                    ids += end
-                    rows += [(key, k, k * capacity, len(x) // 4, x)
-                             for k, i in enumerate(range(0, len(ids), 4 * capacity)) for x in [ids[i:i + 4 * capacity]]]
-                yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids"])
-    return pieces
+
+        def cut(texts):
+            of, number, ids = [], [], []
+            for at in range(0, len(texts), 64):
+                for i, found in enumerate(tokenizer.encode([t or "" for t in texts[at:at + 64]]), at):
+                    found += end
+                    starts = range(0, len(found), 4 * capacity)
+                    of += [i] * len(starts)
+                    number += range(len(starts))
+                    ids += [found[k:k + 4 * capacity] for k in starts]
+            number = np.array(number, np.int32)
+            return [pa.array(of, pa.int64()), pa.array(number), pa.array(number.astype(np.int64) * capacity),
+                    pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+        return cut
+    return start
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
            capacity: int = CAPACITY, separator: int = 0) -> DataFrame:
     """(id, piece, start, length, ids): each document's ids and a separator, cut every `capacity`."""
-    column, kind, own = to_task(docs, id_col)
-    return (docs.select(column.alias("id"), F.col(text_col).alias("text"))
-            .mapInPandas(_pieces(path, capacity, separator), f"id {kind}, piece int, start long, length long, ids binary")
-            .select(F.col("id").cast(own).alias(id_col), "piece", "start", "length", "ids"))
+    return annotate(docs, [id_col], text_col, _pieces(path, capacity, separator),
+                    "piece int, start long, length long, ids binary", many=True)
 
 
 def fullest(counts: Counter, room: int) -> list[int]:
@@ -190,26 +203,29 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
 
 def _place(shared):
     def place(batches):
+        import pyarrow as pa
+
         p = shared.value
         for b in batches:
-            rank, length = b["rank"].to_numpy(np.int64), b["length"].to_numpy(np.int64)
+            rank, length = b.column("rank").to_numpy(), b.column("length").to_numpy()
             s = np.searchsorted(p.begin, rank, "right") - 1
             k = rank - p.begin[s]
-            yield b.drop(columns="rank").assign(sequence_id=p.sequence[s] + k // p.each[s],
-                                                offset=p.offset[s] + k % p.each[s] * length)
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(p.sequence[s] + k // p.each[s]), pa.array(p.offset[s] + k % p.each[s] * length)],
+                                             names=["row", "sequence", "place"])
     return place
 
 
 def pack(pieces: DataFrame, *order: str, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces with sequence_id and offset. `length` is from 1 to capacity; `order` breaks ties
-    between equal lengths, so that the same pieces always land in the same place."""
+    """The pieces with sequence_id and offset (replacing columns of those names). `length` is from 1 to
+    capacity; `order` breaks ties between equal lengths, so that the same pieces always land in the same place."""
     rows = save(pieces, "pieces")
     histogram = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}  # at most capacity rows
-    if histogram and not 1 <= min(histogram) <= max(histogram) <= capacity:
+    if histogram and (None in histogram or not 1 <= min(histogram) <= max(histogram) <= capacity):
         raise ValueError(f"lengths from 1 to {capacity} are needed")
     shared = rows.sparkSession.sparkContext.broadcast(plan(histogram, capacity))
-    sent = {c: to_task(rows, c) for c in rows.columns if c != "length"}
-    schema = ", ".join(f"`{c}` {kind}" for c, (_, kind, _) in sent.items())
-    placed = ranked(rows, "length", *order).select(*(c.alias(n) for n, (c, _, _) in sent.items()), "length", "rank").mapInPandas(
-        _place(shared), f"{schema}, length long, sequence_id long, offset long")
-    return placed.select(*(F.col(f"`{c}`").cast(sent[c][2]).alias(c) if c in sent else c for c in rows.columns), "sequence_id", "offset")
+    keys = [f"o{i}" for i in range(len(order))]
+    packed = rows.select(F.struct("*").alias("row"), F.col("length").cast("long").alias("length"), *(quoted(c).alias(k) for c, k in zip(order, keys)))
+    placed = ranked(packed, "length", *keys).select("row", "length", "rank")
+    out = placed.mapInArrow(_place(shared), T.StructType([placed.schema["row"], *T.StructType.fromDDL("sequence long, place long").fields]))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in rows.columns if c not in ("sequence_id", "offset")),
+                      F.col("sequence").alias("sequence_id"), F.col("place").alias("offset"))
