@@ -50,12 +50,12 @@ def test_word_tokenizer_equals_the_library(docs):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(WORDS)
-    own.encode_special_tokens = True
     texts = [t or "" for _, t in pairs(docs)] + ["Don't  STOP now ÄÖ é", "a" * 300, "ﬁ ½ 42 x1y2", "\x85next"]
     fast = packing.WordTokenizer(WORDS, memo=50)
     assert fast.fast is not None
-    for _ in range(2):
-        assert [np.frombuffer(b, "<u4").tolist() for b in fast.encode(texts)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert own.encode("<|endoftext|>", add_special_tokens=False).ids == [49407]
+    for size in (1 << 18, 1 << 18, 7):
+        assert [np.frombuffer(b, "<u4").tolist() for b in fast.encode(texts, size)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def first_fit(lengths, capacity):
@@ -129,16 +129,19 @@ def lines_by_hand(rows, least=10):
 @pytest.mark.parametrize("batches,fanout", [(1, 3), (4, 2), (7, 2)])
 def test_lines(docs, batches, fanout):
     out = linedup.drop_lines(docs, batches=batches, fanout=fanout)
-    assert set(out.columns) == {*docs.columns, "kept_text", "n_lines", "n_dropped"}
-    got = sorted(((r.doc_id, r.kept_text, r.n_lines, r.n_dropped) for r in out.collect()), key=key)
+    assert out.select("row.*").columns == docs.columns
+    assert not [t for t in docs.sparkSession.catalog.listTables() if t.name.startswith("line_run_")]
+    got = sorted(((r.row.doc_id, r.kept_text, r.n_lines, r.n_dropped) for r in out.collect()), key=key)
     assert got == lines_by_hand(pairs(docs))
 
 
 def test_lines_of_one_hot_key(spark):
     rows = [(i, f"shared header line\nown line number {i}\nSHARED HEADER LINE ") for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(((r.doc_id, r.kept_text, r.n_lines, r.n_dropped) for r in linedup.drop_lines(df).collect()), key=key)
+    got = sorted(((r.row.doc_id, r.kept_text, r.n_lines, r.n_dropped) for r in linedup.drop_lines(df).collect()), key=key)
     assert got == lines_by_hand(rows)
+    text_ids = df.withColumn("doc_id", F.format_string("d%05d", "doc_id"))
+    assert {(int(r.row.doc_id[1:]), r.kept_text) for r in linedup.drop_lines(text_ids).collect()} == {x[:2] for x in got}
     plan = linedup.keyed_lines(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
     assert linedup.drop_lines(df.limit(0)).count() == 0
@@ -251,15 +254,78 @@ def test_components(spark):
 
 # language and toxicity
 
-def test_language(docs):
-    model = langid.fit(docs, F.lit(True), per_lang=50)
-    rows = langid.predict(docs, model, carry=("lang", "extra")).collect()
-    assert len(rows) == docs.count()
-    for r in rows:
-        assert 0 <= r.score <= 1 and r.extra == "e"
-    known = [r.lang_pred == r.lang for r in rows if r.doc_id is not None and r.doc_id < 60]
+def bayes_by_hand(learned, texts, n_buckets=1 << 15, max_n=3, evidence=60):
+    """(language, score) of each text by naive Bayes over the n-grams of the (language, text) pairs."""
+    import math
+
+    mask = (1 << 64) - 1
+
+    def grams(text):
+        low, out = text.lower(), []
+        if not any(c.isalpha() for c in low):
+            return []
+        for c, after in zip(low, low[1:] + " "):
+            if c.isalpha():
+                out.append(ord(c))
+            elif after.isalpha():
+                out.append(32)
+        out = [32, *out, 32]
+        found = []
+        for n in range(1, max_n + 1):
+            for i in range(len(out) - n + 1):
+                h = 0
+                for c in out[i:i + n]:
+                    h = (h * 0x100000001B3 + c) & mask
+                found.append((((h + n) * 0x9E3779B97F4A7C15 & mask) >> 40) % n_buckets)
+        return found
+
+    langs = sorted({a for a, _ in learned})
+    counts = {a: defaultdict(float) for a in langs}
+    for a, t in set(learned):
+        found = grams(t)
+        for g in found:
+            counts[a][g] += len(found) ** -0.5
+    mass = {a: sum(c.values()) + 0.01 * n_buckets for a, c in counts.items()}
+    out = []
+    for t in texts:
+        g = grams(t or "")
+        if not g or not langs:
+            out.append(("und", 0.0))
+            continue
+        s = [sum(math.log((counts[a].get(x, 0) + 0.01) / mass[a]) for x in g) for a in langs]
+        best = max(s)
+        out.append((langs[s.index(best)], 1 / sum(math.exp((x - best) / max(1.0, len(g) / evidence)) for x in s)))
+    return out
+
+
+def test_language_equals_plain_bayes(docs):
+    model = langid.fit(docs, F.col("doc_id") % 3 != 1, per_lang=10**6)
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    learned = [(a, t) for i, t, a in rows if i is not None and i % 3 != 1 and t is not None and a is not None]
+    want = dict(zip([(i, t) for i, t, _ in rows], bayes_by_hand(learned, [t for _, t, _ in rows])))
+    found = langid.predict(docs.select(F.struct("*").alias("row"), "text"), model, "row").collect()
+    assert len(found) == len(rows)
+    for r in found:
+        lang, score = want[r.row.doc_id, r.row.text]
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-4) and r.row.extra == "e"
+    known = [r.lang_pred == r.row.lang for r in found if r.row.doc_id is not None and r.row.doc_id < 60]
     assert sum(known) / len(known) > 0.9
-    assert {r.lang_pred for r in rows if r.doc_id in (104, 105, 106, 107)} == {"und"}
+    assert {r.lang_pred for r in found if r.row.doc_id in (104, 105, 106, 107)} == {"und"}
+
+
+def test_long_texts_are_read_in_pieces():
+    letters = langid._letters()
+    texts = ["one Two, three--four  five", "12 !", "ab" * 50, " a", "a ", "..a..b..", "\U00020000x 9 ÄÖ"]
+    for text in texts:
+        whole = sorted(np.concatenate([*langid._buckets(text, letters, 1 << 15, 3), np.empty(0, np.int64)]))
+        for size in (1, 2, 3, 5, 8):
+            assert sorted(np.concatenate([*langid._buckets(text, letters, 1 << 15, 3, size), np.empty(0, np.int64)])) == whole
+    from zonewatch.llm.common import pieces
+    text = " ".join(texts) * 3
+    for size in (1, 7, 50):
+        assert "".join(pieces(text, size)) == text
+        assert (lshforest.shingles(text, size=size) == lshforest.shingles(text)).all()
+    assert list(pieces("", 5)) == [""]
 
 
 def test_language_without_rows(spark, docs):
@@ -269,7 +335,8 @@ def test_language_without_rows(spark, docs):
 
 
 def test_model_size_is_bounded(docs):
-    assert langid.fit(docs, F.lit(True), max_model_bytes=8192).weights.nbytes <= 8192
+    with pytest.raises(ValueError):
+        langid.fit(docs, F.lit(True), max_model_bytes=8192)
 
 
 def test_toxicity(spark):
@@ -345,6 +412,6 @@ def test_digest_is_of_whole_text(docs):
 
 def test_letters_beyond_two_planes():
     letters = langid._letters()
-    assert len(langid._buckets("\U00020000\U0002A6D6\U00031350", letters, 1 << 16, 3))
-    assert not len(langid._buckets("\U0003FFFF\U000F0000\U0010FFFF \U0001F600", letters, 1 << 16, 3))
+    assert list(langid._buckets("\U00020000\U0002A6D6\U00031350", letters, 1 << 16, 3))
+    assert not list(langid._buckets("\U0003FFFF\U000F0000\U0010FFFF \U0001F600", letters, 1 << 16, 3))
     assert toxicity._classes()[[0x20000, 0x31350, 0x3FFFF]].tolist() == [1, 1, 4]
