@@ -11,40 +11,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonewatch.llm import langid, linedup, lshforest, packing, toxicity
-from zonewatch.llm.common import prepare, save, table, text_crc
+from zonewatch.llm.common import fresh, prepare, save, table, text_crc
+
+
+def _whole_rows(docs: DataFrame) -> DataFrame:
+    """(row, text): operators hand the whole row on as their id, so no column of it can clash with theirs."""
+    return docs.select(F.struct("*").alias("row"), "text")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents more likely toxic than not go."""
+    """Documents more likely toxic than not go. Null and empty texts have no toxic feature and stay;
+    rows that repeat are judged alike; without labels of both kinds all are judged by the share of toxic ones."""
     prepare(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), text_crc(F.col("doc_id")) % 4 != 2)
-    scored = toxicity.score(docs, model, threshold=0.5, carry=tuple(docs.columns))
-    return scored.where("predicted = 0").select(*docs.columns)
+    return toxicity.score(_whole_rows(docs), model, "row", threshold=0.5).where("predicted = 0").select("row.*")
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go, and those that no learned language fits much better than the others."""
+    """Documents without a letter (null and empty ones too) go, and those that no learned language fits
+    much better than the others. Rows that repeat are judged alike; with no language to learn all go."""
     prepare(spark)
     model = langid.fit(docs, text_crc(F.col("doc_id")) % 3 != 1)
-    found = langid.predict(docs, model, carry=tuple(docs.columns))
-    return found.where("lang_pred <> 'und' AND score >= 0.4").select(*docs.columns)
+    return langid.predict(_whole_rows(docs), model, "row").where("lang_pred <> 'und' AND score >= 0.4").select("row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document holds go; all documents stay."""
+    """Lines that an earlier document holds go; all documents stay. A null text becomes empty; rows of
+    one doc_id are one document; one without a doc_id keeps its lines. n_chars, where there is one,
+    is counted anew."""
     kept = linedup.drop_lines(docs)
-    return kept.withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}).select(*docs.columns)
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return kept.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate component stays."""
+    """One row of each near-duplicate component stays: the smallest doc_id's, of several such rows one,
+    one without a doc_id only where no row has one. Texts without a word, null or empty, all stay."""
     prepare(spark)
-    kept = lshforest.near_duplicates(docs).where("kept").select(F.col("id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    number = fresh(docs, "row_number")
+    rows = save(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col(number).alias("number"))
+    kept = lshforest.near_duplicates(rows.select(key.alias("key"), "text"), "key").where("kept").select(F.col("id.number").alias(number))
+    return rows.join(kept, number, "left_semi").drop(number)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document and its place in a sequence of 2048 tokens."""
+    """Every piece of every document and its place in a sequence of 2048 tokens. A null or empty text is
+    its closing id alone; rows that repeat are packed each by itself. No documents give no rows."""
     import public_tokenizers as P
 
     prepare(spark)
