@@ -1,16 +1,18 @@
 """Embedding near-dedup: PCA-ordered tiled comparison, exact.
 
-Equal vectors are one class first, so that copies cost nothing below. Unit vectors are rotated to
-their principal axes and sorted by the first; blocks of `block` rows of that order meet in tiles,
-and two blocks whose ranges on the first axis are too far apart for the threshold never meet. In a
-tile the products of the leading dimensions come first. What the rest can add is at most the
-product of the two suffix norms; a pair that can't reach the threshold any more is out, and only
-the others go on to the next dimensions. A tile returns a row a vector: its links there, and the
-smallest id of its component there. Pairs are never written out.
+Equal vectors are one class first, so that copies cost nothing below. Classes are sorted by their unit
+vectors' part along the first principal axis; blocks of at least `block` rows of that order (and at
+most MAX_BLOCKS blocks, whatever the input) meet in tiles, and two blocks whose ranges on that axis
+are too far apart for the threshold never meet. A tile gets vectors as they came (floats stay floats)
+and turns them to the principal axes itself. The products of the leading dimensions come first. What
+the rest can add is at most the product of the two suffix norms; a pair that can't reach the threshold
+any more is out, and only the others go on to the next dimensions. What is left is decided by the
+cosine of the original vectors in double precision. A tile returns a row a vector: its links there,
+and the smallest id of its component there. Pairs are never written out.
 
 A vector that is null, zero, holds a null or non-finite component, has a null id, or has another
 length than most links with nothing and is kept. Rows that repeat an id are one node with the links
-of each. An empty table gives no rows; other columns are ignored.
+of each. An empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,31 +21,52 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import components, ranked, save
 from .vectors import stack, valid
 
 
+#: Blocks at most, so a bounded table of them is broadcast and a vector is sent to a bounded number of tiles.
+MAX_BLOCKS = 20_000
+
+
+def _rows(column) -> np.ndarray:
+    """An Arrow column of equally long lists as a matrix."""
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    x = x.astype(float)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _moments(batches):
+    import pyarrow as pa
+
     total = None
-    for p in batches:
-        x = np.array(p["v"].tolist(), float)
-        x /= np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) * np.abs(x).max(axis=1, keepdims=True)
-        total = x.T @ x if total is None else total + x.T @ x
+    for b in batches:
+        if b.num_rows:
+            u = _units(_rows(b.column("v")))
+            total = u.T @ u if total is None else total + u.T @ u
     if total is not None:
         i, j = np.indices(total.shape)
-        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s": total.ravel()})
+        yield pa.RecordBatch.from_arrays([pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(total.ravel())], names=["i", "j", "s"])
 
 
-def _rotate(shared):
-    def rotate(batches):
-        axes = shared.value
-        for p in batches:
-            x = np.array(p["v"].tolist(), float)
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            y = x / np.linalg.norm(x, axis=1, keepdims=True) @ axes
-            yield pd.DataFrame({"rep": p["rep"], "weight": p["weight"], "first": y[:, 0], "y": [r.tobytes() for r in y]})
-    return rotate
+def _along(shared):
+    def along(batches):
+        import pyarrow as pa
+
+        axis = shared.value[:, 0]
+        for b in batches:
+            if b.num_rows:
+                x = _rows(b.column("v"))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("rep"), b.column("weight"), pa.array(_units(x) @ axis), pa.array([r.tobytes() for r in x], pa.binary())],
+                    names=["rep", "weight", "first", "x"])
+    return along
 
 
 def local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -61,41 +84,52 @@ def local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _linked(a: np.ndarray, b: np.ndarray, threshold: float, steps: list[int], sa: list[np.ndarray], sb: list[np.ndarray]):
-    """Indices of the pairs of rows whose product reaches the threshold."""
-    slack = 1e-9
-    sums = a[:, :steps[0]] @ b[:, :steps[0]].T
-    r, c = np.nonzero(sums + np.outer(sa[0], sb[0]) >= threshold - slack)
-    if len(r) > len(a) * len(b) // 8:  # most remain: the whole product is cheaper
-        r, c = np.nonzero(a @ b.T >= threshold)
-        return r, c
-    s = sums[r, c]
-    for i, (low, high) in enumerate(zip(steps, [*steps[1:], a.shape[1]])):
-        s = s + np.einsum("ij,ij->i", a[r, low:high], b[c, low:high])
-        if high < a.shape[1]:
-            keep = s + sa[i + 1][r] * sb[i + 1][c] >= threshold - slack
-        else:
-            keep = s >= threshold
-        r, c, s = r[keep], c[keep], s[keep]
-    return r, c
-
-
-def _tile(threshold: float, size: int = 1024):
+class _Side:
+    """Vectors of one side of a tile: the originals, unit vectors on the principal axes, suffix norms."""
+
+    def __init__(self, x: np.ndarray, axes: np.ndarray, steps: list[int]):
+        self.x = _units(x)
+        self.y = self.x @ axes
+        self.lead = self.y[:, :steps[0]].astype(np.float32)
+        self.tails = [np.sqrt((self.y[:, k:] ** 2).sum(axis=1)) for k in steps]
+
+
+def _linked(a: _Side, ai: np.ndarray, b: _Side, bi: np.ndarray, threshold: float, steps: list[int]):
+    """Places in ai and bi of the pairs of rows whose cosine reaches the threshold."""
+    rough, slack = 1e-5, 1e-9  # of single and of double precision
+    sums = a.lead[ai] @ b.lead[bi].T
+    r, c = np.nonzero(sums + np.outer(a.tails[0][ai], b.tails[0][bi]).astype(np.float32) >= threshold - rough)
+    if len(r) > sums.size // 8:  # most remain: the whole product is cheaper
+        whole = a.y[ai] @ b.y[bi].T
+        r, c = np.nonzero(whole >= threshold - slack)
+        sure = whole[r, c] > threshold + slack
+    else:
+        s = np.zeros(len(r))
+        for i, (low, high) in enumerate(zip([0, *steps[:-1]], steps)):
+            s = s + np.einsum("ij,ij->i", a.y[ai[r], low:high], b.y[bi[c], low:high])
+            keep = s + a.tails[i][ai[r]] * b.tails[i][bi[c]] >= threshold - slack
+            r, c, s = r[keep], c[keep], s[keep]
+        sure = np.zeros(len(r), bool)
+    check = np.flatnonzero(~sure)
+    sure[check] = np.einsum("ij,ij->i", a.x[ai[r[check]]], b.x[bi[c[check]]]) >= threshold
+    return r[sure], c[sure]
+
+
+def _tile(threshold: float, shared, kind, size: int = 1024):
     def tile(p: pd.DataFrame) -> pd.DataFrame:
+        axes = shared.value
         p = p.sort_values(["rep", "side"]).reset_index(drop=True)
         same = p["i"].iloc[0] == p["j"].iloc[0]
-        y, side = stack(p["y"], float), p["side"].to_numpy()
-        weight, n, d = p["weight"].to_numpy(), len(p), y.shape[1]
+        side, weight, n, d = p["side"].to_numpy(), p["weight"].to_numpy(), len(p), len(axes)
         steps = sorted({min(d, max(4, d // 4)), min(d, max(4, d // 2))})
-        steps = [x for x in steps if x < d] or [d]
-        tails = [np.sqrt((y[:, x:] ** 2).sum(axis=1)) for x in steps]
+        rows = _Side(stack(p["x"], kind), axes, steps)
         left = np.flatnonzero(side == 0)
         right = left if same else np.flatnonzero(side == 1)
         links, ea, eb = np.zeros(n, np.int64), [], []
         for u in range(0, len(left), size):
             for v in range(u if same else 0, len(right), size):
                 x, z = left[u:u + size], right[v:v + size]
-                r, c = _linked(y[x], y[z], threshold, steps, [t[x] for t in tails], [t[z] for t in tails])
+                r, c = _linked(rows, x, rows, z, threshold, steps)
                 r, c = x[r], z[c]
                 if same and u == v:
                     apart = r != c
@@ -116,13 +150,13 @@ def _tile(threshold: float, size: int = 1024):
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding",
-                    block: int = 4096) -> DataFrame:
+                    block: int = 8192) -> DataFrame:
     """(id, n_links, component_id, kept) for every row: links are cosines of at least `threshold`."""
     spark = df.sparkSession
-    kind = df.schema[id_col].dataType.simpleString()
+    id_type = df.schema[id_col].dataType
     rows = save(valid(df, id_col, vec_col).where(F.exists("v", lambda x: x != 0)), "vectors")
     classes = save(rows.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("weight")), "classes")
-    moments = classes.mapInPandas(_moments, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
+    moments = classes.select("v").mapInArrow(_moments, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
     if not moments:
         return df.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("n_links"),
                          F.col(id_col).alias("component_id"), F.lit(True).alias("kept"))
@@ -130,23 +164,26 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
     matrix = np.zeros((d, d))
     for r in moments:  # length x length numbers
         matrix[r["i"], r["j"]] = r["s"]
-    axes = np.linalg.eigh((matrix + matrix.T) / 2)[1][:, ::-1].copy()
-    turned = classes.mapInPandas(_rotate(spark.sparkContext.broadcast(axes)), f"rep {kind}, weight long, first double, y binary")
-    blocked = ranked(save(turned, "rotated"), "first", "rep").withColumn("i", F.expr(f"int(rank div {block})"))
+    axes = spark.sparkContext.broadcast(np.linalg.eigh((matrix + matrix.T) / 2)[1][:, ::-1].copy())
+    turned = classes.mapInArrow(_along(axes), T.StructType([T.StructField("rep", id_type), *T.StructType.fromDDL("weight long, first double, x binary").fields]))
+    block = max(block, -(-classes.count() // MAX_BLOCKS))
+    blocked = ranked(save(turned, "turned"), "first", "rep").withColumn("i", F.expr(f"int(rank div {block})"))
     # a block's rows lie between two angles on the first axis; further than arccos(threshold) apart nothing links
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("first"))))
-    span = {r["i"]: (r["low"], r["high"]) for r in blocked.groupBy("i").agg(F.min(angle).alias("low"), F.max(angle).alias("high")).collect()}
-    far, names = float(np.arccos(threshold)) + 1e-6, sorted(span)
-    lows = np.array([span[i][0] for i in names])
-    # angles fall as the rank grows, so the blocks that block i meets are i .. last[i]
-    last = [int(np.searchsorted(-np.array([span[j][1] for j in names]), -(lows[n] - far), "right")) - 1 for n in range(len(names))]
-    reach = spark.createDataFrame([(i, max(n, last[n]), next(m for m in range(n + 1) if last[m] >= n or m == n)) for n, i in enumerate(names)],
-                                  "i int, last int, since int")  # a row a block
-    spread = blocked.join(F.broadcast(reach), "i")
-    left = spread.select(F.col("i"), F.explode(F.expr("sequence(i, last)")).alias("j"), F.lit(0).alias("side"), "rep", "weight", "y")
+    spans = sorted((r["i"], r["low"], r["high"]) for r in blocked.groupBy("i").agg(F.min(angle).alias("low"), F.max(angle).alias("high")).collect())
+    names, low, high = (np.array(x) for x in zip(*spans))
+    # angles fall as the rank grows, so block i meets the blocks i .. last, and is met by since .. i
+    last = np.maximum.accumulate(np.searchsorted(-high, -(low - float(np.arccos(threshold)) - 1e-6), "right") - 1)
+    last = np.maximum(last, np.arange(len(names)))
+    since = np.minimum(np.searchsorted(last, np.arange(len(names))), np.arange(len(names)))
+    reach = spark.createDataFrame([(int(i), int(x), int(y)) for i, x, y in zip(names, last, since)], "i int, last int, since int")
+    spread = blocked.join(F.broadcast(reach), "i")  # a row a block
+    left = spread.select(F.col("i"), F.explode(F.expr("sequence(i, last)")).alias("j"), F.lit(0).alias("side"), "rep", "weight", "x")
     right = spread.where("since < i").select(F.explode(F.expr("sequence(since, i - 1)")).alias("i"), F.col("i").alias("j"),
-                                             F.lit(1).alias("side"), "rep", "weight", "y")
-    found = save(left.unionByName(right).groupBy("i", "j").applyInPandas(_tile(threshold), f"id {kind}, links long, label {kind}"), "links")
+                                             F.lit(1).alias("side"), "rep", "weight", "x")
+    out = T.StructType([T.StructField("id", id_type), T.StructField("links", T.LongType()), T.StructField("label", id_type)])
+    dtype = "<f4" if classes.schema["v"].dataType.simpleString() == "array<float>" else "<f8"
+    found = save(left.unionByName(right).groupBy("i", "j").applyInPandas(_tile(threshold, axes, dtype), out), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     groups = components(found.where("id <> label"), "id", "label")
     per_class = (classes.select("v", "rep", "weight")

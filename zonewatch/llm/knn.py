@@ -81,7 +81,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
     """(query_id, rank, id, score): `is_query` is a condition on the id, named `id`."""
     spark = df.sparkSession
     ints = (valid(df, id_col, vec_col).groupBy("id").agg(F.min("v").alias("v"))
-            .select("id", F.transform("v", lambda x: F.floor(F.lit(scale) * x).cast("long")).alias("v")))
+            .select("id", F.transform("v", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long")).alias("v")))
     ints = save(ints, "vectors")
     sample = ints.orderBy(F.xxhash64(F.lit("pivot"), "id"), "id").limit(n_pivots).select("v").distinct().collect()
     kind = df.schema[id_col].dataType.simpleString()
