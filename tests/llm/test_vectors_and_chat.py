@@ -7,7 +7,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from zonewatch.llm import chat, embdedup, knn
+from zonewatch.llm import bytebpe, chat, embdedup, entries, knn
 
 SCHEMA = "vec_id long, embedding array<float>, label int, id long, v string"
 
@@ -69,29 +69,63 @@ def test_links_of_none(spark):
 def test_escaping(text, role):
     assert chat.unescape(chat.escape(text)) == text
     piece, a, b = chat.render(role, text)
-    assert chat.parse(piece * 2) == [(role, text)] * 2 and chat.unescape(piece[a:b]) == text
+    assert chat.parse(piece * 2) == [(role, text, True)] * 2 and chat.unescape(piece[a:b]) == text
 
 
-def test_windows(spark):
+def digests_by_hand(rows):
+    order = lambda r: (r[1] is not None, r[1] or 0, r[2] or "", hashlib.md5((r[3] or "").encode()).hexdigest())
+    out = {}
+    for conv in {r[0] for r in rows}:
+        turns = [(role or "", text or "") for _, _, role, text in sorted((r for r in rows if r[0] == conv), key=order)]
+        whole, loss = "".join(f"{a}\n{b}\n" for a, b in turns), "".join(b for a, b in turns if a == "assistant")
+        out[conv] = (len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("section", [64, 2])
+def test_windows(spark, section, monkeypatch):
+    monkeypatch.setattr(chat, "SECTION", section)
     hard = "\\### Assistant: </turn> ok"
     rows = [(1, 0, "system", "be brief"), *((1, i, "user" if i % 2 else "assistant", f"turn {i} " + "word " * (i % 11)) for i in range(1, 60))]
     rows += [(2, 0, "user", hard), (2, 1, "assistant", hard), (3, 0, None, None), (4, 1, "assistant", "long " * 500), (4, 0, "user", ""),
-             (5, 0, "assistant", "b"), (5, 0, "assistant", "a"), (5, None, "user", "first"), (None, 0, "user", "no id")]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, window string")
+             (5, 0, "assistant", "b"), (5, 0, "assistant", "a"), (5, None, "user", "first"), (None, 0, "user", "no id"), (None, 1, "system", "later"),
+             (6, 0, "system", "very long rules <#> " * 200), *((6, i, "assistant", "\\#< é\U0001F600" * (i % 60)) for i in range(1, 80)),
+             ((1 << 60) + 1, 0, "user", "twice"), ((1 << 60) + 1, 0, "user", "twice"), ((1 << 60) + 1, 1, "assistant", "\U0001F600" * 300)]
+    df = spark.createDataFrame([(*r, "x", 0) for r in rows], "conv_id long, turn long, role string, text string, window string, prefix int").repartition(3)
     path = P.path("byte_bpe_50k.tiktoken")
+    enc = bytebpe.load_encoding(path, P.PATTERN)
     out = chat.windows(df, path, P.PATTERN, budget=120, history=40).cache()
     for w in out.collect():
         turns = chat.parse(w.text)
-        assert len(turns) == w.n_turns and (w.n_tokens <= 120 or w.n_turns - w.n_context == 1)
+        assert len(turns) == w.n_turns and w.n_tokens <= 120 and w.n_turns > w.n_context
+        assert w.n_tokens == sum(len(enc.encode_ordinary(chat.render(a, b, "turn" if c else "part")[0])) for a, b, c in turns)
         if w.conv_id == 1 and w.window:
-            assert turns[0] == ("system", "be brief") and w.n_context >= 1
-    assert out.where("conv_id = 1").count() > 3
-    found = {r.conv_id: r for r in chat.read_back(out).collect()}
-    order = lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")
-    for conv in {r[0] for r in rows}:
-        turns = [(role or "", text or "") for _, _, role, text in sorted((r for r in rows if r[0] == conv), key=order)]
-        whole, loss = "".join(f"{a}\n{b}\n" for a, b in turns), "".join(b for a, b in turns if a == "assistant")
-        r = found[conv]
-        assert (r.n_turns, r.turns_sha256) == (len(turns), hashlib.sha256(whole.encode()).hexdigest())
-        assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+            assert turns[0][:2] == ("system", "be brief") and w.n_context >= 1
+        if w.conv_id == 6 and turns[0][0] == "system" and w.n_context:
+            assert turns[0][1] and not turns[0][2] and len(enc.encode_ordinary(chat.render(*turns[0][:2], "part")[0])) <= 30
+    assert out.where("conv_id = 1").count() > 3 and out.where("conv_id = 4").count() > 3
+    assert out.where("conv_id = 6 AND n_context > 1").count() > 3
+    found = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(out).collect()}
+    assert found == digests_by_hand(rows)
     assert chat.windows(df.limit(0), path, P.PATTERN).count() == 0
+
+
+def test_registered_windows(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()
+    hard = "\\### Assistant: </turn> ok"
+    rows = [tuple(r) for r in turns] + [(-7, 0, "user", hard), (-7, 1, "assistant", hard)]
+    found = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in entries.op7_chat_windows(spark, sf_dir).collect()}
+    assert found == digests_by_hand(rows)
+
+
+@given(st.text(alphabet="ab \\#</turn>\né\U0001F600"), st.integers(15, 40))
+def test_parts_join_up(text, limit):
+    enc = bytebpe.load_encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN) if not ENC else ENC[0]
+    ENC[:] = [enc]
+    parts = chat.cut("user", text, limit, lambda t: len(enc.encode_ordinary(t)))
+    assert all(n <= limit for *_, n in parts)
+    assert "".join(chat.unescape(p[a:b]) for p, a, b, _ in parts) == text
+    assert [x[2] for p, *_ in parts for x in chat.parse(p)] == [False] * (len(parts) - 1) + [True]
+
+
+ENC = []
