@@ -64,6 +64,15 @@ def test_state_follows_the_snapshot(spark, days):
     assert again.count() == 0
 
 
+def test_baseline_per_tld(spark):
+    state = diff.baseline(staged(spark, ["a.ch"]), F.lit(DAY[0]))
+    both = staged(spark, ["a.ch", "b.ch"]).unionByName(staged(spark, ["a.li"], "li"))
+    for per_tld, want in ((False, ["a.li", "b.ch"]), (True, ["b.ch"])):
+        found = diff.classify(state, both, ["ch", "li"], per_tld)
+        assert sorted(r.name for r in diff.events(found, F.lit(DAY[1]), 1).collect()) == want
+        assert sorted(r.name for r in diff.new_state(found, F.lit(DAY[1])).where("currently_in_zone").collect()) == ["a.ch", "a.li", "b.ch"]
+
+
 def test_stage(spark):
     raw = spark.createDataFrame([("A.ch.", "ch"), ("a.ch", "ch"), (" a.ch", "li"), ("", "ch"), ("b c.ch", "ch"), ("x" * 300, "ch"), (None, "ch")],
                                 "raw_name string, tld string")

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from zonewatch.operators import diff, reports, rules
+from zonewatch.operators import diff, reports, rules, watchlist
 from zonewatch.operators.watchlist import Watchlist
 from zonewatch.plans import jobs
 from zonewatch.sources import ruleconfig
@@ -30,7 +30,7 @@ DAY = [dt.datetime(2026, 1, d) for d in range(1, 5)]
 def test_loading(spark):
     a, b, c = ruleconfig.load_rules(YAML, spark)
     assert a.regex == "(?<brand>example)" and b.watchlist.brands == ("example",) and not c.enabled
-    assert b.pattern.startswith("typosquat: 1 brand(s), max_distance=1")
+    assert b.pattern.startswith("watchlist of 1 brands within distance 1")
 
 
 @pytest.mark.parametrize("text", [
@@ -71,11 +71,17 @@ def test_reports(spark):
     assert {r.rule_name: r.n_matches for r in reports.by_rule(m).collect()} == {"squat": 3, "text": 1}
     brand = reports.by_brand(m).first()
     assert (brand.n_matches, brand.n_domains, brand.domains) == (3, 2, ["a.ch", "b.ch"])
+    top, all_ = ({(r.rule_name, r.name, r.method): r.place for r in reports.ranked(m, n).collect()} for n in (9, None))
+    assert top == all_ and all_["squat", "a.ch", "homoglyph"] == 1 and all_["text", "c.ch", None] == 1
+    assert reports.by_brand(m, shown=1).first().domains == ["a.ch"] and reports.brand_names(m).count() == 2
     assert [r.name for r in reports.ranked(m, 2).where("rule_name = 'squat'").orderBy("place").collect()] == ["a.ch", "a.ch"]
-    assert reports.digest(m).first().subject == "[DOMAIN ALERT] 4 rule matches across 2 rules"
-    assert reports.digest(m.where("rule_name = 'text'")).first().subject == f"[DOMAIN ALERT] {diff.ADDED} c.ch"
-    assert reports.digest(m.where("rule_name = 'squat'")).first().subject == "[DOMAIN ALERT] 3 matches — squat"
+    assert reports.digest(m).first().subject == "zone watch: 2 rules matched 4 times"
+    assert reports.digest(m.where("rule_name = 'text'")).first().subject == f"zone watch: c.ch {diff.ADDED}"
+    assert reports.digest(m.where("rule_name = 'squat'")).first().subject == "zone watch: rule squat matched 3 times"
     assert reports.lines(m, "Europe/Zurich").first().seen == "2026-01-01 01:00 CET"
+    seen = {d: spark.createDataFrame([(d,)], "at timestamp").select(reports.local_time(F.col("at"), "Europe/Zurich")).first()[0] for d in (
+        dt.datetime(2026, 3, 29, 0, 59, 59), dt.datetime(2026, 3, 29, 1), dt.datetime(1975, 7, 1), dt.datetime(1985, 7, 1))}
+    assert list(seen.values()) == ["2026-03-29 01:59 CET", "2026-03-29 03:00 CEST", "1975-07-01 01:00 CET", "1985-07-01 02:00 CEST"]
     assert reports.lines(m, "No/Where").first().seen == "2026-01-01 00:00 UTC"
 
 
@@ -88,9 +94,7 @@ def test_monitor_runs(spark, tmp_path):
     complete = spark.createDataFrame([("ch", True), ("li", True)], "tld string, complete boolean")
 
     def run(number, day, **zones):
-        out = jobs.monitor(raw(spark, **zones), complete, store.domains(), store.stats(), rule_list, DAY[day], number)
-        jobs.commit(store, out)
-        return out
+        return jobs.run_monitor(store, raw(spark, **zones), complete, rule_list, DAY[day], number)
 
     first = run(1, 0, ch=["a.ch", "b.ch"], li=["a.li"])
     assert first.status == "SUCCESS" and first.events.count() == 0 and store.domains().count() == 3
@@ -103,7 +107,9 @@ def test_monitor_runs(spark, tmp_path):
     assert store.matches().count() == 2
     row = store.runs().where("run_id = 4").first()
     assert (row.added, row.removed, row.matched, row.zone_counts) == (1, 1, 2, {"ch": 2, "li": 1})
-    jobs.commit(store, jobs.backfill(store.domains(), rule_list, DAY[3], 5, model=jobs.build_models(store.domains())))
+    versions = sorted(p.name for p in (tmp_path / "store" / "domains").iterdir())
+    jobs.run_backfill(store, rule_list, DAY[3], 5, model=jobs.build_models(store.domains()))
+    assert sorted(p.name for p in (tmp_path / "store" / "domains").iterdir()) == versions and store.domains().count() == 4
     found = store.matches().where("run_id = 5")
     assert found.count() == 2 and found.where("event_type IS NULL").count() == 2
     assert jobs.backfill(store.domains(), rule_list, DAY[3], 6, only="text").matches.count() == 0
@@ -115,6 +121,55 @@ def test_monitor_runs(spark, tmp_path):
     assert reports.availability_candidates(store.events(), store.matches()).count() == 0
 
 
+def test_reruns_replace_a_run(spark, tmp_path):
+    store, rule_list = Store(spark, str(tmp_path / "store")), ruleconfig.load_rules(YAML, spark)
+    complete = spark.createDataFrame([("ch", True)], "tld string, complete boolean")
+
+    def run(number, day, names):
+        return jobs.run_monitor(store, raw(spark, ch=names), complete, rule_list, DAY[day], number)
+
+    def seen():
+        return (sorted((r.name, r.event_type, r.run_id) for r in store.events().collect()),
+                sorted((r.name, r.currently_in_zone) for r in store.domains().collect()), sorted((r.run_id, r.added) for r in store.runs().collect()))
+
+    run(1, 0, ["a.ch", "b.ch"])
+    run(2, 1, ["a.ch", "b.ch", "examp1e.ch"])
+    first = seen()
+    assert first[0] == [("examp1e.ch", diff.ADDED, 2)] and store.matches().count() == 2
+    run(2, 1, ["a.ch", "b.ch", "examp1e.ch"])  # the same again
+    assert seen() == first and store.matches().count() == 2
+    run(2, 1, ["a.ch", "b.ch"])  # again, and now nothing has changed
+    assert seen() == ([], [("a.ch", True), ("b.ch", True)], [(1, 0), (2, 0)]) and store.matches().count() == 0
+    assert run(2, 1, []).status == "FAILED"  # a failed attempt changes nothing
+    assert seen()[1] == [("a.ch", True), ("b.ch", True)] and store.runs().where("status = 'SUCCESS'").count() == 2
+    jobs.run_backfill(store, rule_list, DAY[2], 3)
+    run(4, 3, ["a.ch"])
+    assert [r.name for r in store.events().collect()] == ["b.ch"] and all(
+        r.agrees for r in diff.state_from_log(store.events(), store.domains()).collect())
+
+
+def test_one_pass_for_all_rules(spark):
+    many = [rules.RegexRule(f"r{i}", "d", f"x{i}", (diff.ADDED,)) for i in range(20)]
+    many += [rules.TypoRule(f"w{i}", "d", Watchlist.of([f"brand{i}x"], max_distance=1 + i % 2), (diff.ADDED, diff.REMOVED)) for i in range(5)]
+    rows = events(spark, [("brand1x1.ch", diff.ADDED), ("brand2x.ch", diff.ADDED), ("brand3xyz.ch", diff.REMOVED), ("x7.ch", diff.REMOVED)])
+    path = rows.withColumn("name", F.concat("name"))
+    found = rules.evaluate(path, many)
+    apart = sorted((r.name, r.rule_name, r.method or "", r.matched_value) for rule in many for r in rules.evaluate(path, [rule]).collect())
+    assert sorted((r.name, r.rule_name, r.method or "", r.matched_value) for r in found.collect()) == apart and apart
+    spark.range(5).selectExpr("concat('n', id, '.ch') AS name", "'ch' AS tld", f"'{diff.ADDED}' AS event_type", "current_timestamp() AS detected_at", "1L AS run_id")
+    plan = rules.evaluate(spark.range(100).selectExpr("concat('n', id, '.ch') AS name", "'ch' AS tld", f"'{diff.ADDED}' AS event_type",
+                                                      "timestamp_seconds(0) AS detected_at", "1L AS run_id"), many)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 100") == 1
+
+
+def test_decoded_labels(spark):
+    labels = spark.createDataFrame([("xn--zrch-0ra", "ch"), ("xn--zrich-kva", "ch"), ("zurich", "ch")], "label string, tld string")
+    for form, want in (("stored", 0), ("unicode", 1)):
+        w = Watchlist.of(["zürich"], methods=("typo",), match_form=form)
+        found = [(r.label, r.method) for r in watchlist.check(labels, w).collect()]
+        assert len([x for x in found if x[0].startswith("xn--")]) == want, found
+
+
 def test_models_by_tld(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     assert store.load_model() is None

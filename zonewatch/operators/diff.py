@@ -29,10 +29,11 @@ def baseline(staged: DataFrame, now: Column) -> DataFrame:
                          now.alias("created_at"), now.alias("updated_at"))
 
 
-def classify(state: DataFrame, staged: DataFrame, tlds: list[str]) -> DataFrame:
+def classify(state: DataFrame, staged: DataFrame, tlds: list[str], baseline_per_tld: bool = False) -> DataFrame:
     """Known and staged names side by side, with `transition` (null: none) and `seen`.
 
-    Only names of the transferred TLDs can be removed; added is tested against all known names.
+    Only names of the transferred TLDs can be removed; added is tested against all known names. With
+    `baseline_per_tld` the names of a TLD of which none is known come in without an event.
     """
     s = staged.select("name", F.col("tld").alias("staged_tld"), F.lit(True).alias("seen"))
     rows = state.withColumn("known", F.lit(True)).join(s, "name", "full_outer")
@@ -41,7 +42,12 @@ def classify(state: DataFrame, staged: DataFrame, tlds: list[str]) -> DataFrame:
     transition = (F.when(~known, ADDED)
                   .when(seen & ~inside, RETURNED)
                   .when(~seen & inside & F.col("tld").isin(*tlds), REMOVED))
-    return rows.withColumn("transition", transition).withColumn("seen", seen).withColumn("tld", F.coalesce("tld", "staged_tld"))
+    if baseline_per_tld:
+        known_tlds = state.select(F.col("tld").alias("staged_tld"), F.lit(True).alias("tld_known")).distinct()  # a row a TLD
+        rows = rows.join(F.broadcast(known_tlds), "staged_tld", "left")
+        transition = F.when(known | F.col("tld_known").isNotNull(), transition)
+    rows = rows.withColumn("transition", transition).withColumn("seen", seen).withColumn("tld", F.coalesce("tld", "staged_tld"))
+    return rows.drop("tld_known")
 
 
 def new_state(classified: DataFrame, now: Column) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 PAD = "^"
 CALIBRATION = 50_000
-#: Counts of at most so many n-grams are broadcast.
+#: Counts of at most so many n-grams are broadcast, where the caller knows how many there are.
 BROADCAST_NGRAMS = 500_000
 
 
@@ -43,30 +43,37 @@ def totals(counts: DataFrame, labels: DataFrame, order: int = 3) -> DataFrame:
     return sizes.join(n, "tld").select("tld", F.lit(order).alias("order"), "total_ngrams", "vocab_size", "sample_count")
 
 
-def avg_log_prob(labels: DataFrame, counts: DataFrame, sizes: DataFrame, order: int = 3, by: tuple[str, ...] = ("label", "tld")) -> DataFrame:
-    """`by` and avg_log_prob, with add-one smoothing; labels without a model of their TLD are left out."""
-    small = counts.limit(BROADCAST_NGRAMS + 1).count() <= BROADCAST_NGRAMS
-    table = F.broadcast(counts) if small else counts
-    rows = (labels.select(*by, F.explode(ngrams(F.col("label"), order)).alias("ngram")).join(table, ["tld", "ngram"], "left")
-            .join(F.broadcast(sizes.select("tld", (F.col("total_ngrams") + F.col("vocab_size")).alias("mass"))), "tld"))  # a row a TLD
-    return rows.groupBy(*by).agg(F.avg(F.log((F.coalesce("cnt", F.lit(0)) + 1) / F.col("mass"))).alias("avg_log_prob"))
+def vocabulary(sizes: DataFrame) -> int:
+    """How many n-grams the counts of these statistics (a row a TLD) have."""
+    return sizes.agg(F.sum("vocab_size")).first()[0] or 0
 
 
-def calibrate(counts: DataFrame, sizes: DataFrame, labels: DataFrame, order: int = 3, sample: int = CALIBRATION) -> DataFrame:
+def avg_log_prob(labels: DataFrame, counts: DataFrame, sizes: DataFrame, order: int = 3, by: tuple[str, ...] = ("label", "tld"),
+                 vocab: int | None = None) -> DataFrame:
+    """`by` and avg_log_prob, with add-one smoothing; null without a model of the TLD. Counts that the
+    caller knows to be at most BROADCAST_NGRAMS (`vocab`) are broadcast, others joined as Spark decides."""
+    table = F.broadcast(counts) if vocab is not None and vocab <= BROADCAST_NGRAMS else counts
+    rows = (labels.select(*by, F.explode_outer(ngrams(F.col("label"), order)).alias("ngram"))
+            .join(table.select("tld", "ngram", "cnt"), ["tld", "ngram"], "left")
+            .join(F.broadcast(sizes.select("tld", (F.col("total_ngrams") + F.col("vocab_size")).alias("mass"))), "tld", "left"))  # a row a TLD
+    log_prob = F.when(F.col("ngram").isNotNull(), F.log((F.coalesce("cnt", F.lit(0)) + 1) / F.col("mass")))
+    return rows.groupBy(*by).agg(F.avg(log_prob).alias("avg_log_prob"))
+
+
+def calibrate(counts: DataFrame, sizes: DataFrame, labels: DataFrame, order: int = 3, sample: int = CALIBRATION, vocab: int | None = None) -> DataFrame:
     """sizes with mean and population deviation of the log-probability over a sample: all labels of a
     TLD with at most `sample`, else about so many, those whose md5 is below that share of its range.
-    A deviation of exactly 0 counts as 1."""
+    A deviation of exactly 0 counts as 1. Mean and deviation come from one pass of sums."""
     place = F.conv(F.substring(F.md5("label"), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
     chosen = (labels.select("label", "tld").join(F.broadcast(sizes.select("tld", "sample_count")), "tld")  # a row a TLD
               .where(place * F.col("sample_count") < sample))
     repeated = chosen.groupBy("label", "tld").agg(F.count("*").alias("times"))
-    scored = avg_log_prob(repeated, counts, sizes, order, ("label", "tld", "times"))
+    scored = avg_log_prob(repeated, counts, sizes, order, ("label", "tld", "times"), vocab).where("avg_log_prob IS NOT NULL")
     n, x = F.sum("times"), F.col("avg_log_prob")
     mean = F.sum(x * F.col("times")) / n
-    scored = scored.join(F.broadcast(scored.groupBy("tld").agg(mean.alias("mean_log_prob"))), "tld")
-    fit = scored.groupBy("tld").agg(F.first("mean_log_prob").alias("mean_log_prob"),
-                                    F.sqrt(F.sum(F.pow(x - F.col("mean_log_prob"), 2) * F.col("times")) / n).alias("std"))
-    return sizes.join(fit, "tld", "left").select(
+    fit = scored.groupBy("tld").agg(mean.alias("mean_log_prob"), F.sqrt(F.greatest(
+        F.lit(0.0), F.sum(x * x * F.col("times")) / n - mean * mean)).alias("std"))
+    return sizes.join(F.broadcast(fit), "tld", "left").select(
         *sizes.columns, F.coalesce("mean_log_prob", F.lit(0.0)).alias("mean_log_prob"),
         F.when(F.coalesce("std", F.lit(0.0)) == 0, 1.0).otherwise(F.col("std")).alias("std_log_prob"))
 
@@ -81,11 +88,9 @@ def sigmoid(z: Column) -> Column:
     return F.when(z.isNotNull(), 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), z)))))
 
 
-def likelihood(labels: DataFrame, counts: DataFrame, stats: DataFrame, order: int = 3) -> DataFrame:
+def likelihood(labels: DataFrame, counts: DataFrame, stats: DataFrame, order: int = 3, vocab: int | None = None) -> DataFrame:
     """(label, tld, likelihood) of distinct (label, tld); 0.5 where the TLD has no model."""
     rows = labels.select("label", "tld").distinct()
-    scored = avg_log_prob(rows, counts, stats, order)
+    scored = avg_log_prob(rows, counts, stats, order, vocab=vocab).join(F.broadcast(stats.select("tld", "mean_log_prob", "std_log_prob")), "tld", "left")
     z = (F.col("avg_log_prob") - F.col("mean_log_prob")) / F.greatest(F.col("std_log_prob"), F.lit(1e-9))
-    return (rows.join(scored, ["label", "tld"], "left")
-            .join(F.broadcast(stats.select("tld", "mean_log_prob", "std_log_prob")), "tld", "left")
-            .select("label", "tld", F.coalesce(sigmoid(z), F.lit(0.5)).alias("likelihood")))
+    return scored.select("label", "tld", F.coalesce(sigmoid(z), F.lit(0.5)).alias("likelihood"))

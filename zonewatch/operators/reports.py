@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import functools
 import zoneinfo
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexical
 from ..functions.names import display, label_of
+from ..sources.scratch import new_folder
 from .diff import REMOVED
 
 
@@ -17,20 +20,43 @@ def by_rule(matches: DataFrame) -> DataFrame:
                                             F.count("*").alias("n_matches"))
 
 
-def by_brand(matches: DataFrame, idn: bool = True) -> DataFrame:
-    """Brands by number of matches, with the distinct names and methods."""
+def brand_names(matches: DataFrame, idn: bool = True) -> DataFrame:
+    """(brand, name): the names that squat on each brand, each once."""
     name = display(F.col("name")) if idn else F.col("name")
-    return (matches.where("brand IS NOT NULL").groupBy("brand")
-            .agg(F.count("*").alias("n_matches"), F.count_distinct(name).alias("n_domains"),
-                 F.sort_array(F.collect_set(name)).alias("domains"), F.sort_array(F.collect_set("method")).alias("methods"))
-            .orderBy(F.desc("n_matches"), "brand"))
+    return matches.where("brand IS NOT NULL").select("brand", name.alias("name")).distinct()
+
+
+def by_brand(matches: DataFrame, idn: bool = True, shown: int = 100) -> DataFrame:
+    """Brands by number of matches, with how many distinct names, the first `shown` of them, and the methods.
+    brand_names has all names, a row each; a brand's row holds a list for reading only."""
+    squats = matches.where("brand IS NOT NULL")
+    names = brand_names(matches, idn)
+    place = F.row_number().over(Window.partitionBy("brand").orderBy("name"))  # Spark keeps the first ones of each task
+    first = names.withColumn("place", place).where(F.col("place") <= shown).groupBy("brand").agg(F.sort_array(F.collect_list("name")).alias("domains"))
+    counts = squats.groupBy("brand").agg(F.count("*").alias("n_matches"), F.sort_array(F.collect_set("method")).alias("methods"))
+    return (counts.join(names.groupBy("brand").agg(F.count("*").alias("n_domains")), "brand").join(first, "brand")
+            .select("brand", "n_matches", "n_domains", "domains", "methods").orderBy(F.desc("n_matches"), "brand"))
 
 
 def ranked(matches: DataFrame, top: int | None = None) -> DataFrame:
-    """Matches with their place inside the rule: highest score first, then by name."""
-    order = [F.desc(F.coalesce("score", F.lit(0.0))), "name", "method", "brand"]
-    rows = matches.withColumn("place", F.row_number().over(Window.partitionBy("rule_name").orderBy(*order)))
-    return rows if top is None else rows.where(F.col("place") <= top)
+    """Matches with their place inside the rule: highest score first, then by name. The first `top` of each
+    rule, of which Spark keeps no more in any task; or all, sorted over all tasks, so that a rule that
+    matches most of a zone isn't gathered in one."""
+    score = F.desc(F.coalesce("score", F.lit(0.0)))
+    if top is not None:
+        place = F.row_number().over(Window.partitionBy("rule_name").orderBy(score, "name", "method", "brand"))
+        return matches.withColumn("place", place).where(F.col("place") <= top)
+    order = ["rule_name", score, "name", "method", "brand"]
+    path = new_folder(matches.sparkSession, "ranked")
+    (matches.repartitionByRange(*order).sortWithinPartitions(*order)
+     .withColumn("__task", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).write.parquet(path))
+    rows = matches.sparkSession.read.parquet(path)
+    # of each rule where its rows begin in each task: a row a rule and task
+    parts = rows.groupBy("rule_name", "__task").agg(F.count("*").alias("n"), F.min("__at").alias("begin"))
+    before = F.sum("n").over(Window.partitionBy("rule_name").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(F.col("rule_name").alias("__rule"), F.col("__task").alias("__of"), (F.coalesce(before, F.lit(0)) - F.col("begin") + 1).alias("__shift"))
+    return (rows.join(F.broadcast(parts), F.col("rule_name").eqNullSafe(F.col("__rule")) & (F.col("__task") == F.col("__of")))
+            .select(*matches.columns, (F.col("__at") + F.col("__shift")).cast("int").alias("place")))
 
 
 def digest(matches: DataFrame, idn: bool = True) -> DataFrame:
@@ -38,33 +64,47 @@ def digest(matches: DataFrame, idn: bool = True) -> DataFrame:
     name = display(F.min("name")) if idn else F.min("name")
     rows = matches.groupBy("run_id").agg(F.count("*").alias("n"), F.count_distinct("rule_name").alias("rules"), F.min("rule_name").alias("rule"),
                                          F.min(F.coalesce("event_type", F.lit("MATCH"))).alias("event"), name.alias("name"))
-    subject = (F.when(F.col("n") == 1, F.format_string("[DOMAIN ALERT] %s %s", "event", "name"))
-               .when(F.col("rules") == 1, F.format_string("[DOMAIN ALERT] %d matches — %s", "n", "rule"))
-               .otherwise(F.format_string("[DOMAIN ALERT] %d rule matches across %d rules", "n", "rules")))
+    subject = (F.when(F.col("n") == 1, F.format_string("zone watch: %s %s", "name", "event"))
+               .when(F.col("rules") == 1, F.format_string("zone watch: rule %s matched %d times", "rule", "n"))
+               .otherwise(F.format_string("zone watch: %d rules matched %d times", "rules", "n")))
     return rows.select("run_id", F.col("n").alias("n_matches"), subject.alias("subject"))
 
 
+@functools.cache
+def _changes(zone: str) -> list[tuple[int, str]]:
+    """When a time zone's abbreviation changes, in seconds, from 1970 to 2100, and to what."""
+    info, utc, out = zoneinfo.ZoneInfo(zone), dt.timezone.utc, []
+
+    def name(at: int) -> tuple:
+        t = dt.datetime.fromtimestamp(at, utc).astimezone(info)
+        return t.tzname(), t.utcoffset()
+
+    day, end = 0, 4_102_444_800
+    out.append((-(1 << 62), name(0)[0]))
+    while day < end:
+        low, high = day, day + 86_400
+        if name(low) != name(high):
+            before = name(low)
+            while high - low > 1:
+                middle = (low + high) // 2
+                low, high = (middle, high) if name(middle) == before else (low, middle)
+            out.append((high, name(high)[0]))
+        day += 86_400
+    return out
+
+
 def local_time(at: Column, zone: str) -> Column:
     """`2026-08-11 12:00 CEST`; an unknown zone name means UTC. The session's time zone is UTC."""
     try:
         zoneinfo.ZoneInfo(zone)
     except Exception:
         zone = "UTC"
-    local = F.from_utc_timestamp(at, zone)
-    name = F.lit("UTC")
-    if zone != "UTC":
-        info = zoneinfo.ZoneInfo(zone)
-        import datetime as dt
-
-        year = dt.datetime.now(dt.timezone.utc).year
-        seen = {}
-        for month in range(1, 13):
-            t = dt.datetime(year, month, 15, tzinfo=dt.timezone.utc).astimezone(info)
-            seen[int(t.utcoffset().total_seconds())] = t.tzname()
-        shift = F.unix_timestamp(local) - F.unix_timestamp(at)
-        for offset, label in seen.items():
-            name = F.when(shift == offset, label).otherwise(name)
-    return F.concat(F.date_format(local, "yyyy-MM-dd HH:mm"), F.lit(" "), name)
+    changes = [(0, "UTC")] if zone == "UTC" else _changes(zone)
+    seconds = F.array(*(F.lit(t).cast("long") for t, _ in changes))
+    names = F.array(*(F.lit(n) for _, n in changes))
+    now = F.unix_timestamp(at)
+    name = F.get(names, F.greatest(F.lit(0), F.size(F.filter(seconds, lambda t: t <= now)) - 1))
+    return F.concat(F.date_format(F.from_utc_timestamp(at, zone), "yyyy-MM-dd HH:mm"), F.lit(" "), name)
 
 
 def lines(matches: DataFrame, zone: str = "UTC") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexical
 from ..functions.names import label_of
-from . import scoring
+from . import scoring, watchlist
 from .watchlist import Watchlist
 
 MATCHES = ("name", "tld", "event_type", "detected_at", "run_id", "rule_name", "rule_description", "rule_pattern",
@@ -40,48 +40,44 @@ class TypoRule:
     @property
     def pattern(self) -> str:
         w = self.watchlist
-        return f"typosquat: {len(w.brands)} brand(s), max_distance={w.max_distance}, methods={sorted(w.methods)}"
+        return f"watchlist of {len(w.brands)} brands within distance {w.max_distance} by {', '.join(sorted(w.methods))}"
 
 
 Rule = RegexRule | TypoRule
 
 
-def _attributed(found: DataFrame, rule: Rule) -> DataFrame:
-    """Every match carries its rule; the matched value is cut as stored."""
-    return found.select(
-        "name", "tld", "event_type", "detected_at", "run_id", F.lit(rule.name).alias("rule_name"),
-        F.lit(rule.description).alias("rule_description"), F.lit(rule.pattern).alias("rule_pattern"),
-        F.substring("matched_value", 1, 255).alias("matched_value"), "method", "brand", "score", "signals")
-
-
-def _regex(rows: DataFrame, rule: RegexRule) -> DataFrame:
-    none = F.lit(None).cast("string")
-    return rows.where(F.col("name").rlike(rule.regex)).select(
-        "*", F.regexp_extract("name", rule.regex, 0).alias("matched_value"), none.alias("method"), none.alias("brand"),
-        F.lit(None).cast("double").alias("score"), none.alias("signals"))
-
-
-def _typo(rows: DataFrame, rule: TypoRule) -> DataFrame:
-    found = scoring.hits(rows.withColumn("label", label_of(F.col("name"))), rule.watchlist)
+def evaluate(rows: DataFrame, rules: list[Rule], scoped: bool = True) -> DataFrame:
+    """Matches of (name, tld, event_type, detected_at, run_id[, likelihood]) with every enabled rule
+    that covers the event's type (`scoped`).
+
+    One pass over the rows, however many rules there are: each row's hits by patterns and its probes
+    for all watchlists are one array, exploded and joined once with the index of all rules.
+    """
+    spark, live = rows.sparkSession, {i: r for i, r in enumerate(rules) if r.enabled}
+    patterns = {i: r for i, r in live.items() if isinstance(r, RegexRule)}
+    lists = {i: r.watchlist for i, r in live.items() if isinstance(r, TypoRule)}
+    if scoped:
+        rows = rows.where(F.col("event_type").isin(sorted({e for r in live.values() for e in r.events})))
+    found = F.array(*(F.when(F.col("name").rlike(r.regex), F.struct(F.lit("regex").alias("kind"), F.lit(str(i)).alias("key"),
+                                                                  F.regexp_extract("name", r.regex, 0).alias("value"))) for i, r in patterns.items()))
+    found = F.array_compact(found) if patterns else found.cast("array<struct<kind:string,key:string,value:string>>")
+    own = spark.createDataFrame([(i, "regex", str(i)) for i in patterns], "list int, kind string, key string")
+    hits = scoring.scored(watchlist.check_all(rows.withColumn("label", label_of(F.col("name"))), lists, found, own))
+    if scoped:  # a row a rule and event type
+        covered = spark.createDataFrame([(i, e) for i, r in live.items() for e in r.events], "list int, event_type string")
+        hits = hits.join(F.broadcast(covered.distinct()), ["list", "event_type"])
+    names = spark.createDataFrame([(i, r.name, r.description, r.pattern) for i, r in live.items()],
+                                  "list int, rule_name string, rule_description string, rule_pattern string")
+    hits = hits.join(F.broadcast(names), "list")
+    squats = F.col("method").isNotNull()
     lexic = F.struct(F.col("label").alias("label"), *lexical.rounded(F.col("label")))
     signal = F.struct(F.lit("randomness").alias("name"), F.col("randomness").alias("weight"), scoring.lexical_detail(F.col("label")).alias("detail"))
     signals = F.to_json(F.struct("method", "brand", "distance", "detail", lexic.alias("lexical"),
                                  F.filter(F.array(signal), lambda x: x["weight"] > 0).alias("lexical_signals")), {"ignoreNullFields": "false"})
-    return found.withColumn("matched_value", F.col("label")).withColumn("signals", signals)
-
-
-def evaluate(rows: DataFrame, rules: list[Rule], scoped: bool = True) -> DataFrame:
-    """Matches of (name, tld, event_type, detected_at, run_id[, likelihood]) with every enabled rule
-    that covers the event's type (`scoped`)."""
-    out = None
-    for rule in (r for r in rules if r.enabled):
-        part = rows.where(F.col("event_type").isin(*rule.events)) if scoped else rows
-        part = _attributed(_regex(part, rule) if isinstance(rule, RegexRule) else _typo(part, rule), rule)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        first = RegexRule("", "", "$^", ())
-        return _attributed(_regex(rows.where("false"), first), first)
-    return out
+    return hits.select(
+        "name", "tld", "event_type", "detected_at", "run_id", "rule_name", "rule_description", "rule_pattern",
+        F.substring(F.when(squats, F.col("label")).otherwise(F.col("value")), 1, 255).alias("matched_value"),  # cut as stored
+        "method", "brand", F.when(squats, F.col("score")).alias("score"), F.when(squats, signals).alias("signals"))
 
 
 def backfill(state: DataFrame, rules: list[Rule], detected_at, run_id: int, only: str | None = None) -> DataFrame:

@@ -24,34 +24,51 @@ def weight(method: Column) -> Column:
 
 def lexical_detail(label: Column) -> Column:
     f = lexical.extract(label)
-    return F.format_string("entropy=%.2f bits/char, max consonant run=%d, vowel ratio=%.2f", f["entropy"], f["max_consonant_run"], f["vowel_ratio"])
+    return F.format_string("%.2f bits a character, %d consonants in a row, %.2f vowels", f["entropy"], f["max_consonant_run"], f["vowel_ratio"])
 
 
-def hits(labels: DataFrame, w: watchlist.Watchlist) -> DataFrame:
-    """watchlist.check with weight, randomness and each hit's own score. `labels` may have a likelihood."""
-    likelihood = F.col("likelihood") if "likelihood" in labels.columns else None
-    found = watchlist.check(labels, w).withColumn("weight", weight(F.col("method")))
+def scored(found: DataFrame) -> DataFrame:
+    """Hits with weight, randomness and each one's own score. They may have a likelihood."""
+    likelihood = F.col("likelihood") if "likelihood" in found.columns else None
+    found = found.withColumn("weight", F.when(F.col("method").isNotNull(), weight(F.col("method"))))
     found = found.withColumn("randomness", lexical.randomness(F.col("label"), likelihood))
     return found.withColumn("score", F.bround(F.col("weight") + LEXICAL_WEIGHT * F.col("randomness"), 4))
 
 
-def assess(labels: DataFrame, w: watchlist.Watchlist) -> DataFrame:
-    """(label, tld, n_watchlist, randomness, score, fires, signals) for every distinct label."""
+def hits(labels: DataFrame, w: watchlist.Watchlist) -> DataFrame:
+    """watchlist.check with weight, randomness and each hit's own score."""
+    return scored(watchlist.check(labels, w))
+
+
+SIGNALS = "array<struct<name:string,category:string,weight:double,reason:string,detail:string,brand:string,distance:int>>"
+
+
+def analyse(labels: DataFrame, lists: dict[str, watchlist.Watchlist]) -> DataFrame:
+    """Every distinct (label, tld) with every named watchlist: (label, tld, rule, lexical features, likelihood,
+    n_watchlist, randomness, score, fires, signals). `labels` may have a likelihood. The labels are read
+    once; features of a label are computed once, and its row is repeated for each list."""
     likelihood = F.max("likelihood") if "likelihood" in labels.columns else F.lit(None).cast("double")
     rows = labels.groupBy("label", "tld").agg(likelihood.alias("likelihood"))
-    found = (hits(rows, w).groupBy("label", "tld").agg(
+    rules = labels.sparkSession.createDataFrame([(i, n) for i, n in enumerate(lists)], "list int, rule string")
+    found = scored(watchlist.check_all(rows, dict(enumerate(lists.values())))).groupBy("label", "tld", "list").agg(
         F.count("*").alias("n"), F.sum("weight").alias("weights"),
         F.sort_array(F.collect_list(F.struct(
             F.col("method").alias("name"), F.lit("watchlist").alias("category"), "weight",
-            F.concat("method", F.lit(" of brand '"), "brand", F.lit("'")).alias("reason"), "detail", "brand", "distance"))).alias("found")))
-    value = lexical.randomness(F.col("label"), F.col("likelihood"))
-    rows = rows.join(found, ["label", "tld"], "left").withColumn("randomness", value)
+            F.concat(F.lit("squats on '"), "brand", F.lit("' ("), "method", F.lit(")")).alias("reason"), "detail", "brand", "distance"))).alias("found"))
+    rows = (rows.withColumn("randomness", lexical.randomness(F.col("label"), F.col("likelihood")))
+            .withColumn("list", F.explode(F.array(*map(F.lit, range(len(lists)))))).join(F.broadcast(rules), "list"))  # a row a watchlist
+    rows = rows.join(found, ["label", "tld", "list"], "left")
     own = F.array(F.struct(F.lit("randomness").alias("name"), F.lit("lexical").alias("category"), F.col("randomness").alias("weight"),
-                           F.format_string("lexical randomness score %.2f", F.col("randomness")).alias("reason"),
+                           F.format_string("looks random: %.2f", F.col("randomness")).alias("reason"),
                            lexical_detail(F.col("label")).alias("detail"), F.lit(None).cast("string").alias("brand"), F.lit(None).cast("int").alias("distance")))
-    empty = F.filter(own, lambda x: F.lit(False))
+    empty = F.array().cast(SIGNALS)
     return rows.select(
-        "label", "tld", F.coalesce("n", F.lit(0)).alias("n_watchlist"), "randomness",
+        "label", "tld", "rule", *(c for c in lexical.rounded(F.col("label"))), "likelihood", F.coalesce("n", F.lit(0)).alias("n_watchlist"), "randomness",
         F.bround(F.coalesce("weights", F.lit(0.0)) + LEXICAL_WEIGHT * F.col("randomness"), 4).alias("score"),
         (F.coalesce("n", F.lit(0)) > 0).alias("fires"),
-        F.concat(F.coalesce("found", empty), F.when(F.col("randomness") > 0, own).otherwise(empty)).alias("signals"))
+        F.concat(F.coalesce(F.col("found").cast(SIGNALS), empty), F.when(F.col("randomness") > 0, own.cast(SIGNALS)).otherwise(empty)).alias("signals"))
+
+
+def assess(labels: DataFrame, w: watchlist.Watchlist) -> DataFrame:
+    """(label, tld, n_watchlist, randomness, score, fires, signals) for every distinct label."""
+    return analyse(labels, {"": w}).select("label", "tld", "n_watchlist", "randomness", "score", "fires", "signals")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.names import label_of
 from ..operators import diff, ngram, rules, staging
-from ..sources.state import RUNS, Store
+from ..sources.scratch import new_folder
+from ..sources.state import EVENTS, RUNS, Store
 
 
 @dataclass
@@ -32,13 +34,13 @@ def with_likelihood(rows: DataFrame, model: tuple[DataFrame, DataFrame] | None)
         return rows
     counts, stats = model
     labels = rows.select(label_of(F.col("name")).alias("label"), "tld").join(F.broadcast(stats.select("tld")), "tld", "left_semi")
-    scored = ngram.likelihood(labels, counts, stats)
+    scored = ngram.likelihood(labels, counts, stats, vocab=ngram.vocabulary(stats))
     return (rows.withColumn("__label", label_of(F.col("name")))
             .join(scored.withColumnRenamed("label", "__label"), ["__label", "tld"], "left").drop("__label"))
 
 
 def monitor(raw: DataFrame, complete: DataFrame, state: DataFrame, stats: DataFrame, rule_list: list[rules.Rule], now: dt.datetime,
-            run_id: int, model=None, min_ratio: float = 0.5, hours: float = 24.0) -> Outcome:
+            run_id: int, model=None, min_ratio: float = 0.5, hours: float = 24.0, baseline_per_tld: bool = False) -> Outcome:
     """One run over (raw_name, tld) snapshots. `complete` is (tld, complete) of the expected TLDs; those
     with a fresh transfer are skipped, and one that fails validation fails the run with nothing changed."""
     at = F.lit(now)
@@ -56,7 +58,7 @@ def monitor(raw: DataFrame, complete: DataFrame, state: DataFrame, stats: DataFr
         found = staged.sparkSession.createDataFrame([], "name string, tld string, event_type string, detected_at timestamp, run_id long")
         next_state = diff.baseline(staged, at)
     else:
-        classified = diff.classify(state, staged, tlds)
+        classified = diff.classify(state, staged, tlds, baseline_per_tld)
         found, next_state = diff.events(classified, at, run_id), diff.new_state(classified, at)
     matches = rules.evaluate(with_likelihood(found, model), rule_list)
     return Outcome("SUCCESS", run_id, now, None, verdicts, next_state, found, matches, new_stats)
@@ -74,34 +76,67 @@ def backfill(state: DataFrame, rule_list: list[rules.Rule], now: dt.datetime, ru
     return Outcome("SUCCESS", run_id, now, matches=plain)
 
 
+def write_once(counts: DataFrame) -> DataFrame:
+    """The counts, written to scratch: what follows reads them more than once."""
+    path = new_folder(counts.sparkSession, "ngrams")
+    counts.write.parquet(path)
+    return counts.sparkSession.read.schema(counts.schema).parquet(path)
+
+
+def model_of(labels: DataFrame, order: int = 3) -> tuple[DataFrame, DataFrame, int]:
+    """(counts, statistics, number of n-grams) of (label, tld), counted once."""
+    counts = write_once(ngram.count(labels, order))
+    sizes = ngram.totals(counts, labels, order)
+    vocab = ngram.vocabulary(counts.groupBy("tld").agg(F.count("*").alias("vocab_size")))  # a row a TLD
+    return counts, ngram.calibrate(counts, sizes, labels, order, vocab=vocab), vocab
+
+
 def build_models(state: DataFrame, tlds: list[str] | None = None, order: int = 3) -> tuple[DataFrame, DataFrame]:
     """(counts, statistics) of the names in the zone, all TLDs in one job."""
     rows = state.where("currently_in_zone")
     rows = rows if tlds is None else rows.where(F.col("tld").isin(*tlds))
-    return ngram.build(rows.select(label_of(F.col("name")).alias("label"), "tld"), order)
+    return model_of(rows.select(label_of(F.col("name")).alias("label"), "tld"), order)[:2]
 
 
 def commit(store: Store, outcome: Outcome, dry_run: bool = False) -> None:
-    """Write a run. State, events and matches become visible together, with the run's own row."""
+    """Write a run. State, events and matches become visible together, with the run's own row. A table
+    that the run doesn't change isn't written."""
     if dry_run:
         return
-    spark, run = store.spark, outcome.run_id
+    spark, run, attempt = store.spark, outcome.run_id, uuid.uuid4().hex
     counts = {"added": 0, "removed": 0, "returned": 0}
-    matched, zones = 0, None
+    matched, zones, domains, stats = 0, None, None, None
     if outcome.status == "SUCCESS":
         if outcome.events is not None:
-            store.append("events", outcome.events)
-            counts = diff.diff_counts(store._read("events", "name string, tld string, event_type string, detected_at timestamp, run_id long")
-                                      .where(F.col("run_id") == run)).first().asDict()
+            folder = store.append("events", outcome.events, run, attempt)
+            counts = diff.diff_counts(store._read(folder, EVENTS).drop("run_id")).first().asDict()
         if outcome.matches is not None:
-            store.append("matches", outcome.matches.coalesce(4))
-            matched = store._read("matches", "run_id long").where(F.col("run_id") == run).count()
-        state = outcome.state if outcome.state is not None else store.domains()
-        stats = outcome.stats if outcome.stats is not None else store.stats()
-        store.write_version("domains", state, run)
-        store.write_version("stats", stats, run)
+            # few rows of a whole zone's scan: Spark sizes the files after the matching, not before
+            folder = store.append("matches", outcome.matches.hint("rebalance"), run, attempt)
+            matched = store._read(folder, "name string").count()
+        if outcome.state is not None:
+            domains = attempt
+            store.write_version("domains", outcome.state, attempt)
+        if outcome.stats is not None:
+            stats = attempt
+            store.write_version("stats", outcome.stats, attempt)
         if outcome.verdicts is not None:
             zones = {r["tld"]: r["name_count"] for r in outcome.verdicts.collect()}  # a row a TLD
     row = (run, outcome.status, outcome.started_at, dt.datetime.now(dt.timezone.utc).replace(tzinfo=None), counts["added"], counts["removed"],
-           counts["returned"], matched, zones, outcome.error)
+           counts["returned"], matched, zones, outcome.error, attempt, domains, stats)
     store.commit(spark.createDataFrame([row], RUNS))
+
+
+def run_monitor(store: Store, raw: DataFrame, complete: DataFrame, rule_list: list[rules.Rule], now: dt.datetime, run_id: int, **more) -> Outcome:
+    """A monitor run on a store, committed. It starts from what was known before this run, so that a
+    repeated run finds the same changes and replaces its first attempt."""
+    outcome = monitor(raw, complete, store.domains(run_id), store.stats(run_id), rule_list, now, run_id, **more)
+    commit(store, outcome)
+    return outcome
+
+
+def run_backfill(store: Store, rule_list: list[rules.Rule], now: dt.datetime, run_id: int, **more) -> Outcome:
+    """A backfill on a store, committed. Names and statistics stay as they are."""
+    outcome = backfill(store.domains(run_id), rule_list, now, run_id, **more)
+    commit(store, outcome)
+    return outcome

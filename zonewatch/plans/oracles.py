@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.confusables import ASCII_LOOKALIKES, LOOKALIKES
 from .wordzone import BRANDS, SQUATS
 
 
@@ -141,6 +142,24 @@ def _squat(where: str) -> str:
     return ZONE + ALL_LABELS + HITS + f"\nSELECT label, tld, method, brand, coalesce(distance, -1) AS distance FROM hits WHERE {where}"
 
 
+#: Today's names with a dot, between blanks, with a word behind, and too long; in normal form.
+RAW = """,
+raw AS (
+  SELECT kind, tld, CASE kind WHEN 'space' THEN name || ' x' WHEN 'long' THEN name || '.' || repeat('x', 250) ELSE name END AS name
+  FROM z, (SELECT unnest(['dot', 'blank', 'space', 'long']) AS kind) WHERE staged)"""
+
+#: Statistics after today's transfer of one TLD.
+STATS = """,
+st AS (
+  SELECT tld, count(*) FILTER (WHERE CASE WHEN tld = 'ch' THEN staged ELSE known AND in_zone END) AS name_count,
+         CASE WHEN tld = 'ch' THEN '2026-01-02' ELSE '2026-01-01' END AS transferred_at
+  FROM z GROUP BY tld)"""
+
+#: All single look-alikes and their letters.
+_SINGLE = "".join(ASCII_LOOKALIKES) + "".join(LOOKALIKES.values())
+_LETTER = "".join(ASCII_LOOKALIKES.values()) + "".join(k * len(v) for k, v in LOOKALIKES.items())
+
+
 ORACLES: dict[str, str] = {
     "zone_diff_counts": ZONE + """
 SELECT count(*) FILTER (WHERE e1 = 'ADDED_TO_ZONE') AS added, count(*) FILTER (WHERE e1 = 'REMOVED_FROM_ZONE') AS removed,
@@ -201,7 +220,7 @@ FROM z WHERE known AND in_zone AND regexp_matches(name, '(thanedble|orantion|coo
 UNION ALL SELECT label || '.' || tld, NULL, 'watch', label, method, brand FROM hits""",
     "match_by_rule": MATCHES + "\nSELECT rule_name, min(rule_description) AS rule_description, count(*) AS n_matches FROM m GROUP BY rule_name",
     "match_by_brand": MATCHES + """
-SELECT brand, count(*) AS n_matches, count(DISTINCT name) AS n_domains, string_agg(DISTINCT name, ',' ORDER BY name) AS domains,
+SELECT brand, count(*) AS n_matches, count(DISTINCT name) AS n_domains, array_to_string(list_sort(list(DISTINCT name))[1:100], ',') AS domains,
        string_agg(DISTINCT method, ',' ORDER BY method) AS methods FROM m WHERE brand IS NOT NULL GROUP BY brand""",
     "match_ranked": MATCHES + """
 SELECT rule_name, place, name, method, brand FROM (
@@ -209,9 +228,9 @@ SELECT rule_name, place, name, method, brand FROM (
 WHERE place <= 20""",
     "run_digest": MATCHES + """
 SELECT 1::BIGINT AS run_id, count(*) AS n_matches,
-       CASE WHEN count(*) = 1 THEN '[DOMAIN ALERT] ' || min(event_type) || ' ' || min(name)
-            WHEN count(DISTINCT rule_name) = 1 THEN '[DOMAIN ALERT] ' || count(*) || ' matches — ' || min(rule_name)
-            ELSE '[DOMAIN ALERT] ' || count(*) || ' rule matches across ' || count(DISTINCT rule_name) || ' rules' END AS subject
+       CASE WHEN count(*) = 1 THEN 'zone watch: ' || min(name) || ' ' || min(event_type)
+            WHEN count(DISTINCT rule_name) = 1 THEN 'zone watch: rule ' || min(rule_name) || ' matched ' || count(*) || ' times'
+            ELSE 'zone watch: ' || count(DISTINCT rule_name) || ' rules matched ' || count(*) || ' times' END AS subject
 FROM m""",
     "feature_export": MATCHES + """,
 a AS (
@@ -229,4 +248,61 @@ SELECT replace(source, 'src', '')::BIGINT AS run_id, strftime(DATE '1970-01-01'
 FROM l0 WHERE source <> '' GROUP BY source ORDER BY 1 DESC LIMIT 5""",
     "availability_candidates": MATCHES + """
 SELECT 1::BIGINT AS run_id, name, tld FROM z WHERE e1 = 'REMOVED_FROM_ZONE' AND name IN (SELECT name FROM m)""",
+    "zone_text_awkward": ZONE + "\nSELECT name, tld, 1::BIGINT AS n_lines FROM z WHERE staged AND length(label) % 4 <> 3",
+    "name_parts": ZONE + RAW + r"""
+SELECT kind, name, CASE WHEN contains(name, '.') THEN regexp_extract(name, '[^.]*$') ELSE '' END AS last, regexp_replace(name, '\.[^.]*$', '') AS label,
+       length(name) BETWEEN 1 AND 253 AND NOT regexp_matches(name, '\s') AS plausible FROM raw""",
+    "zone_rejected": ZONE + RAW + "\nSELECT tld, count(*) FILTER (WHERE kind IN ('space', 'long')) AS malformed FROM raw GROUP BY tld",
+    "snapshot_stats": ZONE + STATS + "\nSELECT tld, name_count, transferred_at FROM st",
+    "due_tlds": ZONE + STATS + "\nSELECT tld FROM st WHERE transferred_at = '2026-01-01'",
+    "zone_baseline": ZONE + """
+SELECT name, tld, '2026-01-02' AS first_seen_at, '2026-01-02' AS last_seen_at, true AS currently_in_zone, true AS first_of_none, false AS first_of_state
+FROM z WHERE staged""",
+    "lexical_rounded": ZONE + LEXICAL + """
+SELECT label, length, round_even(entropy, 4)::DOUBLE AS entropy, round_even(digit_ratio, 4)::DOUBLE AS digit_ratio, round_even(vowel_ratio, 4)::DOUBLE AS vowel_ratio,
+       round_even(consonant_ratio, 4)::DOUBLE AS consonant_ratio, hyphen_count, max_consonant_run, round_even(unique_char_ratio, 4)::DOUBLE AS unique_char_ratio, is_idn
+FROM lex""",
+    "ngram_merged": ZONE + NGRAM + "\nSELECT tld, ngram, cnt FROM c",
+    "ngram_from_labels": ZONE + NGRAM.replace("WHERE known AND in_zone", "") + """
+SELECT tld, "order", total_ngrams, vocab_size, sample_count, round(mean_log_prob, 6) AS mean_log_prob, round(std_log_prob, 6) AS std_log_prob
+FROM tot JOIN fit USING (tld)""",
+    "word_skeletons": rf"""
+WITH w AS (
+  SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+')) AS label FROM documents)
+SELECT label, replace(translate(replace(replace(replace(label, 'rn', 'm'), 'vv', 'w'), 'cl', 'd'), '{_SINGLE}', '{_LETTER}'), 'ß', 'ss') AS skeleton,
+       regexp_matches(label, '[^\x00-\x7F]') AS is_homograph
+FROM w WHERE label <> ''""",
+    # the distance here is the unrestricted one; it parts from the restricted one only where a swap's letters are parted again
+    "squat_typo_two": ZONE + ALL_LABELS + f""",
+b AS (SELECT unnest({_values(BRANDS)}) AS brand),
+d AS (
+  SELECT *, damerau_levenshtein(label, brand) AS distance
+  FROM n JOIN b ON abs(length(label) - length(brand)) <= 2 AND label <> brand AND length(brand) >= 5)
+SELECT label, tld, CASE length(label) - length(brand) WHEN 1 THEN 'insertion' WHEN -1 THEN 'omission'
+         WHEN 0 THEN CASE WHEN distance = 1 AND hamming(label, brand) = 2 THEN 'transposition' ELSE 'replacement' END ELSE 'typo' END AS method,
+       brand, distance::INTEGER AS distance
+FROM d WHERE distance <= 2""",
+    "analyse_names": ZONE + ALL_LABELS + HITS + LEXICAL + NGRAM + f""",
+f AS (SELECT label, tld, greatest(0.0, least(1.0, r + 0.35 * (1 - likelihood))) AS random, likelihood FROM three JOIN like_ USING (label, tld)),
+rl AS (SELECT unnest(['all', 'near']) AS rule),
+hr AS (
+  SELECT label, tld, rule, count(*) AS k, sum({_WEIGHT}) AS weights
+  FROM hits JOIN rl ON rule = 'all' OR method IN ('insertion', 'omission', 'replacement', 'transposition') GROUP BY label, tld, rule)
+SELECT label, tld, rule, length, hyphen_count, max_consonant_run, is_idn, round(likelihood, 6) AS likelihood, coalesce(k, 0) AS n_watchlist,
+       round(random, 6) AS randomness, round(round_even(coalesce(weights, 0) + 0.1 * random, 4)::DECIMAL(9, 4), 3)::DOUBLE AS score,
+       k IS NOT NULL AS fires, coalesce(k, 0) + (random > 0)::INTEGER AS n_signals
+FROM f JOIN lex USING (label, tld) CROSS JOIN rl LEFT JOIN hr USING (label, tld, rule)""",
+    "assess_signals": ZONE + ALL_LABELS + HITS + LEXICAL + f"""
+SELECT label, tld, method AS signal, 'watchlist' AS category, {_WEIGHT} AS weight, brand, coalesce(distance, -1) AS distance FROM hits
+UNION ALL SELECT label, tld, 'randomness', 'lexical', round(r / 0.65, 6), '', -1 FROM three WHERE r > 0""",
+    "backfill_one": ZONE + """
+SELECT name, 'text' AS rule_name, regexp_extract(name, '(thanedble|orantion|coop)') AS matched_value
+FROM z WHERE known AND in_zone AND regexp_matches(name, '(thanedble|orantion|coop)')""",
+    "rule_patterns": MATCHES + r"""
+SELECT rule_name, CASE rule_name WHEN 'short' THEN '^[a-z]{3,7}\.ch$' WHEN 'text' THEN '(thanedble|orantion|coop)'
+         ELSE 'watchlist of 10 brands within distance 1 by bitsquat, combosquat, homoglyph, hyphenation, keyboard, typo' END AS rule_pattern,
+       count(*) AS n_matches FROM m GROUP BY rule_name""",
+    "match_lines": MATCHES + """
+SELECT rule_name, name AS display_name, event_type AS event, CASE WHEN name LIKE '%.li' THEN '2026-07-02 08:00 CEST' ELSE '2026-01-02 07:00 CET' END AS seen,
+       method, brand FROM m""",
 }

@@ -11,7 +11,7 @@ from ..functions import confusables, lexical, names
 from ..operators import diff, ngram, reports, rules, scoring, staging, watchlist
 from ..sources import zonefile
 from ..sources.scratch import new_folder
-from . import wordzone
+from . import jobs, wordzone
 
 NOW = "2026-01-02 06:00:00"
 LATER = "2026-01-03 06:00:00"
@@ -73,18 +73,82 @@ def zone_stage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staging.stage(raw, idn=_whole(sf_dir))
 
 
-def zone_text_ns_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zone text written and read back: two NS lines an owner, the second a continuation, and address records."""
-    _, staged = wordzone.zone(spark, sf_dir)
+def _zone_text(spark: SparkSession, lines: DataFrame, head=lambda tld: []) -> DataFrame:
+    """(raw_name, tld) read back from zone text of (line, tld), a file tree a TLD, each begun by some lines."""
+    path = new_folder(spark, "zone")
+    lines.select("line", "tld").write.partitionBy("tld").text(path)
     out = None
     for tld in TLDS:
-        path = new_folder(spark, f"zone-{tld}")
-        (staged.where(F.col("tld") == tld)
-         .select(F.concat("name", F.lit(".\t3600\tIN\tNS\tns1.example.net.\n\t\t3600\tIN\tNS\tns2.example.net. ; second\nglue."), "name",
-                          F.lit(".\t3600\tIN\tA\t192.0.2.1"))).write.text(path))
-        part = zonefile.names(zonefile.read_lines(spark, path), tld)
+        if head(tld):
+            spark.createDataFrame([(x,) for x in head(tld)], "line string").coalesce(1).write.mode("append").text(f"{path}/tld={tld}")
+        part = zonefile.names(zonefile.read_lines(spark, f"{path}/tld={tld}"), tld)
         out = part if out is None else out.unionByName(part)
-    return out.groupBy(F.col("raw_name").alias("name"), "tld").agg(F.count("*").alias("n_lines"))
+    return out
+
+
+def zone_text_ns_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zone text written and read back: two NS lines an owner, the second a continuation, and address records."""
+    _, staged = wordzone.zone(spark, sf_dir)
+    line = F.concat("name", F.lit(".\t3600\tIN\tNS\tns1.example.net.\n\t\t3600\tIN\tNS\tns2.example.net. ; second\nglue."), "name",
+                    F.lit(".\t3600\tIN\tA\t192.0.2.1"))
+    return _zone_text(spark, staged.select(line.alias("line"), "tld")).groupBy(F.col("raw_name").alias("name"), "tld").agg(F.count("*").alias("n_lines"))
+
+
+def zone_text_awkward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bare names, continuations behind other records, relative owners in lower case, records that delegate
+    nothing; before them comments, a directive, blank lines and the apex's own records."""
+    _, staged = wordzone.zone(spark, sf_dir)
+    label = names.label_of(F.col("name"))
+    line = (F.when(F.length(label) % 4 == 0, F.concat(F.lit(" "), "name", F.lit(". ; bare")))
+            .when(F.length(label) % 4 == 1, F.concat("name", F.lit(".\t3600\tIN\tDS\t1 2 3\n\t3600\tIN\tNS\tns1.example.net.")))
+            .when(F.length(label) % 4 == 2, F.concat(label, F.lit("  3600 in ns ns1.example.net.\n# a note")))
+            .otherwise(F.concat("name", F.lit(".\t3600\tIN\tRRSIG\tNS 8 2 3600"))))
+    found = _zone_text(spark, staged.select(line.alias("line"), "tld"), lambda tld: [
+        "; a zone", f"$ORIGIN {tld}.", "", "@\t3600\tIN\tSOA\tns. root. 1 2 3 4 5", "@\t3600\tIN\tNS\ta.nic.example.", f"{tld}.\t3600\tIN\tNS\tb.nic.example."])
+    return found.groupBy(names.normalise_ascii(F.col("raw_name")).alias("name"), "tld").agg(F.count("*").alias("n_lines"))
+
+
+def _raw_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, raw_name, tld): today's names with a dot, between blanks, with a word behind, and too long."""
+    _, staged = wordzone.zone(spark, sf_dir)
+    forms = {"dot": F.concat(F.upper("name"), F.lit(".")), "blank": F.concat(F.lit(" \t"), "name", F.lit("  ")),
+             "space": F.concat("name", F.lit(" x")), "long": F.concat("name", F.lit("." + "x" * 250))}
+    return staged.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("raw_name")) for k, v in forms.items()))).alias("r"), "tld").select("r.*", "tld")
+
+
+def name_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normal form, last label, the rest, and whether it can be a name."""
+    name = F.col("name")
+    return _raw_names(spark, sf_dir).select("kind", names.normalise_ascii(F.col("raw_name")).alias("name")).select(
+        "kind", "name", names.tld_of(name).alias("last"), names.label_of(name).alias("label"), names.plausible(name).alias("plausible"))
+
+
+def zone_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staging.rejected(_raw_names(spark, sf_dir), idn=_whole(sf_dir))
+
+
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics after today's transfer of one TLD."""
+    state, staged = wordzone.zone(spark, sf_dir)
+    old = staging.counts(state.where("currently_in_zone")).withColumn("transferred_at", _at("2026-01-01 00:00:00"))
+    return staging.record_stats(old, staging.counts(staged.where("tld = 'ch'")).withColumn("transferred_at", _at()))
+
+
+def snapshot_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats(spark, sf_dir).select("tld", "name_count", _day("transferred_at"))
+
+
+def due_tlds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The TLDs to transfer six hours after today's transfer of one."""
+    _, staged = wordzone.zone(spark, sf_dir)
+    return staging.due(staged.select("tld").distinct(), _stats(spark, sf_dir), _at("2026-01-02 12:00:00"))
+
+
+def zone_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Today's snapshot as the first one, and whether it is the first for no state and for yesterday's."""
+    state, staged = wordzone.zone(spark, sf_dir)
+    first = [F.lit(diff.is_baseline(x)).alias(n) for x, n in ((state.where("false"), "first_of_none"), (state, "first_of_state"))]
+    return diff.baseline(staged, _at()).select("name", "tld", _day("first_seen_at"), _day("last_seen_at"), "currently_in_zone", *first)
 
 
 def _two_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -120,14 +184,34 @@ def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.count(_zone_labels(spark, sf_dir))
 
 
-def ngram_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, stats = ngram.build(_zone_labels(spark, sf_dir))
+def lexical_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features as they are exported."""
+    return wordzone.labels(spark, sf_dir).select("label", *lexical.rounded(F.col("label")))
+
+
+def ngram_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of two batches of labels as one."""
+    rows = _zone_labels(spark, sf_dir)
+    return ngram.merge(*(ngram.count(rows.where(F.length("label") % 2 == i)) for i in (0, 1)))
+
+
+def _ngram_stats(stats: DataFrame) -> DataFrame:
     return stats.select("tld", "order", "total_ngrams", "vocab_size", "sample_count", F.round("mean_log_prob", 6).alias("mean_log_prob"),
                         F.round("std_log_prob", 6).alias("std_log_prob"))
 
 
+def ngram_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ngram_stats(jobs.model_of(_zone_labels(spark, sf_dir))[1])
+
+
+def ngram_from_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model of any labels, those not in the zone too."""
+    return _ngram_stats(jobs.model_of(wordzone.labels(spark, sf_dir).select("label", "tld"))[1])
+
+
 def _likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram.likelihood(wordzone.labels(spark, sf_dir), *ngram.build(_zone_labels(spark, sf_dir)))
+    counts, stats, vocab = jobs.model_of(_zone_labels(spark, sf_dir))
+    return ngram.likelihood(wordzone.labels(spark, sf_dir), counts, stats, vocab=vocab)
 
 
 def ngram_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,8 +226,15 @@ def skeleton_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordzone.labels(spark, sf_dir).select("label", confusables.skeleton(F.col("label"), decode=_whole(sf_dir)).alias("skeleton"))
 
 
-def _watchlist(methods=watchlist.METHODS) -> watchlist.Watchlist:
-    return watchlist.Watchlist.of(wordzone.BRANDS, methods=tuple(methods), home_tlds={b: "li" for b in wordzone.BRANDS})
+def word_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skeletons of the documents' words in all scripts, and which hold a letter beyond ASCII."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("label")).where("label <> ''").distinct()
+    return words.select("label", confusables.skeleton(F.col("label"), decode=False).alias("skeleton"), confusables.is_homograph(F.col("label")).alias("is_homograph"))
+
+
+def _watchlist(methods=watchlist.METHODS, **more) -> watchlist.Watchlist:
+    return watchlist.Watchlist.of(wordzone.BRANDS, methods=tuple(methods), home_tlds={b: "li" for b in wordzone.BRANDS}, **more)
 
 
 def _distance():
@@ -162,6 +253,27 @@ def squat_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watchlist.check(wordzone.labels(spark, sf_dir).select("label", "tld"), _watchlist()).select("label", "tld", "method", "brand", _distance())
 
 
+def squat_typo_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels within two edits of a brand."""
+    found = watchlist.check(wordzone.labels(spark, sf_dir).select("label", "tld"), _watchlist(["typo"], max_distance=2))
+    return found.select("label", "tld", "method", "brand", _distance())
+
+
+def analyse_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every label with every watchlist, scored with its likelihood."""
+    found = scoring.analyse(_likelihoods(spark, sf_dir), {"all": _watchlist(), "near": _watchlist(["typo"])})
+    return found.select("label", "tld", "rule", "length", "hyphen_count", "max_consonant_run", "is_idn", F.round("likelihood", 6).alias("likelihood"),
+                        "n_watchlist", F.round("randomness", 6).alias("randomness"), _three("score"), "fires", F.size("signals").alias("n_signals"))
+
+
+def assess_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every signal of every label, a row each."""
+    found = scoring.assess(wordzone.labels(spark, sf_dir).select("label", "tld"), _watchlist())
+    return found.select("label", "tld", F.explode("signals").alias("s")).select(
+        "label", "tld", F.col("s.name").alias("signal"), F.col("s.category").alias("category"), F.round("s.weight", 6).alias("weight"),
+        F.coalesce("s.brand", F.lit("")).alias("brand"), F.coalesce("s.distance", F.lit(-1)).alias("distance"))
+
+
 def assess_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.assess(wordzone.labels(spark, sf_dir).select("label", "tld"), _watchlist()).select(
         "label", "tld", "n_watchlist", F.round("randomness", 6).alias("randomness"), _three("score"), "fires",
@@ -200,6 +312,24 @@ def rule_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.backfill(state, _rules(), _at(), 7).select("name", "event_type", "rule_name", "matched_value", "method", "brand")
 
 
+def backfill_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole zone against one rule of several."""
+    state, _ = wordzone.zone(spark, sf_dir)
+    return rules.backfill(state, _rules(), _at(), 7, only="text").select("name", "rule_name", "matched_value")
+
+
+def rule_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule that matched looks for, in words."""
+    return _matches(spark, sf_dir).groupBy("rule_name", "rule_pattern").agg(F.count("*").alias("n_matches"))
+
+
+def match_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches as a reader in Zürich sees them, in winter and in summer."""
+    at = F.when(F.col("tld") == "li", _at("2026-07-02 06:00:00")).otherwise(F.col("detected_at"))
+    return reports.lines(_matches(spark, sf_dir).withColumn("detected_at", at), "Europe/Zurich").select(
+        "rule_name", "display_name", "event", "seen", "method", "brand")
+
+
 def match_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.by_rule(_matches(spark, sf_dir)).select("rule_name", "rule_description", "n_matches")
 
@@ -253,6 +383,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 } | {f"squat_{m}": _squat(m) for m in (*watchlist.METHODS, *watchlist.OPTIONAL_METHODS)}
 
 
+#: Further operators, each with SQL too.
+QUERIES |= {f.__name__: f for f in (
+    zone_text_awkward, name_parts, zone_rejected, snapshot_stats, due_tlds, zone_baseline, lexical_rounded, ngram_merged, ngram_from_labels,
+    word_skeletons, squat_typo_two, analyse_names, assess_signals, backfill_one, rule_patterns, match_lines)}
+
+
 def _of_whole(query):
     return lambda spark, sf_dir: query(spark, wordzone.Whole(sf_dir))
 
@@ -265,4 +401,4 @@ def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same on the whole zone, and its names decoded. A-labels can't be said in SQL; plain versions test them.
 WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "whole_display_names": display_names, **{f"whole_{k}": _of_whole(q) for k, q in QUERIES.items()}}
+    "whole_display_names": display_names, **{f"whole_{k}": _of_whole(q) for k, q in QUERIES.items() if k != "word_skeletons"}}

@@ -59,10 +59,12 @@ def _rule(entry, spark: SparkSession | None) -> Rule:
     methods = tuple(m.lower() for m in _listed(entry.get("methods", METHODS)))
     unknown = sorted(set(methods) - {*METHODS, *OPTIONAL_METHODS})
     need(not unknown, f"unknown methods {unknown}")
+    form = str(entry.get("match_form", "stored")).strip().lower()
+    need(form in ("stored", "unicode"), f"unknown match_form {form!r}")
     layouts = tuple(x.lower() for x in _listed(entry.get("keyboard_layouts", list(LAYOUTS))))
     return TypoRule(name, description, Watchlist.of(
         _listed(entry["brands"]), max_distance=most, methods=methods, layouts=layouts,
-        min_length=int(entry.get("min_length_for_distance", 5)), home_tlds=dict(entry.get("home_tlds") or {})), events, enabled)
+        min_length=int(entry.get("min_length_for_distance", 5)), home_tlds=dict(entry.get("home_tlds") or {}), match_form=form), events, enabled)
 
 
 def load_rules(text: str, spark: SparkSession | None = None) -> list[Rule]:

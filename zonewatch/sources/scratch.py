@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,6 +10,12 @@ from pyspark.sql import SparkSession
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """Below the folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    """Below the folder that the cluster names in spark.checkpoint.dir. Where it is unset a new local folder
+    serves a local session, as in tests; a cluster has to name one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/zonewatch-{label}-{uuid.uuid4().hex}"

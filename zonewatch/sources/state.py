@@ -1,8 +1,10 @@
 """Tables on storage. A run becomes visible with its row in `runs`, which is written last.
 
-Layout under a base path: events, matches (folders by run_id; a rerun replaces its own), stats and
-domains (a new version each run), ngram_counts and ngram_stats (by tld), runs. Readers take only
-what successful runs wrote.
+Layout under a base path: events, matches (folders by run_id and attempt), stats and domains (a
+version for each attempt that changes them), ngram_counts and ngram_stats (by tld), runs. Every
+attempt at a run writes folders of its own, which its row in `runs` names; readers take what the last
+successful attempt of each run names, so a rerun replaces the run as a whole or not at all, and can
+read what it replaces.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from ..operators import diff
 
 STATS = "tld string, name_count long, transferred_at timestamp, duration_seconds double"
 RUNS = ("run_id long, status string, started_at timestamp, finished_at timestamp, added long, removed long, returned long, "
-        "matched long, zone_counts map<string,long>, error string")
+        "matched long, zone_counts map<string,long>, error string, attempt string, domains_version string, stats_version string")
 EVENTS = "name string, tld string, event_type string, detected_at timestamp, run_id long"
 MATCHES = ("name string, tld string, event_type string, detected_at timestamp, run_id long, rule_name string, rule_description string, "
            "rule_pattern string, matched_value string, method string, brand string, score double, signals string")
@@ -33,37 +35,53 @@ class Store:
         return self.spark.read.schema(schema).parquet(path) if self._exists(path) else self.spark.createDataFrame([], schema)
 
     def runs(self) -> DataFrame:
-        return self._read("runs", RUNS)
+        """A row a run: its last successful attempt, else its last one."""
+        rows = self._read("runs", RUNS)
+        rest = F.struct(*(c for c in rows.columns if c != "run_id"))
+        return (rows.groupBy("run_id").agg(F.max_by(rest, F.struct(F.col("status") == "SUCCESS", "finished_at", "attempt")).alias("last"))
+                .select("run_id", "last.*"))
 
     def _succeeded(self) -> DataFrame:
-        return self.runs().where("status = 'SUCCESS'").select("run_id")
+        return self.runs().where("status = 'SUCCESS'").select("run_id", "attempt")
 
     def last_run(self) -> int | None:
         return self._succeeded().agg(F.max("run_id")).first()[0]
 
-    def _version(self, name: str, schema: str) -> DataFrame:
-        """The last successful run's version of a table, one folder a run."""
-        run = self.last_run()
-        return self._read(f"{name}/version={run}", schema) if run is not None else self.spark.createDataFrame([], schema)
+    def _version(self, name: str, schema: str, before: int | None) -> DataFrame:
+        """A table's version of the last successful run that wrote one, of those before a run if one is given."""
+        runs = self.runs().where("status = 'SUCCESS'").where(F.col(f"{name}_version").isNotNull())
+        runs = runs if before is None else runs.where(F.col("run_id") < before)
+        version = runs.agg(F.max_by(f"{name}_version", "run_id")).first()[0]
+        return self._read(f"{name}/version={version}", schema) if version else self.spark.createDataFrame([], schema)
 
-    def domains(self) -> DataFrame:
-        return self._version("domains", diff.STATE)
+    def domains(self, before: int | None = None) -> DataFrame:
+        """The known names; for a run's attempt, first or repeated, those `before` it."""
+        return self._version("domains", diff.STATE, before)
 
-    def stats(self) -> DataFrame:
-        return self._version("stats", STATS)
+    def stats(self, before: int | None = None) -> DataFrame:
+        return self._version("stats", STATS, before)
+
+    def _of_runs(self, name: str, schema: str) -> DataFrame:
+        rows = self._read(name, f"{schema}, attempt string")
+        return rows.join(F.broadcast(self._succeeded()), ["run_id", "attempt"], "left_semi").select(*self._names(schema))  # one row a run
+
+    def _names(self, schema: str) -> list[str]:
+        return [c.split()[0] for c in schema.split(", ")]
 
     def events(self) -> DataFrame:
-        return self._read("events", EVENTS).join(F.broadcast(self._succeeded()), "run_id", "left_semi")  # one row a run
+        return self._of_runs("events", EVENTS)
 
     def matches(self) -> DataFrame:
-        return self._read("matches", MATCHES).join(F.broadcast(self._succeeded()), "run_id", "left_semi")
+        return self._of_runs("matches", MATCHES)
 
-    def append(self, name: str, df: DataFrame) -> None:
-        """Add a run's rows; the same run's earlier ones go."""
-        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{self.base}/{name}"))
+    def append(self, name: str, df: DataFrame, run_id: int, attempt: str) -> str:
+        """Write a run's rows into a folder of this attempt."""
+        folder = f"{name}/run_id={run_id}/attempt={attempt}"
+        df.drop("run_id").write.parquet(f"{self.base}/{folder}")
+        return folder
 
-    def write_version(self, name: str, df: DataFrame, run_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.base}/{name}/version={run_id}")
+    def write_version(self, name: str, df: DataFrame, version: str) -> None:
+        df.write.parquet(f"{self.base}/{name}/version={version}")
 
     def commit(self, run: DataFrame) -> None:
         run.coalesce(1).write.mode("append").parquet(f"{self.base}/runs")

@@ -20,7 +20,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def _with_owner(lines: DataFrame) -> DataFrame:
     """A continuation line takes the last owner above it. Inside a split that is a window over the
-    split; the last owners of the splits before come from one row a split."""
+    split; the last owners of the splits before come from one row a split. Rows are narrow: owner,
+    order, and whether the line delegates."""
     inside = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     filled = lines.withColumn("above", F.last("own", ignorenulls=True).over(inside))
     # (file, block) rows, one a split; the window sees the splits of one file
@@ -30,30 +31,36 @@ def _with_owner(lines: DataFrame) -> DataFrame:
     return filled.join(carry, ["file", "block"], "left").withColumn("owner", F.coalesce("above", "carried"))
 
 
-def names(lines: DataFrame, tld: str) -> DataFrame:
-    """(raw_name, tld) of read_lines(): bare names, and owners that a line with NS delegates."""
+def names(lines: DataFrame, tld: str, continuations: bool = True) -> DataFrame:
+    """(raw_name, tld) of read_lines(): bare names, and owners that a line with NS delegates.
+
+    Lines that continue an owner need all owners in order. A caller that knows a file to have none
+    says so by `continuations`, and no line is shuffled.
+    """
     text = F.split("value", ";")[0]
-    fields = F.split(strip(F.col("body")), r"(?U)\s+")
     rows = (lines.withColumn("body", F.regexp_replace(text, r"[\r\n]+$", ""))
             .withColumn("bare", strip(F.col("body")))
             .where((F.col("bare") != "") & ~F.col("bare").rlike("^[#$]"))
-            .withColumn("fields", fields)
+            .withColumn("fields", F.split("bare", r"(?U)\s+"))
             .withColumn("continued", F.col("body").rlike(r"(?U)^\s")))
-    single = rows.where(F.size("fields") == 1).select(F.col("fields")[0].alias("raw_name"))
-    records = (rows.where(F.size("fields") > 1)
-               .withColumn("own", F.when(~F.col("continued"), F.col("fields")[0])))
     rest = F.when(F.col("continued"), F.col("fields")).otherwise(F.slice("fields", 2, 1_000_000))
     types = F.filter(F.transform(rest, F.upper), lambda t: t.isin("NS", *STOP_TYPES))
-    records = records.withColumn("delegates", F.coalesce(F.get(types, 0) == "NS", F.lit(False)))
-    if records.where("continued AND delegates").limit(1).count():
-        records = _with_owner(records)
+    single = F.size("fields") == 1
+    place = ["file", "block", "at"] if continuations else []
+    rows = rows.select(*place, F.when(single, F.col("bare")).alias("name"), F.when(~single & ~F.col("continued"), F.col("fields")[0]).alias("own"),
+                       (~single & F.coalesce(F.get(types, 0) == "NS", F.lit(False))).alias("delegates"))
+    if continuations:
+        # all but owners and what they delegate is out before rows are put in order
+        records = _with_owner(rows.where("name IS NULL AND (own IS NOT NULL OR delegates)"))
+        rows = rows.where("name IS NOT NULL").select("name", F.lit(None).cast("string").alias("owner"), "delegates").unionByName(
+            records.select("name", "owner", "delegates"))
     else:
-        records = records.withColumn("owner", F.col("own"))
+        rows = rows.withColumnRenamed("own", "owner")
     apex = F.lower("owner").isin("@", tld, f"{tld}.")
     absolute = F.endswith(F.col("owner"), F.lit("."))
     owner = F.when(absolute, F.expr("substring(owner, 1, length(owner) - 1)")).otherwise(F.concat("owner", F.lit(f".{tld}")))
-    owners = records.where(F.col("delegates") & F.col("owner").isNotNull() & ~apex).select(owner.alias("raw_name"))
-    return single.unionByName(owners).withColumn("tld", F.lit(tld))
+    delegated = F.col("delegates") & F.col("owner").isNotNull() & ~apex
+    return rows.select(F.coalesce("name", F.when(delegated, owner)).alias("raw_name"), F.lit(tld).alias("tld")).where("raw_name IS NOT NULL")
 
 
 def unclassified(lines: DataFrame) -> DataFrame:
