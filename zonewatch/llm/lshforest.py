@@ -278,10 +278,10 @@ def _rarest(sets: DataFrame, percent: int) -> DataFrame:
 def _across(rarest: DataFrame, found: DataFrame, percent: int, most: int | None = None) -> DataFrame:
     """(a, b), a < b: classes of two components that share one of their rarest items (that at most `most`
     classes share) and can be similar by their sizes and the item's places."""
-    rows = rarest.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    rows = save(rarest.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), "rarest-of")
     held = rows.groupBy("item", "c").agg(F.count("*").alias("n"))
     mixed = held.groupBy("item").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("c", F.struct("n", "c")).alias("main")).where("n > top")
-    rows = rows.join(mixed if most is None else mixed.where(F.col("n") <= most), "item")
+    rows = save(lookup(rows, mixed if most is None else mixed.where(F.col("n") <= most), "item", hot_keys(rows, "item")).where("n IS NOT NULL"), "mixed")
     # all outside the item's largest component meet all others, in blocks
     wide, high = (F.ceil(c / BLOCK).cast("long") for c in (F.col("n"), F.col("n") - F.col("top")))
     block = F.xxhash64("node")
@@ -324,6 +324,22 @@ def _agree(least: float):
     return agree
 
 
+def _ends(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs with both sides' components as ca and cb; a class that isn't found is its own."""
+    for c in ("a", "b"):
+        pairs = pairs.join(found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left")
+    return pairs.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+
+
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) when the links are added: components of the components, as few links lie between those."""
+    ends = save(_ends(links, found), "ends")
+    up = components(ends, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("up"))
+    every = save(found.unionByName(ends.select(F.col("a").alias("node"), F.col("ca").alias("component")))
+                 .unionByName(ends.select(F.col("b").alias("node"), F.col("cb").alias("component"))).distinct(), "members")
+    return save(lookup(every, up, "component", hot_keys(every, "component")).select("node", F.coalesce("up", "component").alias("component")), "found")
+
+
 def _with(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     """The pairs with both sides' value as x and y."""
     return (pairs.join(table.select(F.col("node").alias("a"), F.col(value).alias("x")), "a")
@@ -357,17 +373,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = pairs.union(pairs.select("b", "a", "depth"))
     best = save(ends.groupBy("a").agg(F.max_by("b", F.struct("depth", "b")).alias("b"))
                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "best")
-    links = confirmed(best)
-    found = components(links)
-    other = pairs.join(best, ["a", "b"], "left_anti").select("a", "b")
-    for c in ("a", "b"):
-        other = other.join(found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left")
-    other = other.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    found = components(confirmed(best))
+    other = _ends(pairs.join(best, ["a", "b"], "left_anti").select("a", "b"), found).where("ca <> cb").select("a", "b")
     likely = _with(other, classes, "sig").select("a", "b", "x", "y").mapInPandas(_agree(least), "a long, b long")
     more = confirmed(likely)
     if more.limit(1).count():
-        links = links.union(more)
-        found = components(links)
+        found = _merged(found, more)
     if crowded is not None:
         unsettled = _unsettled(crowded, found)
         if unsettled.limit(1).count():
@@ -378,8 +389,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 met = save(met if tried is None else met.join(tried, ["a", "b"], "left_anti"), "across")
                 more = confirmed(met)
                 if more.limit(1).count():
-                    links = links.union(more)
-                    found = components(links)
+                    found = _merged(found, more)
                 tried = met
 
     # a component, or one text, can hold a third of all rows
