@@ -122,7 +122,73 @@ reach(a, b) AS (
   UNION
   SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)"""
 
+
+def _crc_table() -> list[int]:
+    """The table of crc32 for one byte at a time, from its polynomial (reflected)."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+def _hilbert_sql(dims: int = 4, bits: int = 4) -> str:
+    """Relations h0 to the last that turn the cells x0, x1, ... of h0 step by step into `curve`."""
+    def step(n: int, new: dict[str, str]) -> str:
+        columns = ", ".join(f"({new[c]})::BIGINT AS {c}" if c in new else c for c in (*(f"x{i}" for i in range(dims)), "t"))
+        return f"h{n + 1} AS (SELECT doc_id, size, text_crc32, {columns} FROM h{n})"
+
+    steps, n = [], 0
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        for i in range(dims):
+            if i:
+                swap = f"CASE WHEN x{i} & {q} <> 0 THEN 0 ELSE xor(x0, x{i}) & {q - 1} END"
+                new = {"x0": f"xor(CASE WHEN x{i} & {q} <> 0 THEN xor(x0, {q - 1}) ELSE x0 END, {swap})", "x" + str(i): f"xor(x{i}, {swap})"}
+            else:
+                new = {"x0": f"CASE WHEN x0 & {q} <> 0 THEN xor(x0, {q - 1}) ELSE x0 END"}
+            steps.append(step(n, new))
+            n += 1
+    for i in range(1, dims):
+        steps.append(step(n, {f"x{i}": f"xor(x{i}, x{i - 1})"}))
+        n += 1
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        steps.append(step(n, {"t": f"CASE WHEN x{dims - 1} & {q} <> 0 THEN xor(t, {q - 1}) ELSE t END"}))
+        n += 1
+    curve = " + ".join(f"(((xor(x{i}, t) >> {b}) & 1) << {b * dims + dims - 1 - i})" for b in range(bits) for i in range(dims))
+    steps.append(f"h AS (SELECT doc_id, size, text_crc32, {curve} AS curve FROM h{n})")
+    return ",\n".join(steps)
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_hilbert_shards": f"""
+WITH RECURSIVE bytes AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, lang, source, hex(encode(coalesce(text, ''))) AS b FROM documents),
+crc AS (
+  SELECT r, doc_id, lang, source, length(b) // 2 + 16 AS size,
+         xor(list_reduce(list_transform(range(0, length(b) // 2), lambda i: ('0x' || substr(b, 2 * i + 1, 2))::BIGINT),
+             lambda c, x: xor(c >> 8, {_crc_table()}[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS text_crc32
+  FROM bytes),
+d AS MATERIALIZED (
+  SELECT *, dense_rank() OVER (ORDER BY lang) AS l, dense_rank() OVER (ORDER BY source) AS s FROM crc),
+q AS (
+  SELECT list(l ORDER BY l) FILTER (lang IS NOT NULL) AS l, list(s ORDER BY s) FILTER (source IS NOT NULL) AS s, list(size ORDER BY size) AS z,
+         list(doc_id ORDER BY doc_id) FILTER (doc_id IS NOT NULL) AS i FROM d),
+k AS (
+  SELECT {", ".join(f"list_distinct(list_transform(range(1, 16), lambda n: {c}[ceil(len({c}) * n / 16.0)::BIGINT])) AS {c}" for c in "lszi")} FROM q),
+h0 AS (
+  SELECT d.doc_id, d.size, d.text_crc32, 0::BIGINT AS t,
+         CASE WHEN lang IS NULL THEN 0 ELSE len(list_filter(k.l, lambda c: d.l >= c)) END AS x0,
+         CASE WHEN source IS NULL THEN 0 ELSE len(list_filter(k.s, lambda c: d.s >= c)) END AS x1,
+         len(list_filter(k.z, lambda c: d.size >= c)) AS x2,
+         CASE WHEN d.doc_id IS NULL THEN 0 ELSE len(list_filter(k.i, lambda c: d.doc_id >= c)) END AS x3
+  FROM d, k),
+{_hilbert_sql()},
+o AS (
+  SELECT *, row_number() OVER (ORDER BY curve, text_crc32, size, doc_id NULLS FIRST) - 1 AS place, count(*) OVER () AS total FROM h),
+p AS (SELECT *, place * 40 // total AS shard FROM o)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, shard::INTEGER AS shard, place - (shard * total + 39) // 40 AS slot,
+       NULL::INTEGER AS grown_shard, curve FROM p""",
     "op4_minhash_forest": """
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
