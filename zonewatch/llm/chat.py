@@ -233,8 +233,8 @@ def windows(turns: DataFrame, path: str, pattern: str, budget: int = 2048, histo
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     rows = turns.select("conv_id", "turn", role.alias("role"), F.md5(text).alias("h"),
                         F.concat(F.length(role).cast("string"), F.lit(":"), role, text).alias("packed"))
-    rows = _with_prefix(annotate(rows, ["conv_id", "turn", "role", "h"], "packed", _parts(path, pattern, budget),
-                                 "part int, piece string, a long, b long, n long, short string, n_short long", many=True))
+    rows = _with_prefix(save(annotate(rows, ["conv_id", "turn", "role", "h"], "packed", _parts(path, pattern, budget),
+                                      "part int, piece string, a long, b long, n long, short string, n_short long", many=True), "parts"))
     length = SECTION * budget
     own = rows.withColumn("section", F.expr(f"prefix div {length}")).withColumn("kind", F.lit(2))
     # what a section repeats: the last turns of the one before, and the system turn
