@@ -226,7 +226,7 @@ def _hubs(crowded: DataFrame, whole: int) -> DataFrame:
     parts = levels[0]
     for level in levels[1:]:
         parts = parts.unionByName(level)
-    at = crowded.select("node", F.explode(F.array(*(F.get("keys", PATH.index(d)) for d in DEPTHS))).alias("k"))
+    at = save(crowded.select("node", F.explode(F.array(*(F.get("keys", PATH.index(d)) for d in DEPTHS))).alias("k")), "keys")
     return (lookup(at, save(parts, "hubs"), "k", hot_keys(at, "k")).where("node <> hub")
             .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), "depth"))
 
