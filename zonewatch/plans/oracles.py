@@ -14,12 +14,12 @@ ZONE = rf"""
 WITH t AS (
   SELECT coalesce(source, '') AS source,
          list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'),
-                     lambda w: regexp_full_match(w, '[a-z0-9]+') AND length(w) BETWEEN 3 AND 63) AS a
+                     lambda w: length(w) BETWEEN 3 AND 63) AS a
   FROM documents),
 l0 AS (
   SELECT source, unnest(a) AS label FROM t
   UNION ALL
-  SELECT source, a[i] || '-' || a[i + 1] FROM (SELECT source, a, unnest(range(1, len(a), 7)) AS i FROM t)),
+  SELECT source, unnest(list_transform(list_zip(a[:-2], a[2:]), lambda p: p[1] || '-' || p[2])) FROM t WHERE len(a) > 1),
 l1 AS (
   SELECT label, bool_or(source <> 'src9') AS known, bool_or(source NOT IN ('src8', 'src9')) AS in_zone, bool_or(source <> 'src0') AS staged
   FROM l0 GROUP BY label
@@ -50,7 +50,7 @@ lex AS (
     length(label) - length(replace(label, '-', '')) AS hyphen_count,
     list_max(list_transform(regexp_split_to_array(label, '{_CONSONANT}+'), lambda x: length(x))) AS max_consonant_run,
     len(list_distinct(regexp_extract_all(label, '.'))) / length(label) AS unique_char_ratio,
-    starts_with(label, 'xn--') AS is_idn
+    starts_with(label, 'xn--') OR regexp_matches(label, '[^\\x00-\\x7F]') AS is_idn
   FROM s),
 three AS (
   SELECT label, tld, 0.30 * least(1.0, entropy / 4.8) + 0.20 * least(1.0, max_consonant_run / 5.0) + 0.15 * greatest(0.0, 0.35 - vowel_ratio) / 0.35 AS r
@@ -78,8 +78,17 @@ like_ AS (
   FROM s LEFT JOIN lp USING (label, tld) LEFT JOIN fit USING (tld))"""
 
 
+#: All single look-alikes and their letters.
+_SINGLE = "".join(ASCII_LOOKALIKES) + "".join(LOOKALIKES.values())
+_LETTER = "".join(ASCII_LOOKALIKES.values()) + "".join(k * len(v) for k, v in LOOKALIKES.items())
+
+
 def _fold(x: str) -> str:
-    return f"translate(replace(replace(replace({x}, 'rn', 'm'), 'vv', 'w'), 'cl', 'd'), '01345789', 'oleastbg')"
+    return f"replace(translate(replace(replace(replace({x}, 'rn', 'm'), 'vv', 'w'), 'cl', 'd'), '{_SINGLE}', '{_LETTER}'), 'ß', 'ss')"
+
+
+#: The label with one ASCII sign, which no brand has, for each other character: distances here count bytes.
+_BYTES = "regexp_replace(label, '[^\\x00-\\x7F]', '~', 'g')"
 
 
 _WORDS = ("authentication|password|security|account|banking|payment|webmail|secure|signin|verify|login|auth|sso")
@@ -110,9 +119,9 @@ hits AS (
   UNION ALL SELECT label, tld, 'bitsquat', brand, 1 FROM n JOIN flips ON label = key WHERE label <> brand
   UNION ALL SELECT label, tld, 'keyboard', brand, 1 FROM n JOIN slips ON label = key WHERE label <> brand
   UNION ALL SELECT label, tld, CASE WHEN length(label) > length(brand) THEN 'insertion' WHEN length(label) < length(brand) THEN 'omission'
-                               WHEN hamming(label, brand) = 1 THEN 'replacement' ELSE 'transposition' END, brand, 1
+                               WHEN hamming({_BYTES}, brand) = 1 THEN 'replacement' ELSE 'transposition' END, brand, 1
     FROM n JOIN b ON CASE WHEN length(brand) >= 5 AND abs(length(label) - length(brand)) <= 1 AND label <> brand
-                          THEN damerau_levenshtein(label, brand) = 1 ELSE false END
+                          THEN damerau_levenshtein({_BYTES}, brand) = 1 ELSE false END
   UNION ALL SELECT label, tld, 'combosquat', brand, NULL FROM beside
     WHERE regexp_matches(aft, '^-?({_WORDS})') OR regexp_matches(bef, '({_WORDS})-?$')
        OR ((starts_with(aft, '-') OR ends_with(bef, '-')) AND length(brand) >= 5)
@@ -155,11 +164,6 @@ st AS (
          CASE WHEN tld = 'ch' THEN '2026-01-02' ELSE '2026-01-01' END AS transferred_at
   FROM z GROUP BY tld)"""
 
-#: All single look-alikes and their letters.
-_SINGLE = "".join(ASCII_LOOKALIKES) + "".join(LOOKALIKES.values())
-_LETTER = "".join(ASCII_LOOKALIKES.values()) + "".join(k * len(v) for k, v in LOOKALIKES.items())
-
-
 ORACLES: dict[str, str] = {
     "zone_diff_counts": ZONE + """
 SELECT count(*) FILTER (WHERE e1 = 'ADDED_TO_ZONE') AS added, count(*) FILTER (WHERE e1 = 'REMOVED_FROM_ZONE') AS removed,
@@ -269,17 +273,17 @@ FROM tot JOIN fit USING (tld)""",
     "word_skeletons": rf"""
 WITH w AS (
   SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+')) AS label FROM documents)
-SELECT label, replace(translate(replace(replace(replace(label, 'rn', 'm'), 'vv', 'w'), 'cl', 'd'), '{_SINGLE}', '{_LETTER}'), 'ß', 'ss') AS skeleton,
+SELECT label, {_fold('label')} AS skeleton,
        regexp_matches(label, '[^\x00-\x7F]') AS is_homograph
 FROM w WHERE label <> ''""",
     # the distance here is the unrestricted one; it parts from the restricted one only where a swap's letters are parted again
     "squat_typo_two": ZONE + ALL_LABELS + f""",
 b AS (SELECT unnest({_values(BRANDS)}) AS brand),
 d AS (
-  SELECT *, damerau_levenshtein(label, brand) AS distance
+  SELECT *, damerau_levenshtein({_BYTES}, brand) AS distance
   FROM n JOIN b ON abs(length(label) - length(brand)) <= 2 AND label <> brand AND length(brand) >= 5)
 SELECT label, tld, CASE length(label) - length(brand) WHEN 1 THEN 'insertion' WHEN -1 THEN 'omission'
-         WHEN 0 THEN CASE WHEN distance = 1 AND hamming(label, brand) = 2 THEN 'transposition' ELSE 'replacement' END ELSE 'typo' END AS method,
+         WHEN 0 THEN CASE WHEN distance = 1 AND hamming({_BYTES}, brand) = 2 THEN 'transposition' ELSE 'replacement' END ELSE 'typo' END AS method,
        brand, distance::INTEGER AS distance
 FROM d WHERE distance <= 2""",
     "analyse_names": ZONE + ALL_LABELS + HITS + LEXICAL + NGRAM + f""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,9 +67,8 @@ def zone_stage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, staged = wordzone.zone(spark, sf_dir)
     if _whole(sf_dir):
         staged = staged.withColumn("name", names.display(F.col("name")))
-    capitals = F.upper("name")
-    if _whole(sf_dir):  # some letters have capitals that aren't theirs alone; reversed, as Spark reads lower(upper(x)) as lower(x)
-        capitals = F.when(F.lower(F.reverse(capitals)) == F.reverse("name"), capitals).otherwise(F.col("name"))
+    # some letters have capitals that aren't theirs alone; reversed, as Spark reads lower(upper(x)) as lower(x)
+    capitals = F.when(F.lower(F.reverse(F.upper("name"))) == F.reverse("name"), F.upper("name")).otherwise(F.col("name"))
     raw = staged.select(F.explode(F.array(F.concat(capitals, F.lit(".")), F.concat(F.lit(" \t"), "name", F.lit("  ")))).alias("raw_name"), "tld")
     return staging.stage(raw, idn=_whole(sf_dir))
 
@@ -111,7 +111,7 @@ def zone_text_awkward(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _raw_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(kind, raw_name, tld): today's names with a dot, between blanks, with a word behind, and too long."""
     _, staged = wordzone.zone(spark, sf_dir)
-    forms = {"dot": F.concat(F.upper("name"), F.lit(".")), "blank": F.concat(F.lit(" \t"), "name", F.lit("  ")),
+    forms = {"dot": F.concat(F.translate("name", ascii_lowercase, ascii_uppercase), F.lit(".")), "blank": F.concat(F.lit(" \t"), "name", F.lit("  ")),
              "space": F.concat("name", F.lit(" x")), "long": F.concat("name", F.lit("." + "x" * 250))}
     return staged.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("raw_name")) for k, v in forms.items()))).alias("r"), "tld").select("r.*", "tld")
 
@@ -399,6 +399,6 @@ def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged.select("name", names.display(F.col("name")).alias("display"), confusables.is_homograph(F.col("name")).alias("is_homograph"))
 
 
-#: The same on the whole zone, and its names decoded. A-labels can't be said in SQL; plain versions test them.
+#: The same on names as A-labels, which SQL can't say, and those decoded; plain versions test them.
 WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "whole_display_names": display_names, **{f"whole_{k}": _of_whole(q) for k, q in QUERIES.items()}}

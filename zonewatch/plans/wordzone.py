@@ -28,19 +28,17 @@ IDN_SQUATS = ("thаnedble", "оrantion", "thintiоn", "onblееa", "thshíng", "
 
 
 class Whole(str):
-    """A folder of tables whose zone is whole: words in all scripts, as A-labels, and pairs at every position.
+    """A folder of tables whose zone has A-labels, and squats in other scripts.
 
-    On a plain path the zone is what the SQL says: words of a-z and digits, and pairs of every seventh."""
+    On a plain path the same words and pairs are labels as they are written, which SQL can say too."""
 
 
 def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(label, source): words of 3 to 63 letters and digits, and hyphenated pairs."""
-    whole = isinstance(sf_dir, Whole)
-    allowed, step = (r"^[\p{L}\p{N}]+$", 1) if whole else ("^[a-z0-9]+$", 7)
+    """(label, source): all words of 3 to 63 letters and digits, in any script, and all hyphenated pairs."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", F.coalesce("source", F.lit("")).alias("source"))
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w.rlike(allowed) & F.length(w).between(3, 63))
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w).between(3, 63))
     rows = docs.select("source", words.alias("w"))
-    pairs = F.when(F.size("w") >= 2, F.transform(F.sequence(F.lit(1), F.size("w") - 1, F.lit(step)),
+    pairs = F.when(F.size("w") >= 2, F.transform(F.sequence(F.lit(1), F.size("w") - 1),
                                                  lambda i: F.concat(F.get("w", i - 1), F.lit("-"), F.get("w", i))))
     return rows.select("source", F.explode(F.concat("w", F.coalesce(pairs, F.array().cast("array<string>")))).alias("label"))
 
