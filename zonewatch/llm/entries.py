@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, chat, embdedup, hilbert, knn, langid, linedup, lshforest, packing, toxicity
+from . import bytebpe, chat, embdedup, hilbert, knn, langid, licenses, linedup, lshforest, packing, periodic, spelling, toxicity
 from .common import prepare, table, text_crc
 
 
@@ -102,6 +102,50 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of every document's words; those of every tenth hash are made periodic from some word on."""
+    prepare(spark)
+    h, words = text_crc(F.col("doc_id")), F.col("words")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(
+        h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("words"))
+    docs = docs.withColumn("a", F.when(F.size("words") > 0, F.col("g") % F.size("words")))
+    docs = docs.withColumn("p", 1 + F.floor((F.size("words") - F.col("a")) / (3 + F.col("g") % 8)))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    cyclic = F.array_join(F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, place(i))), " ")
+    docs = docs.select("doc_id", F.when(F.col("a").isNotNull(), cyclic).otherwise(F.col("text")).alias("text"))
+    first = F.expr("""get(array_sort(runs, (a, b) -> CASE
+        WHEN a.length * b.period <> b.length * a.period THEN if(a.length * b.period > b.length * a.period, -1, 1)
+        WHEN a.start <> b.start THEN if(a.start < b.start, -1, 1) ELSE sign(a.period - b.period)::int END), 0)""")
+    found = periodic.find(docs, ["doc_id"]).withColumn("first", first)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "first.start", "first.length", "first.period",
+        F.expr("1000 * first.length DIV first.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices of every document. The score is the best similarity found."""
+    found = licenses.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    base = F.filter("hits", lambda x: x["exact"])
+    starts = F.transform(base, lambda x: x["start"])
+    names = lambda of: F.array_join(F.array_sort(F.array_distinct(F.transform(of, lambda x: x["label"]))), ",")
+    return found.select(
+        "kept.doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), names(base).alias("base_labels"), names(F.col("hits")).alias("labels"),
+        F.greatest("below", F.coalesce(F.array_max(F.transform("hits", lambda x: x["similarity"])), F.lit(0.0))).alias("score"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents below their commonest spelling; of every 97th hash one letter is gone."""
+    prepare(spark)
+    runs = spelling.letter_runs(table(spark, sf_dir, "documents"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"))
+    h, run = F.crc32(F.concat("doc", F.lit(":"), "run").cast("binary")), F.col("run")
+    cut = (h % F.length(run)).cast("int")
+    word = F.when(h % 97 == 0, F.concat(F.substring(run, F.lit(1), cut), F.substring(run, cut + 2, F.length(run)))).otherwise(run)
+    return spelling.forms(spelling.vocabulary(runs.select(word.alias("word"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -113,6 +157,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_license_scan": op12_license_scan,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: Smallest id that each linked id reaches, of links (a, b) in both directions.
@@ -133,6 +180,24 @@ def _crc_table() -> list[int]:
     return out
 
 
+def _crc_sql(text: str) -> str:
+    """crc32 of a text's UTF-8 bytes, unsigned."""
+    b = f"hex(encode({text}))"
+    return (f"xor(list_reduce(list_transform(range(0, length({b}) // 2), lambda i: ('0x' || substr({b}, 2 * i + 1, 2))::BIGINT), "
+            f"lambda c, x: xor(c >> 8, {_crc_table()}[(xor(c, x) & 255) + 1]), 4294967295), 4294967295)")
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _licence_templates() -> str:
+    """The templates' 2-grams and labels as relations g and t."""
+    templates = (*licenses.PHRASES, *licenses.NOTICES)
+    pairs = ", ".join(f"({n}, {at}, '{a}', '{b}')" for n, at, a, b in licenses.grams(templates))
+    named = ", ".join(f"({i}, '{label}', {i < len(licenses.PHRASES)}, {len(words.split()) - 1})" for i, (words, label) in enumerate(templates))
+    return f"g(template, place, a, b) AS (VALUES {pairs}),\nt(template, label, exact, n_grams) AS (VALUES {named})"
+
+
 def _hilbert_sql(dims: int = 4, bits: int = 4) -> str:
     """Relations h0 to the last that turn the cells x0, x1, ... of h0 step by step into `curve`."""
     def step(n: int, new: dict[str, str]) -> str:
@@ -241,4 +306,76 @@ m AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op11_periodic_runs": f"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+         {_crc_sql("coalesce(doc_id::VARCHAR, '')")} AS h FROM documents),
+a AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN h // 10 % len(w) END AS a FROM w),
+p AS (SELECT *, 1 + (n - a) // (3 + h // 10 % 8) AS p FROM a),
+t AS (
+  SELECT r, n, pos, w[1 + CASE WHEN a IS NULL OR pos < a THEN pos ELSE a + (pos - a) % p END] AS word
+  FROM (SELECT *, unnest(range(0, n)) AS pos FROM p)),
+same AS (
+  SELECT x.r, y.pos - x.pos AS q, x.pos FROM t x JOIN t y ON x.r = y.r AND x.word = y.word AND y.pos > x.pos AND 4 * (y.pos - x.pos) <= x.n),
+island AS (SELECT *, pos - row_number() OVER (PARTITION BY r, q ORDER BY pos) AS i FROM same),
+stretch AS (SELECT r, q, min(pos) AS start, count(*) + q AS length FROM island GROUP BY r, q, i HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT r, start, length, min(q) AS period FROM stretch GROUP BY r, start, length),
+listed AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS s FROM runs GROUP BY r),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+left_over AS (
+  SELECT r, string_agg(word, ' ' ORDER BY pos) AS s FROM t
+  WHERE NOT EXISTS (SELECT 1 FROM runs u WHERE u.r = t.r AND t.pos >= u.start + u.period AND t.pos < u.start + u.length) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       sha256(coalesce(listed.s, '')) AS runs_sha256, sha256(coalesce(left_over.s, '')) AS collapsed_sha256
+FROM p LEFT JOIN listed USING (r) LEFT JOIN best USING (r) LEFT JOIN left_over USING (r)""",
+    "op12_license_scan": f"""
+WITH {_licence_templates()},
+w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+v AS (
+  SELECT r, template, pos - 1 - place AS start, place
+  FROM (SELECT r, pos, w[pos] AS a, w[pos + 1] AS b FROM (SELECT r, w, unnest(range(1, len(w))) AS pos FROM w)) JOIN g USING (a, b)),
+d AS (SELECT r, template, start, count(*) AS own FROM v GROUP BY r, template, start),
+m AS (
+  SELECT d.r, d.template, d.start, d.own, count(DISTINCT v.place) AS covered
+  FROM d JOIN v ON v.r = d.r AND v.template = d.template AND abs(v.start - d.start) <= 2 GROUP BY d.r, d.template, d.start, d.own),
+s AS (
+  SELECT m.*, label, exact, (CASE WHEN exact THEN own ELSE covered END)::DOUBLE / n_grams AS similarity,
+         NOT EXISTS (SELECT 1 FROM m o WHERE o.r = m.r AND o.template = m.template AND abs(o.start - m.start) <= 2
+                     AND (o.covered, o.own, -o.start) > (m.covered, m.own, -m.start)) AS best
+  FROM m JOIN t USING (template)),
+h AS (SELECT *, CASE WHEN exact THEN similarity = 1 ELSE similarity >= 0.75 AND best END AS hit FROM s),
+o AS (
+  SELECT r, count(*) FILTER (hit AND exact) AS n_base, min(start) FILTER (hit AND exact) AS first_word, max(start) FILTER (hit AND exact) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (hit AND exact) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (hit) AS labels, max(similarity) FILTER (hit OR NOT exact) AS score
+  FROM h GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM w LEFT JOIN o USING (r)""",
+    "op13_spelling_variants": f"""
+WITH RECURSIVE x AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS doc, {_LOWER.format("run")} AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents) GROUP BY 1, 2),
+h AS (SELECT run, n, {_crc_sql("doc || ':' || run")} AS h FROM x),
+c AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM c WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+gone AS MATERIALIZED (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS MATERIALIZED (
+  SELECT x.word, y.word AS near FROM gone x JOIN gone y ON x.d = y.d AND x.i = y.i AND x.word <> y.word
+  UNION SELECT word, d FROM gone WHERE d IN (SELECT word FROM words)
+  UNION SELECT d, word FROM gone WHERE d IN (SELECT word FROM words)),
+ranked AS (
+  SELECT near.word, near, w.n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY w.n DESC, near) AS place
+  FROM near JOIN words w ON w.word = near.near),
+f AS MATERIALIZED (
+  SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN ranked.n >= 2 * words.n THEN near END AS form,
+         CASE WHEN ranked.n >= 2 * words.n THEN ranked.n END AS form_n
+  FROM words LEFT JOIN ranked ON ranked.word = words.word AND place = 1),
+up(word, root) AS (
+  SELECT word, word FROM f WHERE form IS NULL
+  UNION ALL SELECT f.word, up.root FROM up JOIN f ON f.form = up.word)
+SELECT f.word, n, n_near, form, form_n, root FROM f JOIN up USING (word)""",
 }
