@@ -334,9 +334,28 @@ def test_language_without_rows(spark, docs):
     assert langid.predict(empty(spark), model).count() == 0
 
 
-def test_model_size_is_bounded(docs):
-    with pytest.raises(ValueError):
-        langid.fit(docs, F.lit(True), max_model_bytes=8192)
+def test_model_size_is_bounded(spark, docs):
+    """A column with thousands of values costs the rarest ones, not the job."""
+    junk = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("some text here").alias("text"), F.concat(F.lit("zz"), "id").alias("lang"))
+    both = docs.select("doc_id", "text", "lang").unionByName(junk)
+    model = langid.fit(both, F.lit(True), n_buckets=1 << 12, max_model_bytes=3 * 4 << 12)
+    assert len(model.langs) == 3 and {"de", "en"} < set(model.langs) and model.weights.shape == (1 << 12, 3)
+    assert langid.fit(docs, F.lit(True), max_model_bytes=8192).langs == []
+
+
+def test_odd_words_beside_long_runs():
+    """A run of 200,000 letters before an odd word, and what odd words are."""
+    import random
+    import time
+
+    start, odd = time.time(), re.compile(toxicity._ODD)
+    assert odd.findall("z" * 200_000 + " a1b") == ["a1b"] and odd.findall("z" * 200_000 + "1" * 200_000) == []
+    assert time.time() - start < 2
+    plain = re.compile(r"[^\W\d_]+[0-9@$!*|]+[^\W\d_]+")
+    rng = random.Random(2)
+    for _ in range(3000):
+        text = "".join(rng.choice("aé1@ _²") for _ in range(rng.randint(0, 14)))
+        assert odd.findall(text) == plain.findall(text)
 
 
 def test_toxicity(spark):

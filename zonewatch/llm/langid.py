@@ -7,9 +7,10 @@ gathering the rows of the buckets present and summing them per text.
 
 `fit` learns from a bounded sample: about `per_lang` rows of each language, chosen by a 64-bit hash
 of id and text; equal texts of a language count once. A text's counts are divided by the square root
-of their number, so that one very long odd text doesn't make up a language. Counting is a Spark aggregation; only
-buckets x languages counts reach the driver. The matrix must fit into `max_model_bytes`, or `fit`
-raises ValueError; the number of buckets never depends on the data.
+of their number, so that one very long odd text doesn't make up a language. Counting is a Spark aggregation; a
+language's counts reach the driver as one array of floats. The matrix has at most `max_model_bytes`: of
+more languages than it can hold, those with most rows are learned (ties: first in order), so a column
+with junk in it costs the rarest values, not the job. The number of buckets never depends on the data.
 
 A null text, or one without a letter, is `und` with score 0. With nothing to learn from (an empty
 table, no language given), every text is `und`. The score is the prediction's posterior with the
@@ -87,26 +88,35 @@ def _count(n_buckets: int, max_n: int):
     return count
 
 
+def _column(n_buckets: int):
+    def column(p: pd.DataFrame) -> pd.DataFrame:
+        whole = np.zeros(n_buckets)
+        whole[p["bucket"]] = p["n"]
+        return pd.DataFrame({"lang": p["lang"].iloc[:1], "n": [whole.tobytes()]})
+    return column
+
+
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         per_lang: int = 3000, n_buckets: int = 1 << 15, max_n: int = 3, evidence: int = 60,
         max_model_bytes: int = 256 << 20) -> Model:
     """Learn from the rows where `learn` holds and text and language are given."""
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = rows.groupBy("lang").count()
-    langs = sorted(r["lang"] for r in sizes.collect())
-    if n_buckets * len(langs) * 4 > max_model_bytes:
-        raise ValueError(f"{len(langs)} languages of {n_buckets} buckets exceed {max_model_bytes} bytes")
+    most = max_model_bytes // (4 * n_buckets)
+    chosen = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()  # as many as the model can hold
+    langs = sorted(r["lang"] for r in chosen)
     if not langs:
         return Model([], np.zeros((n_buckets, 0), np.float32), max_n, evidence)
-    sample = (rows.join(F.broadcast(sizes), "lang")  # one row a language, as many as the model can hold
+    sizes = docs.sparkSession.createDataFrame([(r["lang"], r["count"]) for r in chosen], "lang string, count long")
+    sample = (rows.join(F.broadcast(sizes), "lang")
               .where(hash_fraction("langid", F.col("id"), F.col("text")) * F.col("count") < per_lang)
               .select("lang", "text").distinct())
     counts = (sample.mapInPandas(_count(n_buckets, max_n), "lang string, bucket int, n double")
-              .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())
-    matrix = np.zeros((n_buckets, len(langs)))
-    at = {x: i for i, x in enumerate(langs)}
-    matrix[counts["bucket"], counts["lang"].map(at)] = counts["n"]
+              .groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+              .groupBy("lang").applyInPandas(_column(n_buckets), "lang string, n binary"))  # a row a bucket at most
+    matrix, at = np.zeros((n_buckets, len(langs))), {x: i for i, x in enumerate(langs)}
+    for r in counts.toLocalIterator():
+        matrix[:, at[r["lang"]]] = np.frombuffer(r["n"], np.float64)
     matrix += SMOOTHING
     return Model(langs, np.log(matrix / matrix.sum(axis=0)).astype(np.float32), max_n, evidence)
 

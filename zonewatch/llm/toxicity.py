@@ -40,7 +40,8 @@ FEATURES = ("hit_words", "hit_rate", "hit_kinds", "word_hits", "prefix_hits", "m
 
 #: One letter, look-alikes between letters ("1d!ot", "st*pid"), or letters spaced out ("i d i o t").
 _WORD = r"[^\W\d_]+"
-_ODD = r"[^\W\d_]+[0-9@$!*|]+[^\W\d_]+"
+#: Tried only where a run of letters begins, and nothing is given back: a long run costs its length once.
+_ODD = r"(?<![^\W\d_])[^\W\d_]++[0-9@$!*|]++[^\W\d_]++"
 _FOLD = str.maketrans("0134578@$!|", "oleastbasil")
 
 
