@@ -40,7 +40,7 @@ def test_top_k(spark, pivots, block, chunk):
 
 def test_top_k_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
-    assert [(r.query_id, r["rank"], r.id) for r in knn.top_k(df, F.col("id") == 0).collect()] == [(0, 1, 1)]
+    assert sorted((r.query_id, r["rank"], r.id) for r in knn.top_k(df, F.col("id") == 0).collect()) == [(0, 1, 1), (0, 2, 1)]
     assert knn.top_k(df.limit(0), F.col("id") == 0).count() == 0
 
 
@@ -129,3 +129,50 @@ def test_parts_join_up(text, limit):
 
 
 ENC = []
+
+
+def awkward_vectors(seed):
+    """Ids that repeat with the same and with other vectors, and vectors of three lengths."""
+    rng = np.random.default_rng(seed)
+    rows = [(int(rng.integers(0, 60)), [float(np.float32(v)) for v in rng.integers(-2, 3, d)]) for d in [3] * 80 + [5] * 30 + [2] * 6]
+    return rows + rows[:20] + [(1, [1.0, 0.0, 0.0]), (1, [1.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0]), (100, None), (50, [0.0] * 3)]
+
+
+@pytest.mark.parametrize("seed,pivots,block", [(1, 64, 4096), (2, 3, 7)])
+def test_top_k_of_repeated_ids(spark, seed, pivots, block):
+    rows = awkward_vectors(seed)
+    want = []
+    for n, (i, q) in enumerate(rows):
+        if i % 50 == 0 and q:
+            others = [(-sum(int(256 * a) * int(256 * b) for a, b in zip(q, x)), j) for m, (j, x) in enumerate(rows) if m != n and x and len(x) == len(q)]
+            want.append((i, [(j, -s) for s, j in sorted(others)[:5]]))
+    got = {}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    found = knn.top_k(df, F.col("id") % 50 == 0, 5, n_pivots=pivots, block=block, chunk=2).collect()
+    for r in found:
+        got.setdefault((r.query_id, r["rank"]), []).append((r.id, r.score))
+    plain = {}
+    for i, best in want:
+        for k, x in enumerate(best):
+            plain.setdefault((i, k + 1), []).append(x)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in plain.items()}
+
+
+@pytest.mark.parametrize("seed,block", [(1, 8192), (2, 16)])
+def test_links_of_repeated_ids(spark, seed, block):
+    rows = awkward_vectors(seed)
+    nodes = sorted({(i, tuple(v)) for i, v in rows if v and any(v)})
+    near = lambda a, b: len(a) == len(b) and np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b) >= 0.9
+    links = {a: [b for b in nodes if a != b and near(a[1], b[1])] for a in nodes}
+    want = {}
+    for a in nodes:
+        seen, todo = {a}, [a]
+        while todo:
+            todo = [b for b in {b for x in todo for b in links[x]} if b not in seen]
+            seen |= set(todo)
+        want[a] = (a[0], len(links[a]), min(seen)[0])
+    plain = sorted(want[i, tuple(v)] if v and any(v) else (i, 0, i) for i, v in rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    assert sorted((r.id, r.n_links, r.component_id) for r in embdedup.near_duplicates(df, 0.9, block=block).collect()) == plain
+    assert (1, 2, 1) not in [(r.id, r.n_links, r.component_id) for r in embdedup.near_duplicates(
+        spark.createDataFrame([(1, [1.0]), (1, [1.0]), (2, [1.0])], "vec_id long, embedding array<double>")).collect()]

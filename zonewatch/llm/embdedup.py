@@ -10,9 +10,10 @@ any more is out, and only the others go on to the next dimensions. What is left
 cosine of the original vectors in double precision. A tile returns a row a vector: its links there,
 and the smallest id of its component there. Pairs are never written out.
 
-A vector that is null, zero, holds a null or non-finite component, has a null id, or has another
-length than most links with nothing and is kept. Rows that repeat an id are one node with the links
-of each. An empty table gives no rows; other columns are ignored, whatever their names.
+A vector that is null, zero, holds a null or non-finite component, or has a null id links with nothing
+and is kept. Only vectors of one length are compared. Rows that repeat an id and its vector are one vector
+and link with what it links with, not with each other; an id with several vectors names several
+vectors, each with links and a component of its own. An empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, ranked, save
-from .vectors import stack, valid
+from .common import components, hot_keys, lookup, ranked, save
+from .vectors import by_length, stack, valid
 
 
 #: Blocks at most, so a bounded table of them is broadcast and a vector is sent to a bounded number of tiles.
@@ -64,8 +65,7 @@ def _along(shared):
             if b.num_rows:
                 x = _rows(b.column("v"))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("rep"), b.column("weight"), pa.array(_units(x) @ axis), pa.array([r.tobytes() for r in x], pa.binary())],
-                    names=["rep", "weight", "first", "x"])
+                    [*b.columns, pa.array(_units(x) @ axis), pa.array([r.tobytes() for r in x], pa.binary())], names=[*b.schema.names, "first", "x"])
     return along
 
 
@@ -152,22 +152,38 @@ def _tile(threshold: float, shared, kind, size: int = 1024):
 def near_duplicates(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding",
                     block: int = 8192) -> DataFrame:
     """(id, n_links, component_id, kept) for every row: links are cosines of at least `threshold`."""
-    spark = df.sparkSession
-    id_type = df.schema[id_col].dataType
-    rows = save(valid(df, id_col, vec_col).where(F.exists("v", lambda x: x != 0)), "vectors")
-    classes = save(rows.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("weight")), "classes")
-    moments = classes.select("v").mapInArrow(_moments, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
-    if not moments:
-        return df.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("n_links"),
-                         F.col(id_col).alias("component_id"), F.lit(True).alias("kept"))
-    d = max(r["i"] for r in moments) + 1
+    usable = valid(df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("given")), "id", "given")
+    rows = save(usable.where(F.exists("v", lambda x: x != 0)).distinct(), "vectors")
+    found = None
+    for part in by_length(rows):
+        links = _links(part, threshold, block)
+        found = links if found is None or links is None else found.unionByName(links)
+    given = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast(rows.schema["v"].dataType).alias("v"))
+    if found is None:
+        out = given.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    else:
+        out = (given.join(found, ["id", "v"], "left")
+               .select("id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+
+
+def _links(rows: DataFrame, threshold: float, block: int) -> DataFrame | None:
+    """(id, v, links, component) of distinct (id, v), all of one length. Inside, a class of equal vectors
+    goes by its rank on the first axis, so that an id with several vectors is several classes."""
+    spark, id_type = rows.sparkSession, rows.schema["id"].dataType
+    classes = save(rows.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("weight")), "classes")
+    moments = classes.select("v").mapInArrow(_moments, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas()
+    if not len(moments):
+        return None
+    d = int(moments["i"].max()) + 1
     matrix = np.zeros((d, d))
-    for r in moments:  # length x length numbers
-        matrix[r["i"], r["j"]] = r["s"]
+    matrix[moments["i"], moments["j"]] = moments["s"]  # length x length numbers
     axes = spark.sparkContext.broadcast(np.linalg.eigh((matrix + matrix.T) / 2)[1][:, ::-1].copy())
-    turned = classes.mapInArrow(_along(axes), T.StructType([T.StructField("rep", id_type), *T.StructType.fromDDL("weight long, first double, x binary").fields]))
+    v_type = classes.schema["v"].dataType
+    turned = classes.select("v", "least", "weight").mapInArrow(_along(axes), T.StructType([
+        T.StructField("v", v_type), T.StructField("least", id_type), *T.StructType.fromDDL("weight long, first double, x binary").fields]))
     block = max(block, -(-classes.count() // MAX_BLOCKS))
-    blocked = ranked(save(turned, "turned"), "first", "rep").withColumn("i", F.expr(f"int(rank div {block})"))
+    blocked = save(ranked(turned, "first", "least", "x").withColumnRenamed("rank", "rep").withColumn("i", F.expr(f"int(rep div {block})")), "turned")
     # a block's rows lie between two angles on the first axis; further than arccos(threshold) apart nothing links
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("first"))))
     spans = sorted((r["i"], r["low"], r["high"]) for r in blocked.groupBy("i").agg(F.min(angle).alias("low"), F.max(angle).alias("high")).collect())
@@ -177,21 +193,16 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
     last = np.maximum(last, np.arange(len(names)))
     since = np.minimum(np.searchsorted(last, np.arange(len(names))), np.arange(len(names)))
     reach = spark.createDataFrame([(int(i), int(x), int(y)) for i, x, y in zip(names, last, since)], "i int, last int, since int")
-    spread = blocked.join(F.broadcast(reach), "i")  # a row a block
+    spread = blocked.select("i", "rep", "weight", "x").join(F.broadcast(reach), "i")  # a row a block
     left = spread.select(F.col("i"), F.explode(F.expr("sequence(i, last)")).alias("j"), F.lit(0).alias("side"), "rep", "weight", "x")
     right = spread.where("since < i").select(F.explode(F.expr("sequence(since, i - 1)")).alias("i"), F.col("i").alias("j"),
                                              F.lit(1).alias("side"), "rep", "weight", "x")
-    out = T.StructType([T.StructField("id", id_type), T.StructField("links", T.LongType()), T.StructField("label", id_type)])
-    dtype = "<f4" if classes.schema["v"].dataType.simpleString() == "array<float>" else "<f8"
-    found = save(left.unionByName(right).groupBy("i", "j").applyInPandas(_tile(threshold, axes, dtype), out), "links")
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    groups = components(found.where("id <> label"), "id", "label")
-    per_class = (classes.select("v", "rep", "weight")
-                 .join(links.withColumnRenamed("id", "rep"), "rep", "left")
-                 .join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-                 .select("v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"),
-                         F.coalesce("component", "rep").alias("component")))
-    per_id = rows.join(per_class, "v").groupBy("id").agg(F.sum("links").alias("links"), F.min("component").alias("component"))
-    return (df.select(F.col(id_col).alias("id")).join(per_id, "id", "left")
-            .select("id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-            .withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))))
+    dtype = "<f4" if v_type.simpleString() == "array<float>" else "<f8"
+    found = save(left.unionByName(right).groupBy("i", "j").applyInPandas(_tile(threshold, axes, dtype), "id long, links long, label long"), "links")
+    links = found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
+    groups = components(found.where("id <> label"), "id", "label").withColumnRenamed("node", "rep")
+    per_class = save(blocked.select("v", "rep", "least", "weight").join(links, "rep", "left").join(groups, "rep", "left").select(
+        "v", "least", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("group")), "classes")
+    smallest = per_class.groupBy("group").agg(F.min("least").alias("component"))
+    named = lookup(per_class.drop("least"), smallest, "group", hot_keys(per_class, "group"))
+    return rows.join(named, "v").select("id", "v", "links", "component")

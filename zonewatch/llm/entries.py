@@ -271,24 +271,27 @@ SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce(c, doc_id)) AS compo
 FROM sets LEFT JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) ON a = doc_id""",
     "op6_voronoi_knn": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 p AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+  SELECT q.r AS asks, q.vec_id AS query_id, c.r, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.r <> c.r AND len(q.e) = len(c.e))
+SELECT query_id, row_number() OVER (PARTITION BY asks ORDER BY score DESC, vec_id, r)::INTEGER AS rank, vec_id, score
 FROM p QUALIFY rank <= 5""",
     "op8_embedding_dedup": """
-WITH RECURSIVE v AS (
+WITH RECURSIVE g AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, e) AS r, vec_id, e FROM (SELECT DISTINCT vec_id, e FROM g)),
 links AS (
-  SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id <> q.vec_id AND list_cosine_similarity(p.e, q.e) >= 0.9),""" + _REACH + """
-SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(c, vec_id)) AS kept
-FROM embeddings
-LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = vec_id
-LEFT JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = vec_id""",
+  SELECT p.r AS a, q.r AS b FROM v p JOIN v q ON p.r <> q.r AND len(p.e) = len(q.e) AND list_cosine_similarity(p.e, q.e) >= 0.9),""" + _REACH + """,
+found AS (
+  SELECT v.vec_id, e, coalesce(n, 0) AS n_links, least(v.vec_id, coalesce(c, v.vec_id)) AS component_id
+  FROM v LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = v.r
+  LEFT JOIN (SELECT a, min(o.vec_id) AS c FROM reach JOIN v o ON o.r = b GROUP BY a) m ON m.a = v.r)
+SELECT t.vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, t.vec_id) AS component_id, t.vec_id = coalesce(component_id, t.vec_id) AS kept
+FROM embeddings t LEFT JOIN found ON found.vec_id = t.vec_id AND found.e = t.embedding::DOUBLE[]""",
     "op9_line_dedup": """
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
