@@ -11,7 +11,7 @@ def _values(words) -> str:
 
 
 ZONE = rf"""
-WITH t AS (
+WITH RECURSIVE t AS (
   SELECT coalesce(source, '') AS source,
          list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'),
                      lambda w: length(w) BETWEEN 3 AND 63) AS a
@@ -164,6 +164,26 @@ st AS (
          CASE WHEN tld = 'ch' THEN '2026-01-02' ELSE '2026-01-01' END AS transferred_at
   FROM z GROUP BY tld)"""
 
+#: Labels of n within two edits of the brands of b. What is at most as far in the unrestricted distance is
+#: measured again, row by row of the plain table: a character that was swapped isn't edited once more.
+TWO_EDITS = f"""
+near AS MATERIALIZED (
+  SELECT label, tld, brand, string_split(label, '') AS x, string_split(brand, '') AS y FROM n JOIN b ON
+    CASE WHEN length(brand) >= 5 AND abs(length(label) - length(brand)) <= 2 AND label <> brand THEN damerau_levenshtein({_BYTES}, brand) <= 2 ELSE false END),
+plain AS (
+  SELECT label, tld, brand, x, y, 0 AS i, range(0, len(y) + 1) AS now, NULL::BIGINT[] AS before FROM near
+  UNION ALL
+  SELECT label, tld, brand, x, y, i + 1, list_transform(step, lambda v, j: list_min(list_transform(range(1, j + 1), lambda k: step[k] + j - k))), now
+  FROM (
+    SELECT *, list_transform(range(0, len(y) + 1), lambda j: CASE WHEN j = 0 THEN i + 1 ELSE least(now[j + 1] + 1, now[j] + (x[i + 1] <> y[j])::BIGINT,
+             CASE WHEN i > 0 AND j > 1 AND x[i + 1] = y[j - 1] AND x[i] = y[j] THEN before[j - 1] + 1 ELSE 99 END) END) AS step
+    FROM plain WHERE i < len(x))),
+d AS (SELECT label, tld, brand, x, y, now[len(y) + 1] AS distance FROM plain WHERE i = len(x))
+SELECT label, tld, CASE len(x) - len(y) WHEN 1 THEN 'insertion' WHEN -1 THEN 'omission' WHEN 0 THEN
+         CASE WHEN distance = 1 AND len(list_filter(range(1, len(x) + 1), lambda k: x[k] <> y[k])) = 2 THEN 'transposition' ELSE 'replacement' END
+         ELSE 'typo' END AS method, brand, distance::INTEGER AS distance
+FROM d WHERE distance <= 2"""
+
 ORACLES: dict[str, str] = {
     "zone_diff_counts": ZONE + """
 SELECT count(*) FILTER (WHERE e1 = 'ADDED_TO_ZONE') AS added, count(*) FILTER (WHERE e1 = 'REMOVED_FROM_ZONE') AS removed,
@@ -278,14 +298,11 @@ SELECT label, {_fold('label')} AS skeleton,
 FROM w WHERE label <> ''""",
     # the distance here is the unrestricted one; it parts from the restricted one only where a swap's letters are parted again
     "squat_typo_two": ZONE + ALL_LABELS + f""",
-b AS (SELECT unnest({_values(BRANDS)}) AS brand),
-d AS (
-  SELECT *, damerau_levenshtein({_BYTES}, brand) AS distance
-  FROM n JOIN b ON abs(length(label) - length(brand)) <= 2 AND label <> brand AND length(brand) >= 5)
-SELECT label, tld, CASE length(label) - length(brand) WHEN 1 THEN 'insertion' WHEN -1 THEN 'omission'
-         WHEN 0 THEN CASE WHEN distance = 1 AND hamming({_BYTES}, brand) = 2 THEN 'transposition' ELSE 'replacement' END ELSE 'typo' END AS method,
-       brand, distance::INTEGER AS distance
-FROM d WHERE distance <= 2""",
+b AS (SELECT unnest({_values(BRANDS)}) AS brand),""" + TWO_EDITS,
+    "squat_many_two": ZONE + ALL_LABELS + """,
+b AS (
+  SELECT word AS brand FROM (SELECT unnest(a) AS word FROM t) WHERE regexp_full_match(word, '[a-z]{6,63}')
+  GROUP BY word ORDER BY count(*) DESC, word LIMIT 1000),""" + TWO_EDITS,
     "analyse_names": ZONE + ALL_LABELS + HITS + LEXICAL + NGRAM + f""",
 f AS (SELECT label, tld, greatest(0.0, least(1.0, r + 0.35 * (1 - likelihood))) AS random, likelihood FROM three JOIN like_ USING (label, tld)),
 rl AS (SELECT unnest(['all', 'near']) AS rule),

@@ -259,6 +259,19 @@ def squat_typo_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("label", "tld", "method", "brand", _distance())
 
 
+def common_words(spark: SparkSession, sf_dir: str, n: int = 1000) -> list[str]:
+    """The words of a-z that the documents hold most often: a long watchlist, as a rule file would have one."""
+    words = wordzone.label_rows(spark, sf_dir).where("label rlike '^[a-z]{6,63}$'")
+    return [r["label"] for r in words.groupBy("label").count().orderBy(F.desc("count"), "label").limit(n).collect()]
+
+
+def squat_many_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels within two edits of a thousand brands."""
+    w = watchlist.Watchlist.of(common_words(spark, sf_dir), methods=("typo",), max_distance=2)
+    found = watchlist.check(wordzone.labels(spark, sf_dir).select("label", "tld"), w)
+    return found.select("label", "tld", "method", "brand", _distance())
+
+
 def analyse_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every label with every watchlist, scored with its likelihood."""
     found = scoring.analyse(_likelihoods(spark, sf_dir), {"all": _watchlist(), "near": _watchlist(["typo"])})
@@ -386,7 +399,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Further operators, each with SQL too.
 QUERIES |= {f.__name__: f for f in (
     zone_text_awkward, name_parts, zone_rejected, snapshot_stats, due_tlds, zone_baseline, lexical_rounded, ngram_merged, ngram_from_labels,
-    word_skeletons, squat_typo_two, analyse_names, assess_signals, backfill_one, rule_patterns, match_lines)}
+    word_skeletons, squat_typo_two, squat_many_two, analyse_names, assess_signals, backfill_one, rule_patterns, match_lines)}
 
 
 def _of_whole(query):
