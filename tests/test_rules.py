@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from zonewatch.functions.multipattern import required
 from zonewatch.operators import diff, reports, rules, watchlist
 from zonewatch.operators.watchlist import Watchlist
 from zonewatch.plans import jobs
@@ -187,3 +188,58 @@ def test_stream(spark, tmp_path):
     query.awaitTermination(120)
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted((r.name, r.method) for r in rows) == [("examp1e.ch", "homoglyph"), ("examp1e.ch", "replacement")]
+
+
+def test_required_texts():
+    """Texts that every match holds, lower-cased; None where that can't be told."""
+    known = {
+        "example": {"example"}, "(?P<x>a)" : None, "(?<brand>example|coop)-?shop": {"shop"}, "(example|coop)-": {"example", "coop"}, "ab?cde": {"cde"}, "abc+d": {"abc"}, "^foo.*barbar$": {"barbar"},
+        r"\.ch$": {".ch"}, "(abc)?de": {"de"}, "(abc)*": None, "abc|d": None, "abc|def": {"abc", "def"}, "[a-z]{3,7}": None, "x{2}yz": {"yz"}, "(?i)LogIn": {"login"},
+        "(?=foo)bar": None, r"\Qa.b\E": None, "a{0,3}bcd": {"bcd"}, "[[a-z]&&[^bc]]foo": None, "[^]a]bcd": None, r"[\]x]login\d+": {"login"}, "é+login": {"login"},
+        "(ab(cd|ef)gh)+xyz": {"xyz"}, r"\p{L}shop": {"shop"}, "ab??cd": {"cd"}, "*a": None, "a(b": None, "": None, "pay(?:pal|ment)s": {"pay"}}
+    for regex, want in known.items():
+        assert required(regex) == (frozenset(want) if want else None), regex
+
+
+def test_required_texts_of_random_patterns():
+    import random
+    import re
+
+    rng = random.Random(4)
+
+    def pattern(depth=0):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            atom = rng.choice(["a", "b", "ab", "aba", r"\.", "[ab]", ".", f"({pattern(depth + 1)})" if depth < 2 else "b", f"(?:{pattern(depth + 1)}|{pattern(depth + 1)})" if depth < 2 else "a"])
+            parts.append(atom + rng.choice(["", "", "", "?", "*", "+", "{2}", "{0,1}", "+?"]))
+        return "".join(parts)
+
+    told = 0
+    for _ in range(1500):
+        regex = pattern()
+        texts = required(regex)
+        told += texts is not None
+        for _ in range(10):
+            name = "".join(rng.choice("ab.") for _ in range(rng.randint(0, 9)))
+            if texts and re.search(regex, name):
+                assert any(t in name for t in texts), (regex, texts, name)
+    assert told > 300
+
+
+def test_hundreds_of_patterns(spark):
+    """Equal matches from the automaton and from trying every pattern on every name; patterns without a
+    required text, of upper case and of several alternatives are among them."""
+    rows = spark.range(3000).select(F.concat(F.lit("shop"), F.lower(F.conv(F.col("id"), 10, 36)), F.lit("-pay"), F.col("id") % 7, F.lit(".ch")).alias("name"), F.lit("ch").alias("tld"),
+                                    F.lit(diff.ADDED).alias("event_type"), F.lit(DAY[0]).alias("detected_at"), F.lit(1).cast("long").alias("run_id"))
+    patterns = [rf"shop{i}[a-z]+-pay" for i in range(80)] + [f"(?i)PAY{i}" for i in range(9)] + ["^[a-z]{5}[0-9]", "(ab|cd|ef)x?-pay", "pay1|pay2", "nothing", r"\d-pay6\.ch$"]
+    many = [rules.RegexRule(f"r{i}", "d", p, diff.EVENT_TYPES) for i, p in enumerate(patterns)]
+    as_set = lambda found: {(r.name, r.rule_name, r.matched_value) for r in found.collect()}
+    found = rules.evaluate(rows, many)
+    got = as_set(found)
+    assert found.count() == len(got)
+    plain = set()
+    for k in range(0, len(many), rules.INLINE_PATTERNS):
+        plain |= as_set(rules.evaluate(rows, many[k:k + rules.INLINE_PATTERNS]))
+    assert got == plain and len({r for _, r, _ in got}) > 25
+    both = rules.evaluate(rows, [*many, rules.TypoRule("t", "d", Watchlist.of(["shop1-pay"], methods=("typo",)), diff.EVENT_TYPES)])
+    assert as_set(both) > got

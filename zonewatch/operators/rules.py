@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexical
+from ..functions.multipattern import holding, required
 from ..functions.names import label_of
 from . import scoring, watchlist
 from .watchlist import Watchlist
 
+_PROBE = "struct<kind:string,key:string,value:string>"
 MATCHES = ("name", "tld", "event_type", "detected_at", "run_id", "rule_name", "rule_description", "rule_pattern",
            "matched_value", "method", "brand", "score", "signals")
 
 
+#: Beyond so many patterns, those that need some fixed text are tried only where one automaton finds it.
+INLINE_PATTERNS = 16
+
+
 @dataclass(frozen=True)
 class RegexRule:
     name: str
@@ -51,17 +57,28 @@ def evaluate(rows: DataFrame, rules: list[Rule], scoped: bool = True) -> DataFra
     that covers the event's type (`scoped`).
 
     One pass over the rows, however many rules there are: each row's hits by patterns and its probes
-    for all watchlists are one array, exploded and joined once with the index of all rules.
+    for all watchlists are one array, exploded and joined once with the index of all rules. A few
+    patterns are tried on every name; of many, only those whose required texts the name holds.
     """
     spark, live = rows.sparkSession, {i: r for i, r in enumerate(rules) if r.enabled}
     patterns = {i: r for i, r in live.items() if isinstance(r, RegexRule)}
     lists = {i: r.watchlist for i, r in live.items() if isinstance(r, TypoRule)}
     if scoped:
         rows = rows.where(F.col("event_type").isin(sorted({e for r in live.values() for e in r.events})))
-    found = F.array(*(F.when(F.col("name").rlike(r.regex), F.struct(F.lit("regex").alias("kind"), F.lit(str(i)).alias("key"),
-                                                                  F.regexp_extract("name", r.regex, 0).alias("value"))) for i, r in patterns.items()))
-    found = F.array_compact(found) if patterns else found.cast("array<struct<kind:string,key:string,value:string>>")
-    own = spark.createDataFrame([(i, "regex", str(i)) for i in patterns], "list int, kind string, key string")
+    needs = {i: required(r.regex) for i, r in patterns.items()} if len(patterns) > INLINE_PATTERNS else {}
+    needs = {i: texts for i, texts in needs.items() if texts}
+    found = F.array_compact(F.array(F.lit(None).cast(_PROBE), *(
+        F.when(F.col("name").rlike(r.regex), F.struct(F.lit("regex").alias("kind"), F.lit(str(i)).alias("key"), F.regexp_extract("name", r.regex, 0).alias("value")))
+        for i, r in patterns.items() if i not in needs)))
+    if needs:
+        meaning: dict[str, list[str]] = {}
+        for i, texts in needs.items():
+            for text in texts:
+                meaning.setdefault(text, []).append(str(i))
+        found = F.concat(found, F.transform(holding(F.lower("name"), meaning), lambda i: F.struct(
+            F.lit("regex").alias("kind"), i.alias("key"), F.lit(None).cast("string").alias("value"))))
+    own = spark.createDataFrame([(i, "regex", str(i), r.regex if i in needs else None) for i, r in patterns.items()],
+                                "list int, kind string, key string, pattern string")
     hits = scoring.scored(watchlist.check_all(rows.withColumn("label", label_of(F.col("name"))), lists, found, own))
     if scoped:  # a row a rule and event type
         covered = spark.createDataFrame([(i, e) for i, r in live.items() for e in r.events], "list int, event_type string")

@@ -303,6 +303,12 @@ b AS (SELECT unnest({_values(BRANDS)}) AS brand),""" + TWO_EDITS,
 b AS (
   SELECT word AS brand FROM (SELECT unnest(a) AS word FROM t) WHERE regexp_full_match(word, '[a-z]{6,63}')
   GROUP BY word ORDER BY count(*) DESC, word LIMIT 1000),""" + TWO_EDITS,
+    "rule_many_patterns": ZONE + """,
+b AS (
+  SELECT word FROM (SELECT unnest(a) AS word FROM t) WHERE regexp_full_match(word, '[a-z]{6,63}')
+  GROUP BY word ORDER BY count(*) DESC, word LIMIT 500),
+p AS (SELECT DISTINCT name, unnest(string_split(label, '-')) AS word FROM z WHERE known AND in_zone)
+SELECT name, word AS rule_name, regexp_extract(name, '(^|-)' || word || '(-|\\.)') AS matched_value FROM p JOIN b USING (word)""",
     "analyse_names": ZONE + ALL_LABELS + HITS + LEXICAL + NGRAM + f""",
 f AS (SELECT label, tld, greatest(0.0, least(1.0, r + 0.35 * (1 - likelihood))) AS random, likelihood FROM three JOIN like_ USING (label, tld)),
 rl AS (SELECT unnest(['all', 'near']) AS rule),

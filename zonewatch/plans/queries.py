@@ -325,6 +325,13 @@ def rule_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.backfill(state, _rules(), _at(), 7).select("name", "event_type", "rule_name", "matched_value", "method", "brand")
 
 
+def rule_many_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole zone against five hundred patterns: a common word between hyphens or at an edge."""
+    state, _ = wordzone.zone(spark, sf_dir)
+    many = [rules.RegexRule(w, "A word of the label", rf"(^|-){w}(-|\.)", ALL) for w in common_words(spark, sf_dir, 500)]
+    return rules.backfill(state, many, _at(), 7).select("name", "rule_name", "matched_value")
+
+
 def backfill_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole zone against one rule of several."""
     state, _ = wordzone.zone(spark, sf_dir)
@@ -399,7 +406,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Further operators, each with SQL too.
 QUERIES |= {f.__name__: f for f in (
     zone_text_awkward, name_parts, zone_rejected, snapshot_stats, due_tlds, zone_baseline, lexical_rounded, ngram_merged, ngram_from_labels,
-    word_skeletons, squat_typo_two, squat_many_two, analyse_names, assess_signals, backfill_one, rule_patterns, match_lines)}
+    word_skeletons, squat_typo_two, squat_many_two, analyse_names, assess_signals, backfill_one, rule_many_patterns, rule_patterns, match_lines)}
 
 
 def _of_whole(query):
