@@ -9,7 +9,7 @@ from zonewatch.operators import diff, reports, rules, watchlist
 from zonewatch.operators.watchlist import Watchlist
 from zonewatch.plans import jobs
 from zonewatch.sources import ruleconfig
-from zonewatch.sources.state import Store, write_features
+from zonewatch.sources.state import EVENTS, RUNS, Attempt, Store, write_features
 from zonewatch.streaming import rules as streaming
 
 YAML = """
@@ -180,14 +180,116 @@ def test_models_by_tld(spark, tmp_path):
     assert sorted(r.tld for r in store.load_model()[1].collect()) == ["ch", "li"]
 
 
-def test_stream(spark, tmp_path):
-    found = events(spark, [("examp1e.ch", diff.ADDED), ("plain.ch", diff.ADDED)])
-    found.write.partitionBy("run_id").parquet(str(tmp_path / "events"))
-    stream = streaming.read_events(spark, str(tmp_path / "events"))
-    query = streaming.matches_to(stream, ruleconfig.load_rules(YAML, spark), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
-    query.awaitTermination(120)
-    rows = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert sorted((r.name, r.method) for r in rows) == [("examp1e.ch", "homoglyph"), ("examp1e.ch", "replacement")]
+def test_models_are_replaced_together(spark, tmp_path):
+    """Counts and statistics of a version that was never named aren't read."""
+    store = Store(spark, str(tmp_path / "store"))
+    one, two = (diff.baseline(raw(spark, ch=names).withColumnRenamed("raw_name", "name"), F.lit(DAY[0])) for names in (["bank.ch"], ["hotel.ch", "bahn.ch"]))
+    store.save_model(*jobs.build_models(one))
+    jobs.build_models(two)[0].write.parquet(f"{store.base}/ngram_counts/version=unnamed")
+    counts, stats = store.load_model()
+    assert stats.first().sample_count == 1 and counts.agg(F.sum("cnt")).first()[0] == stats.first().total_ngrams
+    store.save_model(*jobs.build_models(two))
+    counts, stats = store.load_model()
+    assert stats.count() == 1 and stats.first().sample_count == 2 and counts.agg(F.sum("cnt")).first()[0] == stats.first().total_ngrams
+
+
+@pytest.fixture
+def runner(spark, tmp_path):
+    store, rule_list = Store(spark, str(tmp_path / "store"), buckets=3), ruleconfig.load_rules(YAML, spark)
+    complete = spark.createDataFrame([("ch", True)], "tld string, complete boolean")
+    return store, rule_list, lambda number, names: jobs.run_monitor(store, raw(spark, ch=names), complete, rule_list, DAY[number - 1], number)
+
+
+def log_of(store):
+    return sorted((r.run_id, r.name, r.event_type) for r in store.events().collect())
+
+
+def test_rerun_of_an_older_run(runner):
+    """Run 2 repeated after run 3: run 3 is stale until it is repeated; log and state agree all along."""
+    store, rule_list, run = runner
+    agree = lambda: all(r.agrees for r in diff.state_from_log(store.events(), store.domains()).collect())
+    run(1, ["a.ch", "b.ch"])
+    run(2, ["a.ch", "b.ch", "c.ch"])
+    run(3, ["a.ch", "c.ch"])
+    jobs.run_backfill(store, rule_list, DAY[3], 4)
+    assert store.stale() == [] and agree()
+    run(2, ["a.ch", "b.ch", "examp1e.ch"])
+    assert store.stale() == [3, 4] and store.last_run() == 2
+    assert log_of(store) == [(2, "examp1e.ch", diff.ADDED)] and agree()
+    assert sorted(r.name for r in store.domains().where("currently_in_zone").collect()) == ["a.ch", "b.ch", "examp1e.ch"]
+    run(3, ["a.ch", "c.ch"])
+    assert store.stale() == [4] and agree()
+    assert log_of(store) == [(2, "examp1e.ch", diff.ADDED), (3, "b.ch", diff.REMOVED), (3, "c.ch", diff.ADDED), (3, "examp1e.ch", diff.REMOVED)]
+    jobs.run_backfill(store, rule_list, DAY[3], 4)
+    assert store.stale() == []
+
+
+def test_rows_from_before_lineage(spark, runner):
+    """Runs whose rows don't name their start count as they are."""
+    store, _, run = runner
+    run(1, ["a.ch"])
+    run(2, ["a.ch", "b.ch"])
+    old = store._read("runs", RUNS).withColumn("base_version", F.lit(None).cast("string")).collect()
+    other = Store(spark, store.base + "-old")
+    other.commit(spark.createDataFrame(old, RUNS))
+    assert other.stale() == [] and other.last_run() == 2
+
+
+def test_snapshot_is_read_once(spark, tmp_path):
+    """A run reads its raw rows once and joins the state once, bucketed and not shuffled; all outputs are of that reading."""
+    store, rule_list = Store(spark, str(tmp_path / "store"), buckets=3), ruleconfig.load_rules(YAML, spark)
+    complete, read = spark.createDataFrame([("ch", True)], "tld string, complete boolean"), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    for number, names in enumerate((["a.ch", "b.ch", "c.ch"], ["a.ch", "examp1e.ch", "d.ch", "e.ch"]), 1):
+        read.value = 0
+        rows = raw(spark, ch=names)
+        outcome = jobs.run_monitor(store, rows.mapInArrow(counted, rows.schema), complete, rule_list, DAY[number - 1], number)
+        assert outcome.status == "SUCCESS" and read.value == len(names)
+    assert len(log_of(store)) == 5 and store.matches().count() == 2
+    classified = diff.classify(store.domains(), spark.createDataFrame([("a.ch", "ch")], "name string, tld string"), ["ch"])
+    plan = classified._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FullOuter") == 1
+    plain = diff.classify(spark.createDataFrame(store.domains().collect(), diff.STATE), spark.createDataFrame([("a.ch", "ch")], "name string, tld string"), ["ch"])
+    assert sorted(map(str, classified.collect())) == sorted(map(str, plain.collect()))
+    again = Store(spark.newSession(), store.base)  # a session that has never seen the table
+    again.forget("domains", again.version("domains"))
+    assert again.domains().count() == 6
+
+
+def test_stream_of_commits(spark, tmp_path, runner):
+    """Replaced, failed, unfinished and stale attempts give no match, over restarts of the stream too."""
+    store, rule_list, run = runner
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+
+    def stream():
+        query = streaming.matches_to(store, rule_list, out, checkpoint)
+        query.awaitTermination(120)
+        assert query.exception() is None
+        return sorted((r.run_id, r.name, r.method or "") for r in streaming.read_matches(store, out).collect())
+
+    def matches():
+        return sorted((r.run_id, r.name, r.method or "") for r in store.matches().collect())
+
+    run(1, ["a.ch", "b.ch"])
+    assert stream() == []
+    run(2, ["a.ch", "b.ch", "examplle.ch"])
+    run(2, ["a.ch", "b.ch", "examp1e.ch"])  # replaces the attempt before the stream sees either
+    assert stream() == matches() == [(2, "examp1e.ch", "homoglyph"), (2, "examp1e.ch", "replacement")]
+    attempt = Attempt(store, 3)  # writes its events and breaks off
+    attempt.keep("events", spark.createDataFrame([("examplee.ch", "ch", diff.ADDED, DAY[2], 3)], EVENTS))
+    assert run(3, []).status == "FAILED"
+    assert stream() == matches() and len(matches()) == 2
+    run(3, ["a.ch", "b.ch", "examp1e.ch", "exampl.ch"])
+    assert stream() == matches() and {m[0] for m in matches()} == {2, 3}
+    run(2, ["a.ch", "b.ch", "exampke.ch"])  # run 3 is stale
+    assert stream() == matches() and {m[:2] for m in matches()} == {(2, "exampke.ch")}
+    run(3, ["a.ch", "b.ch", "exampl.ch"])
+    assert stream() == matches() and {m[:2] for m in matches()} == {(2, "exampke.ch"), (3, "exampl.ch")}
 
 
 def test_required_texts():

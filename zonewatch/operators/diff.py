@@ -50,18 +50,20 @@ def classify(state: DataFrame, staged: DataFrame, tlds: list[str], baseline_per_
     return rows.drop("tld_known")
 
 
-def new_state(classified: DataFrame, now: Column) -> DataFrame:
-    """Removed names keep last_seen_at, returned ones first_seen_at; what was seen is touched."""
+def new_state(classified: DataFrame, now: Column, *more: str) -> DataFrame:
+    """Removed names keep last_seen_at, returned ones first_seen_at; what was seen is touched. With the
+    `transition` as a further column the state, written once, gives the events too."""
     removed = F.coalesce(F.col("transition") == REMOVED, F.lit(False))
     return classified.select(
         "name", "tld", F.coalesce("first_seen_at", now).alias("first_seen_at"),
         F.when(F.col("seen"), now).otherwise(F.col("last_seen_at")).alias("last_seen_at"),
         F.when(removed, False).when(F.col("seen"), True).otherwise(F.col("currently_in_zone")).alias("currently_in_zone"),
         F.coalesce("created_at", now).alias("created_at"),
-        F.when(F.col("seen") | removed, now).otherwise(F.col("updated_at")).alias("updated_at"))
+        F.when(F.col("seen") | removed, now).otherwise(F.col("updated_at")).alias("updated_at"), *more)
 
 
 def events(classified: DataFrame, now: Column, run_id: int) -> DataFrame:
+    """The events of rows (name, tld, transition)."""
     return classified.where("transition IS NOT NULL").select(
         "name", "tld", F.col("transition").alias("event_type"), now.alias("detected_at"), F.lit(run_id).cast("long").alias("run_id"))
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.names import label_of
 from ..operators import diff, ngram, rules, staging
 from ..sources.scratch import new_folder
-from ..sources.state import EVENTS, RUNS, Store
+from ..sources.state import RUNS, Attempt, Store
 
 
 @dataclass
@@ -40,28 +40,33 @@ def with_likelihood(rows: DataFrame, model: tuple[DataFrame, DataFrame] | None)
 
 
 def monitor(raw: DataFrame, complete: DataFrame, state: DataFrame, stats: DataFrame, rule_list: list[rules.Rule], now: dt.datetime,
-            run_id: int, model=None, min_ratio: float = 0.5, hours: float = 24.0, baseline_per_tld: bool = False) -> Outcome:
+            run_id: int, model=None, min_ratio: float = 0.5, hours: float = 24.0, baseline_per_tld: bool = False,
+            keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> Outcome:
     """One run over (raw_name, tld) snapshots. `complete` is (tld, complete) of the expected TLDs; those
-    with a fresh transfer are skipped, and one that fails validation fails the run with nothing changed."""
+    with a fresh transfer are skipped, and one that fails validation fails the run with nothing changed.
+
+    `keep` gets each table under its name as it is made and returns what to go on with. A `keep` that writes
+    and reads back, as a store's attempt does, has the snapshot read once, joined with the state once,
+    and the events and rules read from what was written."""
     at = F.lit(now)
     todo = staging.due(complete, stats, at, hours)
     tlds = [r["tld"] for r in todo.select("tld").collect()]  # a row a TLD
     if not tlds:
         return Outcome("SKIPPED", run_id, now)
-    staged = staging.stage(raw.where(F.col("tld").isin(*tlds)))
-    verdicts = staging.validate(staged, todo, stats, min_ratio)
+    staged = keep("staged", staging.stage(raw.where(F.col("tld").isin(*tlds))))
+    verdicts = keep("verdicts", staging.validate(staged, todo, stats, min_ratio))
     if not staging.all_accepted(verdicts):
         failed = ", ".join(f".{r['tld']}: {r['reason']}" for r in verdicts.where("NOT accepted").orderBy("tld").collect())
         return Outcome("FAILED", run_id, now, failed, verdicts)
-    new_stats = staging.record_stats(stats, verdicts.select("tld", "name_count", at.alias("transferred_at"), F.lit(None).cast("double").alias("duration_seconds")))
+    new_stats = keep("stats", staging.record_stats(stats, verdicts.select("tld", "name_count", at.alias("transferred_at"), F.lit(None).cast("double").alias("duration_seconds"))))
     if diff.is_baseline(state):
-        found = staged.sparkSession.createDataFrame([], "name string, tld string, event_type string, detected_at timestamp, run_id long")
-        next_state = diff.baseline(staged, at)
+        next_state = diff.baseline(staged, at).withColumn("transition", F.lit(None).cast("string"))
     else:
-        classified = diff.classify(state, staged, tlds, baseline_per_tld)
-        found, next_state = diff.events(classified, at, run_id), diff.new_state(classified, at)
-    matches = rules.evaluate(with_likelihood(found, model), rule_list)
-    return Outcome("SUCCESS", run_id, now, None, verdicts, next_state, found, matches, new_stats)
+        next_state = diff.new_state(diff.classify(state, staged, tlds, baseline_per_tld), at, "transition")
+    next_state = keep("domains", next_state)
+    found = keep("events", diff.events(next_state, at, run_id))
+    matches = keep("matches", rules.evaluate(with_likelihood(found, model), rule_list))
+    return Outcome("SUCCESS", run_id, now, None, verdicts, next_state.drop("transition"), found, matches, new_stats)
 
 
 def backfill(state: DataFrame, rule_list: list[rules.Rule], now: dt.datetime, run_id: int, only: str | None = None, model=None) -> Outcome:
@@ -98,40 +103,36 @@ def build_models(state: DataFrame, tlds: list[str] | None = None, order: int = 3
     return model_of(rows.select(label_of(F.col("name")).alias("label"), "tld"), order)[:2]
 
 
-def commit(store: Store, outcome: Outcome, dry_run: bool = False) -> None:
-    """Write a run. State, events and matches become visible together, with the run's own row. A table
-    that the run doesn't change isn't written."""
+def commit(store: Store, outcome: Outcome, dry_run: bool = False, attempt: Attempt | None = None) -> None:
+    """Make a run visible: state, events and matches together, with the run's own row. The tables of an
+    `attempt` are written already, those of another outcome now. A table that the run doesn't change isn't written."""
     if dry_run:
         return
-    spark, run, attempt = store.spark, outcome.run_id, uuid.uuid4().hex
-    counts = {"added": 0, "removed": 0, "returned": 0}
-    matched, zones, domains, stats = 0, None, None, None
+    if attempt is None:
+        attempt = Attempt(store, outcome.run_id)
+        tables = {"domains": outcome.state, "events": outcome.events, "matches": outcome.matches, "stats": outcome.stats}
+        kept = {k: attempt.keep(k, df) for k, df in tables.items() if df is not None and outcome.status == "SUCCESS"}
+        outcome = replace(outcome, state=kept.get("domains"), events=kept.get("events"), matches=kept.get("matches"), stats=kept.get("stats"))
+    counts, matched, zones = {"added": 0, "removed": 0, "returned": 0}, 0, None
     if outcome.status == "SUCCESS":
         if outcome.events is not None:
-            folder = store.append("events", outcome.events, run, attempt)
-            counts = diff.diff_counts(store._read(folder, EVENTS).drop("run_id")).first().asDict()
+            counts = diff.diff_counts(outcome.events).first().asDict()
         if outcome.matches is not None:
-            # few rows of a whole zone's scan: Spark sizes the files after the matching, not before
-            folder = store.append("matches", outcome.matches.hint("rebalance"), run, attempt)
-            matched = store._read(folder, "name string").count()
-        if outcome.state is not None:
-            domains = attempt
-            store.write_version("domains", outcome.state, attempt)
-        if outcome.stats is not None:
-            stats = attempt
-            store.write_version("stats", outcome.stats, attempt)
+            matched = outcome.matches.count()
         if outcome.verdicts is not None:
             zones = {r["tld"]: r["name_count"] for r in outcome.verdicts.collect()}  # a row a TLD
-    row = (run, outcome.status, outcome.started_at, dt.datetime.now(dt.timezone.utc).replace(tzinfo=None), counts["added"], counts["removed"],
-           counts["returned"], matched, zones, outcome.error, attempt, domains, stats)
-    store.commit(spark.createDataFrame([row], RUNS))
+    row = (outcome.run_id, outcome.status, outcome.started_at, dt.datetime.now(dt.timezone.utc).replace(tzinfo=None), counts["added"], counts["removed"],
+           counts["returned"], matched, zones, outcome.error, attempt.id, attempt.versions.get("domains"), attempt.versions.get("stats"), attempt.base)
+    store.commit(store.spark.createDataFrame([row], RUNS))
 
 
 def run_monitor(store: Store, raw: DataFrame, complete: DataFrame, rule_list: list[rules.Rule], now: dt.datetime, run_id: int, **more) -> Outcome:
     """A monitor run on a store, committed. It starts from what was known before this run, so that a
-    repeated run finds the same changes and replaces its first attempt."""
-    outcome = monitor(raw, complete, store.domains(run_id), store.stats(run_id), rule_list, now, run_id, **more)
-    commit(store, outcome)
+    repeated run finds the same changes and replaces its first attempt. Later runs are stale then, until
+    they are repeated too (`Store.stale`)."""
+    attempt = Attempt(store, run_id)
+    outcome = monitor(raw, complete, store.domains(run_id), store.stats(run_id), rule_list, now, run_id, keep=attempt.keep, **more)
+    commit(store, outcome, attempt=attempt)
     return outcome
 
 
