@@ -32,11 +32,7 @@ def with_likelihood(rows: DataFrame, model: tuple[DataFrame, DataFrame] | None)
     """rows (name, tld, ...) with `likelihood`, null where the TLD has no model."""
     if model is None:
         return rows
-    counts, stats = model
-    labels = rows.select(label_of(F.col("name")).alias("label"), "tld").join(F.broadcast(stats.select("tld")), "tld", "left_semi")
-    scored = ngram.likelihood(labels, counts, stats, vocab=ngram.vocabulary(stats))
-    return (rows.withColumn("__label", label_of(F.col("name")))
-            .join(scored.withColumnRenamed("label", "__label"), ["__label", "tld"], "left").drop("__label"))
+    return ngram.with_likelihood(rows, label_of(F.col("name")), *model)
 
 
 def monitor(raw: DataFrame, complete: DataFrame, state: DataFrame, stats: DataFrame, rule_list: list[rules.Rule], now: dt.datetime,
@@ -81,26 +77,44 @@ def backfill(state: DataFrame, rule_list: list[rules.Rule], now: dt.datetime, ru
     return Outcome("SUCCESS", run_id, now, matches=plain)
 
 
-def write_once(counts: DataFrame) -> DataFrame:
-    """The counts, written to scratch: what follows reads them more than once."""
-    path = new_folder(counts.sparkSession, "ngrams")
-    counts.write.parquet(path)
-    return counts.sparkSession.read.schema(counts.schema).parquet(path)
+def write_once(df: DataFrame, label: str) -> DataFrame:
+    """A table, written to scratch: what follows reads it more than once."""
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def model_of(labels: DataFrame, order: int = 3) -> tuple[DataFrame, DataFrame, int]:
-    """(counts, statistics, number of n-grams) of (label, tld), counted once."""
-    counts = write_once(ngram.count(labels, order))
-    sizes = ngram.totals(counts, labels, order)
-    vocab = ngram.vocabulary(counts.groupBy("tld").agg(F.count("*").alias("vocab_size")))  # a row a TLD
+    """(counts, statistics, number of n-grams) of (label, tld), which are read once and counted once."""
+    labels = write_once(labels.select("label", "tld"), "labels")
+    return _calibrated_model(write_once(ngram.tally(labels, order), "ngrams"), labels, order)
+
+
+def _calibrated_model(tallied: DataFrame, labels: DataFrame, order: int) -> tuple[DataFrame, DataFrame, int]:
+    counts, sizes = tallied.where("ngram IS NOT NULL"), ngram.sizes_of(tallied, order)
+    vocab = ngram.vocabulary(sizes)
     return counts, ngram.calibrate(counts, sizes, labels, order, vocab=vocab), vocab
 
 
-def build_models(state: DataFrame, tlds: list[str] | None = None, order: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(counts, statistics) of the names in the zone, all TLDs in one job."""
+def in_zone_labels(state: DataFrame, tlds: list[str] | None = None) -> DataFrame:
     rows = state.where("currently_in_zone")
     rows = rows if tlds is None else rows.where(F.col("tld").isin(*tlds))
-    return model_of(rows.select(label_of(F.col("name")).alias("label"), "tld"), order)[:2]
+    return rows.select(label_of(F.col("name")).alias("label"), "tld")
+
+
+def build_models(state: DataFrame, tlds: list[str] | None = None, order: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(counts, statistics) of the names in the zone, all TLDs in one job."""
+    return model_of(in_zone_labels(state, tlds), order)[:2]
+
+
+def update_models(model: tuple[DataFrame, DataFrame], events: DataFrame, state: DataFrame, order: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(counts, statistics) after a run's events, equal to those built anew from the state that they led to.
+    The events' names change the counts; of the state only the labels that calibrate are scored. TLDs
+    that have no model get one if their names all came with the events."""
+    counts, stats = model
+    labels = stats.select("tld", F.lit(None).cast("string").alias("ngram"), F.col("sample_count").alias("cnt"))
+    tallied = write_once(ngram.apply_events(counts.select("tld", "ngram", "cnt").unionByName(labels), events, order), "ngrams")
+    return _calibrated_model(tallied, in_zone_labels(state), order)[:2]
 
 
 def commit(store: Store, outcome: Outcome, dry_run: bool = False, attempt: Attempt | None = None) -> None:

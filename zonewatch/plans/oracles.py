@@ -71,8 +71,7 @@ lp AS (
   FROM ag JOIN tot USING (tld) LEFT JOIN c ON c.tld = ag.tld AND c.ngram = ag.ngram GROUP BY ag.label, ag.tld),
 fit AS (
   SELECT tld, avg(lp) AS mean_log_prob, stddev_pop(lp) AS std_log_prob
-  FROM lp JOIN zl USING (label, tld) JOIN tot USING (tld)
-  WHERE ('0x' || substr(md5(label), 1, 8))::BIGINT / 4294967296.0 * sample_count < 50000 GROUP BY tld),
+  FROM lp JOIN (SELECT * FROM zl QUALIFY row_number() OVER (PARTITION BY tld ORDER BY md5(label), label) <= 50000) USING (label, tld) GROUP BY tld),
 like_ AS (
   SELECT s.label, s.tld, coalesce(1 / (1 + exp(-greatest(-50.0, least(50.0, (lp - mean_log_prob) / greatest(std_log_prob, 1e-9))))), 0.5) AS likelihood
   FROM s LEFT JOIN lp USING (label, tld) LEFT JOIN fit USING (tld))"""
@@ -287,6 +286,9 @@ SELECT label, length, round_even(entropy, 4)::DOUBLE AS entropy, round_even(digi
        round_even(consonant_ratio, 4)::DOUBLE AS consonant_ratio, hyphen_count, max_consonant_run, round_even(unique_char_ratio, 4)::DOUBLE AS unique_char_ratio, is_idn
 FROM lex""",
     "ngram_merged": ZONE + NGRAM + "\nSELECT tld, ngram, cnt FROM c",
+    "ngram_updated": ZONE + NGRAM.replace("known AND in_zone", "staged") + """
+SELECT tld, "order", total_ngrams, vocab_size, sample_count, round(mean_log_prob, 6) AS mean_log_prob, round(std_log_prob, 6) AS std_log_prob
+FROM tot JOIN fit USING (tld)""",
     "ngram_from_labels": ZONE + NGRAM.replace("WHERE known AND in_zone", "") + """
 SELECT tld, "order", total_ngrams, vocab_size, sample_count, round(mean_log_prob, 6) AS mean_log_prob, round(std_log_prob, 6) AS std_log_prob
 FROM tot JOIN fit USING (tld)""",

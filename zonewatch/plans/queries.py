@@ -209,6 +209,14 @@ def ngram_from_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ngram_stats(jobs.model_of(wordzone.labels(spark, sf_dir).select("label", "tld"))[1])
 
 
+def ngram_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yesterday's model after today's events, without counting the zone again."""
+    state, staged = wordzone.zone(spark, sf_dir)
+    classified = jobs.write_once(diff.classify(state, staged, TLDS), "classified")
+    model = jobs.build_models(state)
+    return _ngram_stats(jobs.update_models(model, diff.events(classified, _at(), 1), diff.new_state(classified, _at()))[1])
+
+
 def _likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts, stats, vocab = jobs.model_of(_zone_labels(spark, sf_dir))
     return ngram.likelihood(wordzone.labels(spark, sf_dir), counts, stats, vocab=vocab)
@@ -405,7 +413,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: Further operators, each with SQL too.
 QUERIES |= {f.__name__: f for f in (
-    zone_text_awkward, name_parts, zone_rejected, snapshot_stats, due_tlds, zone_baseline, lexical_rounded, ngram_merged, ngram_from_labels,
+    zone_text_awkward, name_parts, zone_rejected, snapshot_stats, due_tlds, zone_baseline, lexical_rounded, ngram_merged, ngram_from_labels, ngram_updated,
     word_skeletons, squat_typo_two, squat_many_two, analyse_names, assess_signals, backfill_one, rule_many_patterns, rule_patterns, match_lines)}
 
 
