@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -197,7 +198,7 @@ def test_models_are_replaced_together(spark, tmp_path):
 def runner(spark, tmp_path):
     store, rule_list = Store(spark, str(tmp_path / "store"), buckets=3), ruleconfig.load_rules(YAML, spark)
     complete = spark.createDataFrame([("ch", True)], "tld string, complete boolean")
-    return store, rule_list, lambda number, names: jobs.run_monitor(store, raw(spark, ch=names), complete, rule_list, DAY[number - 1], number)
+    return store, rule_list, lambda number, names: jobs.run_monitor(store, raw(spark, ch=names), complete, rule_list, DAY[0] + dt.timedelta(number - 1), number)
 
 
 def log_of(store):
@@ -224,6 +225,27 @@ def test_rerun_of_an_older_run(runner):
     assert store.stale() == []
 
 
+def test_backfill_of_what_is_new(spark, runner):
+    """Names that came, went and came back, a rule altered, added, disabled: equal to a backfill of everything."""
+    store, rule_list, run = runner
+    text, squat, _ = rule_list
+    as_rows = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    run(1, ["example.ch", "examp1e.ch", "gone.ch", "back-example.ch"])
+    jobs.run_backfill(store, [text, squat], DAY[0], 2)
+    run(3, ["example.ch", "examp1e.ch", "exampl.ch"])
+    run(4, ["example.ch", "exampl.ch", "back-example.ch", "new.ch"])
+    for number, rules_now in ((5, [text, squat]), (6, [replace(text, regex="^new"), squat, rules.RegexRule("more", "d", "ex", diff.EVENT_TYPES)]), (7, [replace(squat, enabled=False)])):
+        assert store.last_backfill(number)[0] == {5: 2, 6: 5, 7: 6}[number]
+        jobs.run_backfill(store, rules_now, DAY[3], number)
+        found = store.matches().where(F.col("run_id") == number)
+        assert as_rows(found) == as_rows(jobs.backfill(store.domains(), rules_now, DAY[3], number).matches)
+        assert found.isEmpty() == (number == 7)
+    run(3, ["example.ch", "exampl.ch"])  # what stood on it is stale, so everything is evaluated again
+    assert store.last_backfill(8)[0] == 2
+    jobs.run_backfill(store, [text, squat], DAY[3], 8)
+    assert as_rows(store.matches().where("run_id = 8")) == as_rows(jobs.backfill(store.domains(), [text, squat], DAY[3], 8).matches)
+
+
 def test_rows_from_before_lineage(spark, runner):
     """Runs whose rows don't name their start count as they are."""
     store, _, run = runner

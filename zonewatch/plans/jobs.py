@@ -150,8 +150,23 @@ def run_monitor(store: Store, raw: DataFrame, complete: DataFrame, rule_list: li
     return outcome
 
 
-def run_backfill(store: Store, rule_list: list[rules.Rule], now: dt.datetime, run_id: int, **more) -> Outcome:
-    """A backfill on a store, committed. Names and statistics stay as they are."""
-    outcome = backfill(store.domains(run_id), rule_list, now, run_id, **more)
-    commit(store, outcome)
+def run_backfill(store: Store, rule_list: list[rules.Rule], now: dt.datetime, run_id: int, only: str | None = None, model=None, anew: bool = False) -> Outcome:
+    """A backfill on a store, committed. Names and statistics stay as they are.
+
+    After an earlier backfill of all rules only what is new is evaluated: new rules on the zone, the others
+    on names with events since. `anew` evaluates everything; so do runs with a likelihood model, whose
+    scores may change for any name, and runs of one rule."""
+    attempt = Attempt(store, run_id)
+    last = None if anew or only is not None or model is not None else store.last_backfill(run_id)
+    if last is None:
+        outcome = backfill(store.domains(run_id), rule_list, now, run_id, only, model)
+    else:
+        since, known = last
+        changed = store.events().where((F.col("run_id") > since) & (F.col("run_id") < run_id)).select("name").distinct()
+        outcome = Outcome("SUCCESS", run_id, now, matches=rules.backfill_again(
+            store.domains(run_id), store.matches().where(F.col("run_id") == since), known, write_once(changed, "changed"), rule_list, F.lit(now), run_id))
+    outcome = replace(outcome, matches=attempt.keep("matches", outcome.matches))
+    if only is None and model is None:
+        store.save_rules(run_id, attempt.id, {r.name: rules.fingerprint(r) for r in rule_list if r.enabled})
+    commit(store, outcome, attempt=attempt)
     return outcome

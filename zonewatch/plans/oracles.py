@@ -305,6 +305,13 @@ b AS (SELECT unnest({_values(BRANDS)}) AS brand),""" + TWO_EDITS,
 b AS (
   SELECT word AS brand FROM (SELECT unnest(a) AS word FROM t) WHERE regexp_full_match(word, '[a-z]{6,63}')
   GROUP BY word ORDER BY count(*) DESC, word LIMIT 1000),""" + TWO_EDITS,
+    "backfill_updated": ZONE + IN_ZONE_LABELS.replace("known AND in_zone", "staged") + HITS + r"""
+SELECT *, '2026-01-02' AS detected_at, 7::BIGINT AS run_id FROM (
+  SELECT name, NULL AS event_type, 'short' AS rule_name, name AS matched_value, NULL AS method, NULL AS brand
+  FROM z WHERE staged AND regexp_matches(name, '^[a-z]{3,7}\.ch$')
+  UNION ALL SELECT name, NULL, 'text', regexp_extract(name, '(thanedble|orantion|coop)'), NULL, NULL
+  FROM z WHERE staged AND regexp_matches(name, '(thanedble|orantion|coop)')
+  UNION ALL SELECT label || '.' || tld, NULL, 'watch', label, method, brand FROM hits)""",
     "rule_many_patterns": ZONE + """,
 b AS (
   SELECT word FROM (SELECT unnest(a) AS word FROM t) WHERE regexp_full_match(word, '[a-z]{6,63}')

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
@@ -340,6 +341,17 @@ def rule_many_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.backfill(state, many, _at(), 7).select("name", "rule_name", "matched_value")
 
 
+def backfill_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yesterday's backfill brought up to today: one rule as it was, one altered, one new and one gone."""
+    state, staged = wordzone.zone(spark, sf_dir)
+    classified = jobs.write_once(diff.classify(state, staged, TLDS), "classified")
+    before = [SHORT, replace(TEXT, regex="orantion"), rules.RegexRule("gone", "No longer", "a", ALL)]
+    previous = jobs.write_once(rules.backfill(state, before, _at("2026-01-01 06:00:00"), 1), "matches")
+    known, changed = {r.name: rules.fingerprint(r) for r in before}, diff.events(classified, _at(), 2).select("name")
+    return rules.backfill_again(diff.new_state(classified, _at()), previous, known, changed, _rules(), _at(), 7).select(
+        "name", "event_type", _day("detected_at"), "run_id", "rule_name", "matched_value", "method", "brand")
+
+
 def backfill_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole zone against one rule of several."""
     state, _ = wordzone.zone(spark, sf_dir)
@@ -414,7 +426,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Further operators, each with SQL too.
 QUERIES |= {f.__name__: f for f in (
     zone_text_awkward, name_parts, zone_rejected, snapshot_stats, due_tlds, zone_baseline, lexical_rounded, ngram_merged, ngram_from_labels, ngram_updated,
-    word_skeletons, squat_typo_two, squat_many_two, analyse_names, assess_signals, backfill_one, rule_many_patterns, rule_patterns, match_lines)}
+    word_skeletons, squat_typo_two, squat_many_two, analyse_names, assess_signals, backfill_one, backfill_updated, rule_many_patterns, rule_patterns, match_lines)}
 
 
 def _of_whole(query):

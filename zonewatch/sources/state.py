@@ -1,7 +1,8 @@
 """Tables on storage. A run becomes visible with its row in `runs`, which is written last.
 
 Layout under a base path: events, matches (folders by run_id and attempt), stats and domains (a
-version for each attempt that changes them), ngram_counts and ngram_stats (versions, named in models), runs. Every
+version for each attempt that changes them), ngram_counts and ngram_stats (versions, named in models), backfills (the rules of
+each), runs. Every
 attempt at a run writes folders of its own, which its row in `runs` names; readers take what the last
 successful attempt of each run names, so a rerun replaces the run as a whole or not at all, and can
 read what it replaces.
@@ -28,6 +29,7 @@ from .scratch import new_folder
 STATS = "tld string, name_count long, transferred_at timestamp, duration_seconds double"
 RUNS = ("run_id long, status string, started_at timestamp, finished_at timestamp, added long, removed long, returned long, "
         "matched long, zone_counts map<string,long>, error string, attempt string, domains_version string, stats_version string, base_version string")
+BACKFILLS = "run_id long, attempt string, rule_name string, fingerprint string"
 EVENTS = "name string, tld string, event_type string, detected_at timestamp, run_id long"
 STATISTICS = "tld string, order int, total_ngrams long, vocab_size long, sample_count long, mean_log_prob double, std_log_prob double"
 MATCHES = ("name string, tld string, event_type string, detected_at timestamp, run_id long, rule_name string, rule_description string, "
@@ -158,6 +160,18 @@ class Store:
         return (rows.where(F.col("run_id").isin([run for run, _ in attempts]) & F.col("attempt").isin([a for _, a in attempts]))
                 .where(F.array_contains(named, F.concat("run_id", F.lit("/"), "attempt"))).select(*self._names(EVENTS)))
 
+    def save_rules(self, run_id: int, attempt: str, fingerprints: dict[str, str]) -> None:
+        """Note the rules that an attempt at a backfill applied to the whole zone."""
+        rows = [(run_id, attempt, name, value) for name, value in fingerprints.items()]
+        self.spark.createDataFrame(rows, BACKFILLS).coalesce(1).write.mode("append").parquet(f"{self.base}/backfills")
+
+    def last_backfill(self, before: int) -> tuple[int, dict[str, str]] | None:
+        """(run, fingerprints by rule name) of the last backfill of all rules before a run that counts."""
+        rows = self._read("backfills", BACKFILLS).where(F.col("run_id") < before).join(F.broadcast(self.succeeded()), ["run_id", "attempt"], "left_semi")
+        found = rows.collect()  # a row a rule and backfill
+        last = max((r["run_id"] for r in found), default=None)
+        return None if last is None else (last, {r["rule_name"]: r["fingerprint"] for r in found if r["run_id"] == last})
+
     def save_model(self, counts: DataFrame, stats: DataFrame) -> None:
         """Replace the models of the TLDs at hand, counts and statistics together; others stay. Both go to a
         folder of their own, which counts once its row in `models` is written."""
