@@ -33,7 +33,7 @@ def skeleton(x):
     x = shown(x).lower()
     for seq, letter in confusables.SEQUENCES.items():
         x = x.replace(seq, letter)
-    single = {**confusables.ASCII_LOOKALIKES, **{c: k for k, chars in confusables.LOOKALIKES.items() for c in chars}}
+    single = {**confusables.ASCII_LOOKALIKES, **confusables.LOOKALIKES}
     return "".join(single.get(c, c) for c in x).replace("ß", "ss")
 
 

@@ -16,10 +16,15 @@ ASCII_LOOKALIKES = {"0": "o", "1": "l", "3": "e", "4": "a", "5": "s", "7": "t",
 
 #: Other characters that read as the letter: Cyrillic, Greek, fullwidth, accented Latin.
 LOOKALIKES = {
-    "a": "аαａàáâãäåā", "b": "вβｂ", "c": "сｃç", "d": "ԁｄ", "e": "еεｅèéêëē", "f": "ｆ", "g": "ｇ",
-    "h": "нηｈ", "i": "іⅰιｉìíîïī", "j": "јｊ", "k": "кκｋ", "l": "ｌ", "m": "мｍ", "n": "ｎñ",
-    "o": "оοｏòóôõöøō", "p": "рρｐ", "q": "ԛｑ", "r": "ｒ", "s": "ѕｓ", "t": "тτｔ", "u": "υｕùúûüū",
-    "v": "νｖ", "w": "ѡｗ", "x": "хχｘ", "y": "уｙýÿ", "z": "ｚ",
+    "а": "a", "α": "a", "ａ": "a", "à": "a", "á": "a", "â": "a", "ã": "a", "ä": "a", "å": "a", "ā": "a", "в": "b", "β": "b", "ｂ": "b",
+    "с": "c", "ｃ": "c", "ç": "c", "ԁ": "d", "ｄ": "d", "е": "e", "ε": "e", "ｅ": "e", "è": "e", "é": "e", "ê": "e", "ë": "e", "ē": "e",
+    "ｆ": "f", "ｇ": "g", "н": "h", "η": "h", "ｈ": "h",
+    "і": "i", "ⅰ": "i", "ι": "i", "ｉ": "i", "ì": "i", "í": "i", "î": "i", "ï": "i", "ī": "i", "ј": "j", "ｊ": "j",
+    "к": "k", "κ": "k", "ｋ": "k", "ｌ": "l", "м": "m", "ｍ": "m", "ｎ": "n", "ñ": "n",
+    "о": "o", "ο": "o", "ｏ": "o", "ò": "o", "ó": "o", "ô": "o", "õ": "o", "ö": "o", "ø": "o", "ō": "o", "р": "p", "ρ": "p", "ｐ": "p",
+    "ԛ": "q", "ｑ": "q", "ｒ": "r", "ѕ": "s", "ｓ": "s", "т": "t", "τ": "t", "ｔ": "t",
+    "υ": "u", "ｕ": "u", "ù": "u", "ú": "u", "û": "u", "ü": "u", "ū": "u", "ν": "v", "ｖ": "v", "ѡ": "w", "ｗ": "w",
+    "х": "x", "χ": "x", "ｘ": "x", "у": "y", "ｙ": "y", "ý": "y", "ÿ": "y", "ｚ": "z",
 }
 
 
@@ -27,7 +32,7 @@ def fold(text: Column) -> Column:
     """Fold a lower-case text. Sequences go first; no folded character begins a new one."""
     for seq, letter in SEQUENCES.items():
         text = F.replace(text, F.lit(seq), F.lit(letter))
-    single = {**ASCII_LOOKALIKES, **{c: k for k, chars in LOOKALIKES.items() for c in chars}}
+    single = {**ASCII_LOOKALIKES, **LOOKALIKES}
     return F.replace(F.translate(text, "".join(single), "".join(single.values())), F.lit("ß"), F.lit("ss"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.confusables import ASCII_LOOKALIKES, LOOKALIKES
+from ..operators.watchlist import KEYWORDS, LAYOUTS
 from .wordzone import BRANDS, SQUATS
 
 
@@ -11,7 +12,7 @@ def _values(words) -> str:
 
 
 ZONE = rf"""
-WITH RECURSIVE t AS (
+WITH t AS (
   SELECT coalesce(source, '') AS source,
          list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'),
                      lambda w: length(w) BETWEEN 3 AND 63) AS a
@@ -78,8 +79,8 @@ like_ AS (
 
 
 #: All single look-alikes and their letters.
-_SINGLE = "".join(ASCII_LOOKALIKES) + "".join(LOOKALIKES.values())
-_LETTER = "".join(ASCII_LOOKALIKES.values()) + "".join(k * len(v) for k, v in LOOKALIKES.items())
+_SINGLE = "".join((*ASCII_LOOKALIKES, *LOOKALIKES))
+_LETTER = "".join((*ASCII_LOOKALIKES.values(), *LOOKALIKES.values()))
 
 
 def _fold(x: str) -> str:
@@ -90,7 +91,8 @@ def _fold(x: str) -> str:
 _BYTES = "regexp_replace(label, '[^\\x00-\\x7F]', '~', 'g')"
 
 
-_WORDS = ("authentication|password|security|account|banking|payment|webmail|secure|signin|verify|login|auth|sso")
+#: A pattern takes its first alternative, so longer words come before their beginnings.
+_WORDS = "|".join(sorted(KEYWORDS, key=lambda k: (-len(k), k)))
 
 #: Hits on the labels and TLDs of the relation n.
 HITS = f""",
@@ -102,7 +104,7 @@ flips AS (
       FROM (SELECT brand, ord, unnest(range(1, length(brand) + 1)) AS i FROM b), (SELECT unnest(range(0, 7)) AS bit))
     WHERE regexp_full_match(f, '[a-z0-9-]')) WHERE key <> brand GROUP BY key),
 krows AS (
-  SELECT unnest(['qwertzuiop', 'asdfghjkl', 'yxcvbnm', 'qwertyuiop', 'zxcvbnm', 'azertyuiop', 'qsdfghjklm', 'wxcvbn']) AS r),
+  SELECT DISTINCT unnest({_values(row for rows in LAYOUTS.values() for row in rows)}) AS r),
 kpairs AS (
   SELECT DISTINCT substr(r, i, 1) AS x, substr(r, i + d, 1) AS y
   FROM (SELECT r, unnest(range(1, length(r) + 1)) AS i FROM krows), (SELECT unnest([-1, 1]) AS d) WHERE i + d BETWEEN 1 AND length(r)),
@@ -299,9 +301,9 @@ SELECT label, {_fold('label')} AS skeleton,
        regexp_matches(label, '[^\x00-\x7F]') AS is_homograph
 FROM w WHERE label <> ''""",
     # the distance here is the unrestricted one; it parts from the restricted one only where a swap's letters are parted again
-    "squat_typo_two": ZONE + ALL_LABELS + f""",
+    "squat_typo_two": ZONE.replace("WITH", "WITH RECURSIVE", 1) + ALL_LABELS + f""",
 b AS (SELECT unnest({_values(BRANDS)}) AS brand),""" + TWO_EDITS,
-    "squat_many_two": ZONE + ALL_LABELS + """,
+    "squat_many_two": ZONE.replace("WITH", "WITH RECURSIVE", 1) + ALL_LABELS + """,
 b AS (
   SELECT word AS brand FROM (SELECT unnest(a) AS word FROM t) WHERE regexp_full_match(word, '[a-z]{6,63}')
   GROUP BY word ORDER BY count(*) DESC, word LIMIT 1000),""" + TWO_EDITS,
