@@ -37,3 +37,38 @@ def test_continuation_across_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert found == [f"n{i:04d}.ch" for i in range(400)]
+
+
+def test_owners_over_batches_and_files(spark, tmp_path):
+    """Small batches, small splits, several files, records at a file's head that have no owner: as read line by line."""
+    import random
+
+    rng, want = random.Random(1), []
+    for f in range(4):
+        lines, owner = [], None
+        for i in range(300):
+            kind = rng.randrange(6)
+            if kind == 0:
+                owner = f"f{f}n{i}.ch"
+                lines.append(f"{owner}.\t3600\tIN\tDS\t1 2")
+            elif kind == 1:
+                owner = f"f{f}m{i}.ch"
+                want.append(owner)
+                lines.append(f"{owner}.\tIN\tNS\tns.example.")
+            elif kind == 2:
+                want.append(f"bare{i}.ch")
+                lines.append(f"bare{i}.ch")
+            elif kind == 3:
+                lines.append("\t3600\tIN\tTXT\tNS filler")
+            else:
+                lines.append("\t3600\tIN\tNS\tns2.example.")
+                want += [owner] if owner else []
+        (tmp_path / f"{f}.zone").write_text("\n".join(lines) + "\n")
+    for most, batch in (("1200", "7"), ("100000", "64"), ("300", "10000")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            assert sorted(r["raw_name"] for r in zonefile.names(zonefile.read_lines(spark, str(tmp_path)), "ch").collect()) == sorted(want)
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
