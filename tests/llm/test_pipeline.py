@@ -33,9 +33,11 @@ def test_contract_columns(spark, sf_dir, name):
         "op1": "doc_id held_out lang_pred score", "op2": "doc_id held_out score predicted", "op3": "doc_id size text_crc32 law shard slot grown_shard",
         "op4": "doc_id n_shingles component_id kept", "op5": "doc_id n_tokens ids_sha256 decoded_sha256", "op6": "query_id rank vec_id score",
         "op7": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars", "op8": "vec_id n_links component_id kept",
-        "op9": "doc_id n_lines n_dropped kept_sha256", "op10": "doc_id piece start length ids_crc32 sequence_id offset"}[name.split("_")[0]]
+        "op9": "doc_id n_lines n_dropped kept_sha256", "op10": "doc_id piece start length ids_crc32 sequence_id offset",
+        "op11": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+        "op12": "doc_id n_words n_base first_word last_word base_labels labels score", "op13": "word form root n n_near form_n"}[name.split("_")[0]]
     assert set(need.split()) <= set(out.columns)
-    if name.split("_")[0] in ("op1", "op2", "op3", "op4", "op5", "op9"):
+    if name.split("_")[0] in ("op1", "op2", "op3", "op4", "op5", "op9", "op11", "op12"):
         assert out.count() == table(spark, sf_dir, "documents").count()
 
 
