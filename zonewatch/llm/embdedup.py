@@ -22,7 +22,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import components, hot_keys, lookup, ranked, save
 from .vectors import by_length, stack, valid
@@ -65,7 +64,8 @@ def _along(shared):
             if b.num_rows:
                 x = _rows(b.column("v"))
                 yield pa.RecordBatch.from_arrays(
-                    [*b.columns, pa.array(_units(x) @ axis), pa.array([r.tobytes() for r in x], pa.binary())], names=[*b.schema.names, "first", "x"])
+                    [b.column("number"), b.column("weight"), pa.array(_units(x) @ axis), pa.array([r.tobytes() for r in x], pa.binary())],
+                    names=["number", "weight", "first", "x"])
     return along
 
 
@@ -169,9 +169,9 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
 
 def _links(rows: DataFrame, threshold: float, block: int) -> DataFrame | None:
     """(id, v, links, component) of distinct (id, v), all of one length. Inside, a class of equal vectors
-    goes by its rank on the first axis, so that an id with several vectors is several classes."""
-    spark, id_type = rows.sparkSession, rows.schema["id"].dataType
-    classes = save(rows.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("weight")), "classes")
+    goes by a number and by its rank on the first axis, so that an id with several vectors is several classes."""
+    spark = rows.sparkSession
+    classes = save(rows.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("weight")).withColumn("number", F.monotonically_increasing_id()), "classes")
     moments = classes.select("v").mapInArrow(_moments, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas()
     if not len(moments):
         return None
@@ -179,11 +179,9 @@ def _links(rows: DataFrame, threshold: float, block: int) -> DataFrame | None:
     matrix = np.zeros((d, d))
     matrix[moments["i"], moments["j"]] = moments["s"]  # length x length numbers
     axes = spark.sparkContext.broadcast(np.linalg.eigh((matrix + matrix.T) / 2)[1][:, ::-1].copy())
-    v_type = classes.schema["v"].dataType
-    turned = classes.select("v", "least", "weight").mapInArrow(_along(axes), T.StructType([
-        T.StructField("v", v_type), T.StructField("least", id_type), *T.StructType.fromDDL("weight long, first double, x binary").fields]))
+    turned = classes.select("v", "number", "weight").mapInArrow(_along(axes), "number long, weight long, first double, x binary")
     block = max(block, -(-classes.count() // MAX_BLOCKS))
-    blocked = save(ranked(turned, "first", "least", "x").withColumnRenamed("rank", "rep").withColumn("i", F.expr(f"int(rep div {block})")), "turned")
+    blocked = save(ranked(turned, "first", "number").withColumnRenamed("rank", "rep").withColumn("i", F.expr(f"int(rep div {block})")), "turned")
     # a block's rows lie between two angles on the first axis; further than arccos(threshold) apart nothing links
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("first"))))
     spans = sorted((r["i"], r["low"], r["high"]) for r in blocked.groupBy("i").agg(F.min(angle).alias("low"), F.max(angle).alias("high")).collect())
@@ -197,12 +195,13 @@ def _links(rows: DataFrame, threshold: float, block: int) -> DataFrame | None:
     left = spread.select(F.col("i"), F.explode(F.expr("sequence(i, last)")).alias("j"), F.lit(0).alias("side"), "rep", "weight", "x")
     right = spread.where("since < i").select(F.explode(F.expr("sequence(since, i - 1)")).alias("i"), F.col("i").alias("j"),
                                              F.lit(1).alias("side"), "rep", "weight", "x")
-    dtype = "<f4" if v_type.simpleString() == "array<float>" else "<f8"
+    dtype = "<f4" if classes.schema["v"].dataType.simpleString() == "array<float>" else "<f8"
     found = save(left.unionByName(right).groupBy("i", "j").applyInPandas(_tile(threshold, axes, dtype), "id long, links long, label long"), "links")
     links = found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
     groups = components(found.where("id <> label"), "id", "label").withColumnRenamed("node", "rep")
-    per_class = save(blocked.select("v", "rep", "least", "weight").join(links, "rep", "left").join(groups, "rep", "left").select(
-        "v", "least", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("group")), "classes")
+    per_class = save(blocked.select("rep", "number", "weight").join(links, "rep", "left").join(groups, "rep", "left")
+                     .join(classes.select("number", "least"), "number").select(
+        "number", "least", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("group")), "groups")
     smallest = per_class.groupBy("group").agg(F.min("least").alias("component"))
     named = lookup(per_class.drop("least"), smallest, "group", hot_keys(per_class, "group"))
-    return rows.join(named, "v").select("id", "v", "links", "component")
+    return rows.join(classes.select("v", "number"), "v").join(named, "number").select("id", "v", "links", "component")
