@@ -6,8 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from zonewatch.plans.oracles import ORACLES
-from zonewatch.plans.queries import QUERIES
+from zonewatch.plans.oracles import ORACLES, STORED_ORACLES, WHOLE_ORACLES
+from zonewatch.plans.queries import QUERIES, WHOLE
+from zonewatch.plans.storequeries import STORED
 
 
 def rows(df: pd.DataFrame) -> list[str]:
@@ -30,9 +31,23 @@ def db(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert QUERIES.keys() == ORACLES.keys()
+    assert QUERIES.keys() == ORACLES.keys() and WHOLE.keys() == WHOLE_ORACLES.keys() and STORED.keys() == STORED_ORACLES.keys()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf_dir, db, name):
     assert rows(QUERIES[name](spark, sf_dir).toPandas()) == rows(db.sql(ORACLES[name]).df())
+
+
+@pytest.mark.parametrize("name", sorted(STORED))
+def test_job(spark, sf_dir, db, name):
+    assert rows(STORED[name](spark, sf_dir).toPandas()) == rows(db.sql(STORED_ORACLES[name]).df())
+
+
+#: Those of the whole zone that decode names, or see them coded for the first time.
+IDNA = ("display_names", "skeleton_fold", "squat_homoglyph", "match_by_brand", "match_lines", "zone_stage_dedup", "lexical_features", "zone_diff_events")
+
+
+@pytest.mark.parametrize("name", IDNA)
+def test_whole_zone(spark, sf_dir, db, name):
+    assert rows(WHOLE[f"whole_{name}"](spark, sf_dir).toPandas()) == rows(db.sql(WHOLE_ORACLES[f"whole_{name}"]).df())

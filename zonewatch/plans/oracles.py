@@ -2,42 +2,90 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from ..functions.confusables import ASCII_LOOKALIKES, LOOKALIKES
 from ..operators.watchlist import KEYWORDS, LAYOUTS
-from .wordzone import BRANDS, SQUATS
+from .wordzone import BRANDS, IDN_SQUATS, SQUATS
 
 
 def _values(words) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-ZONE = rf"""
+#: Words and pairs of neighbours, by source.
+_FOUND = r"""
 WITH t AS (
   SELECT coalesce(source, '') AS source,
-         list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'),
+         list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'),
                      lambda w: length(w) BETWEEN 3 AND 63) AS a
   FROM documents),
 l0 AS (
   SELECT source, unnest(a) AS label FROM t
   UNION ALL
-  SELECT source, unnest(list_transform(list_zip(a[:-2], a[2:]), lambda p: p[1] || '-' || p[2])) FROM t WHERE len(a) > 1),
+  SELECT source, unnest(list_transform(list_zip(a[:-2], a[2:]), lambda p: p[1] || '-' || p[2])) FROM t WHERE len(a) > 1)"""
+
+_DAYS = "bool_or(source <> 'src9') AS known, bool_or(source NOT IN ('src8', 'src9')) AS in_zone, bool_or(source <> 'src0') AS staged"
+
+#: Labels as they are written.
+_WRITTEN = f""",
+l1 AS (
+  SELECT label, label AS shown, {_DAYS} FROM l0 GROUP BY label
+  UNION ALL
+  SELECT label, label, contains(label, '-'), contains(label, '-'), true FROM (SELECT unnest({_values(SQUATS)}) AS label))"""
+
+#: Labels as A-labels: Punycode (RFC 3492), a row a label and a step of the recursion a digit. The next letter
+#: to insert is the smallest left; `place` is how many of those `present` stand before it. A label that would
+#: be longer than 63 stays as it is written. Of what IDNA maps first, SQL says nothing: words are lower case.
+_CODED = rf""",
+sq AS (SELECT unnest({_values(unicodedata.normalize("NFKC", x) for x in SQUATS + IDN_SQUATS)}) AS label),
+u0 AS (
+  SELECT label, list_transform(range(1, length(label) + 1), lambda i: unicode(substr(label, i, 1))) AS c
+  FROM (SELECT label FROM l0 UNION SELECT label FROM sq) WHERE regexp_matches(label, '[^\x00-\x7F]')),
+u1 AS (
+  SELECT label, pos, cp, len(list_filter(c[:pos - 1], lambda v: v <= cp)) AS place,
+         len(list_filter(c, lambda v: v < cp)) + len(list_filter(c[:pos - 1], lambda v: v = cp)) AS present
+  FROM (SELECT label, c, pos, c[pos] AS cp FROM (SELECT label, c, unnest(range(1, len(c) + 1)) AS pos FROM u0)) WHERE cp > 127),
+u2 AS (
+  SELECT label, list(delta ORDER BY cp, pos) AS deltas FROM (
+    SELECT label, cp, pos, (cp - lag(cp, 1, 128) OVER w) * (present + 1) + place - lag(place + 1, 1, 0) OVER w AS delta
+    FROM u1 WINDOW w AS (PARTITION BY label ORDER BY cp, pos)) GROUP BY label),
+u3 AS (
+  SELECT label, deltas, length(label) - len(deltas) AS basic, 1 AS j, deltas[1] AS rest, 72 AS bias, 36 AS k,
+         CASE WHEN length(label) > len(deltas) THEN regexp_replace(label, '[^\x00-\x7F]', '', 'g') || '-' ELSE '' END AS coded FROM u2
+  UNION ALL
+  SELECT label, deltas, basic, CASE WHEN rest < lim THEN j + 1 ELSE j END, CASE WHEN rest < lim THEN deltas[j + 1] ELSE (rest - lim) // (36 - lim) END,
+         CASE WHEN rest >= lim THEN bias WHEN d <= 455 THEN 36 * d // (d + 38) WHEN d // 35 <= 455 THEN 36 + 36 * (d // 35) // (d // 35 + 38)
+              ELSE 72 + 36 * (d // 1225) // (d // 1225 + 38) END,
+         CASE WHEN rest < lim THEN 36 ELSE k + 36 END,
+         coded || substr('abcdefghijklmnopqrstuvwxyz0123456789', (CASE WHEN rest < lim THEN rest ELSE lim + (rest - lim) % (36 - lim) END + 1)::BIGINT, 1)
+  FROM (SELECT *, greatest(1, least(26, k - bias)) AS lim, half + half // (basic + j) AS d
+        FROM (SELECT *, deltas[j] // (CASE WHEN j = 1 THEN 700 ELSE 2 END) AS half FROM u3 WHERE j <= len(deltas)))),
+al AS (SELECT label, CASE WHEN length(coded) <= 59 THEN 'xn--' || coded ELSE label END AS a_label FROM u3 WHERE j > len(deltas)),
 l1 AS (
-  SELECT label, bool_or(source <> 'src9') AS known, bool_or(source NOT IN ('src8', 'src9')) AS in_zone, bool_or(source <> 'src0') AS staged
-  FROM l0 GROUP BY label
+  SELECT coalesce(a_label, label) AS label, label AS shown, known, in_zone, staged FROM (SELECT label, {_DAYS} FROM l0 GROUP BY label) LEFT JOIN al USING (label)
   UNION ALL
-  SELECT label, contains(label, '-'), contains(label, '-'), true FROM (SELECT unnest({_values(SQUATS)}) AS label)),
+  SELECT coalesce(a_label, label), label, a_label IS NULL AND contains(label, '-'), a_label IS NULL AND contains(label, '-'), true FROM sq LEFT JOIN al USING (label))"""
+
+ZONE = _FOUND + _WRITTEN + """,
 s AS (
-  SELECT label, bool_or(known) AS known, bool_or(in_zone) AS in_zone, bool_or(staged) AS staged,
+  SELECT label, min(shown) AS shown, bool_or(known) AS known, bool_or(in_zone) AS in_zone, bool_or(staged) AS staged,
          CASE WHEN length(label) % 10 = 0 THEN 'li' ELSE 'ch' END AS tld
   FROM l1 GROUP BY label),
 z AS (
-  SELECT *, label || '.' || tld AS name,
+  SELECT *, label || '.' || tld AS name, shown || '.' || tld AS reads,
          CASE WHEN staged AND NOT known THEN 'ADDED_TO_ZONE' WHEN staged AND NOT in_zone THEN 'RETURNED_TO_ZONE'
               WHEN known AND in_zone AND NOT staged THEN 'REMOVED_FROM_ZONE' END AS e1,
          CASE WHEN staged AND NOT (known AND in_zone) THEN 'REMOVED_FROM_ZONE'
               WHEN NOT staged AND known AND in_zone THEN 'RETURNED_TO_ZONE' END AS e2
   FROM s WHERE known OR staged)"""
 
+
+def whole(sql: str) -> str:
+    """The same on labels as A-labels, with the squats in other scripts."""
+    return sql.replace(_WRITTEN, _CODED).replace("WITH RECURSIVE", "WITH").replace("WITH", "WITH RECURSIVE", 1)
+
+
 _CONSONANT = "[^bcdfghjklmnpqrstvwxyz]"
 
 LEXICAL = f""",
@@ -116,7 +164,7 @@ beside AS (
   FROM n JOIN b ON contains(label, brand) AND label <> brand),
 hits AS (
   SELECT label, tld, 'homoglyph' AS method, brand, 0 AS distance
-  FROM n JOIN (SELECT {_fold('brand')} AS k, arg_min(brand, ord) AS brand FROM b GROUP BY 1) ON {_fold('label')} = k WHERE label <> brand
+  FROM n JOIN (SELECT {_fold('brand')} AS k, arg_min(brand, ord) AS brand FROM b GROUP BY 1) ON {_fold('shown')} = k WHERE label <> brand
   UNION ALL SELECT label, tld, 'bitsquat', brand, 1 FROM n JOIN flips ON label = key WHERE label <> brand
   UNION ALL SELECT label, tld, 'keyboard', brand, 1 FROM n JOIN slips ON label = key WHERE label <> brand
   UNION ALL SELECT label, tld, CASE WHEN length(label) > length(brand) THEN 'insertion' WHEN length(label) < length(brand) THEN 'omission'
@@ -128,9 +176,9 @@ hits AS (
        OR ((starts_with(aft, '-') OR ends_with(bef, '-')) AND length(brand) >= 5)
   UNION ALL SELECT label, tld, 'hyphenation', brand, NULL FROM n JOIN b ON replace(label, '-', '') = brand WHERE label <> brand)"""
 
-ALL_LABELS = ",\nn AS (SELECT label, tld FROM s)"
-EVENT_LABELS = ",\nn AS (SELECT label, tld FROM z WHERE e1 IN ('ADDED_TO_ZONE', 'RETURNED_TO_ZONE'))"
-IN_ZONE_LABELS = ",\nn AS (SELECT label, tld FROM z WHERE known AND in_zone)"
+ALL_LABELS = ",\nn AS (SELECT label, tld, shown FROM s)"
+EVENT_LABELS = ",\nn AS (SELECT label, tld, shown FROM z WHERE e1 IN ('ADDED_TO_ZONE', 'RETURNED_TO_ZONE'))"
+IN_ZONE_LABELS = ",\nn AS (SELECT label, tld, shown FROM z WHERE known AND in_zone)"
 
 _WEIGHT = ("CASE method WHEN 'homoglyph' THEN 1.0 WHEN 'bitsquat' THEN 0.9 WHEN 'combosquat' THEN 0.8 WHEN 'keyboard' THEN 0.7 "
            "WHEN 'hyphenation' THEN 0.5 ELSE 0.6 END::DOUBLE")
@@ -138,13 +186,13 @@ _WEIGHT = ("CASE method WHEN 'homoglyph' THEN 1.0 WHEN 'bitsquat' THEN 0.9 WHEN
 #: Matches of today's events.
 MATCHES = ZONE + EVENT_LABELS + HITS + LEXICAL + f""",
 m AS (
-  SELECT name, e1 AS event_type, 'short' AS rule_name, 'Three to seven letters' AS rule_description, name AS matched_value, NULL AS method, NULL AS brand, NULL::DOUBLE AS score
+  SELECT name, reads, e1 AS event_type, 'short' AS rule_name, 'Three to seven letters' AS rule_description, name AS matched_value, NULL::VARCHAR AS method, NULL::VARCHAR AS brand, NULL::DOUBLE AS score
   FROM z WHERE e1 IN ('ADDED_TO_ZONE', 'REMOVED_FROM_ZONE') AND regexp_matches(name, '^[a-z]{{3,7}}\\.ch$')
   UNION ALL
-  SELECT name, e1, 'text', 'A brand''s text anywhere', regexp_extract(name, '(thanedble|orantion|coop)'), NULL, NULL, NULL
+  SELECT name, reads, e1, 'text', 'A brand''s text anywhere', regexp_extract(name, '(thanedble|orantion|coop)'), NULL, NULL, NULL
   FROM z WHERE e1 IS NOT NULL AND regexp_matches(name, '(thanedble|orantion|coop)')
   UNION ALL
-  SELECT name, e1, 'watch', 'Squats of our brands', label, method, brand, round(round_even({_WEIGHT} + 0.1 * r / 0.65, 4)::DECIMAL(9, 4), 3)::DOUBLE
+  SELECT name, reads, e1, 'watch', 'Squats of our brands', label, method, brand, round(round_even({_WEIGHT} + 0.1 * r / 0.65, 4)::DECIMAL(9, 4), 3)::DOUBLE
   FROM hits JOIN z USING (label, tld) JOIN three USING (label, tld))"""
 
 
@@ -217,7 +265,7 @@ SELECT label, tld, round(greatest(0.0, least(1.0, r + 0.35 * (1 - likelihood))),
 SELECT tld, "order", total_ngrams, vocab_size, sample_count, round(mean_log_prob, 6) AS mean_log_prob, round(std_log_prob, 6) AS std_log_prob
 FROM tot JOIN fit USING (tld)""",
     "ngram_likelihood": ZONE + NGRAM + "\nSELECT label, tld, round(likelihood, 6) AS likelihood FROM like_",
-    "skeleton_fold": ZONE + f"\nSELECT label, {_fold('label')} AS skeleton FROM s",
+    "skeleton_fold": ZONE + f"\nSELECT label, {_fold('shown')} AS skeleton FROM s",
     "squat_homoglyph": _squat("method = 'homoglyph'"),
     "squat_bitsquat": _squat("method = 'bitsquat'"),
     "squat_keyboard": _squat("method = 'keyboard'"),
@@ -245,7 +293,7 @@ FROM z WHERE known AND in_zone AND regexp_matches(name, '(thanedble|orantion|coo
 UNION ALL SELECT label || '.' || tld, NULL, 'watch', label, method, brand FROM hits""",
     "match_by_rule": MATCHES + "\nSELECT rule_name, min(rule_description) AS rule_description, count(*) AS n_matches FROM m GROUP BY rule_name",
     "match_by_brand": MATCHES + """
-SELECT brand, count(*) AS n_matches, count(DISTINCT name) AS n_domains, array_to_string(list_sort(list(DISTINCT name))[1:100], ',') AS domains,
+SELECT brand, count(*) AS n_matches, count(DISTINCT reads) AS n_domains, array_to_string(list_sort(list(DISTINCT reads))[1:100], ',') AS domains,
        string_agg(DISTINCT method, ',' ORDER BY method) AS methods FROM m WHERE brand IS NOT NULL GROUP BY brand""",
     "match_ranked": MATCHES + """
 SELECT rule_name, place, name, method, brand FROM (
@@ -341,6 +389,51 @@ SELECT rule_name, CASE rule_name WHEN 'short' THEN '^[a-z]{3,7}\.ch$' WHEN 'text
          ELSE 'watchlist of 10 brands within distance 1 by bitsquat, combosquat, homoglyph, hyphenation, keyboard, typo' END AS rule_pattern,
        count(*) AS n_matches FROM m GROUP BY rule_name""",
     "match_lines": MATCHES + """
-SELECT rule_name, name AS display_name, event_type AS event, CASE WHEN name LIKE '%.li' THEN '2026-07-02 08:00 CEST' ELSE '2026-01-02 07:00 CET' END AS seen,
+SELECT rule_name, reads AS display_name, event_type AS event, CASE WHEN name LIKE '%.li' THEN '2026-07-02 08:00 CEST' ELSE '2026-01-02 07:00 CET' END AS seen,
        method, brand FROM m""",
 }
+
+#: Of the queries on the whole zone.
+WHOLE_ORACLES: dict[str, str] = {
+    "whole_display_names": whole(ZONE + "\nSELECT name, reads AS display, regexp_matches(reads, '[^\\x00-\\x7F]') AS is_homograph FROM z WHERE staged"),
+    **{f"whole_{k}": whole(q) for k, q in ORACLES.items()}}
+
+#: Matches of the names that run 2 of a store takes out.
+_TAKEN_OUT = r""",
+m2 AS (
+  SELECT name, 'short' AS rule_name, name AS matched_value FROM z WHERE known AND NOT in_zone AND regexp_matches(name, '^[a-z]{3,7}\.ch$')
+  UNION ALL
+  SELECT name, 'text', regexp_extract(name, '(thanedble|orantion|coop)') FROM z WHERE known AND NOT in_zone AND regexp_matches(name, '(thanedble|orantion|coop)'))"""
+
+
+def _run(number: int, status: str, started: str, added: str, removed: str, returned: str, matched: str, inside: str) -> str:
+    """A row of the log of runs, counted from z; the counts of TLDs are null where no name is inside."""
+    return (f"SELECT {number}::BIGINT AS run_id, '{status}' AS status, '{started}' AS started, count(*) FILTER (WHERE {added}) AS added, "
+            f"count(*) FILTER (WHERE {removed}) AS removed, count(*) FILTER (WHERE {returned}) AS returned, {matched} AS matched, "
+            f"nullif(count(*) FILTER (WHERE {inside} AND tld = 'ch'), 0) AS ch, nullif(count(*) FILTER (WHERE {inside} AND tld = 'li'), 0) AS li, "
+            f"false AS stale, {str(status == 'FAILED').lower()} AS failed FROM z")
+
+
+#: Of the queries on stores and files.
+STORED_ORACLES: dict[str, str] = {k: whole(q) for k, q in {
+    "monitor_runs": MATCHES + _TAKEN_OUT + "\n" + "\nUNION ALL ".join((
+        _run(1, "SUCCESS", "2026-01-01", "false", "false", "false", "0", "known"),
+        _run(2, "SUCCESS", "2026-01-02", "false", "known AND NOT in_zone", "false", "(SELECT count(*) FROM m2)", "known AND in_zone"),
+        _run(3, "SUCCESS", "2026-01-03", "e1 = 'ADDED_TO_ZONE'", "e1 = 'REMOVED_FROM_ZONE'", "e1 = 'RETURNED_TO_ZONE'", "(SELECT count(*) FROM m)", "staged"),
+        _run(4, "FAILED", "2026-01-04", "false", "false", "false", "0", "false"),
+        _run(5, "SKIPPED", "2026-01-03", "false", "false", "false", "0", "false"))),
+    "monitor_rerun": ZONE + """
+SELECT name, tld, CASE WHEN known THEN '2026-01-01' ELSE '2026-01-03' END AS first_seen_at, CASE WHEN staged THEN '2026-01-03' ELSE '2026-01-02' END AS last_seen_at,
+       staged AS currently_in_zone, '2026-01-03' AS updated_at, CASE WHEN NOT known THEN '3:ADDED_TO_ZONE' WHEN NOT staged THEN '3:REMOVED_FROM_ZONE' END AS event
+FROM z""",
+    "stream_matches": MATCHES + _TAKEN_OUT + """
+SELECT 2::BIGINT AS run_id, name, 'REMOVED_FROM_ZONE' AS event_type, rule_name, matched_value, NULL::VARCHAR AS method, NULL::VARCHAR AS brand, NULL::DOUBLE AS score FROM m2
+UNION ALL SELECT 3, name, event_type, rule_name, matched_value, method, brand, score FROM m""",
+    "stored_backfill": ORACLES["backfill_updated"].replace("'2026-01-02' AS detected_at, 7::", "'2026-01-05' AS detected_at, 5::"),
+    "stored_model": ORACLES["ngram_updated"],
+    "rule_file": MATCHES + r"""
+SELECT name, event_type, rule_name, rule_description, CASE rule_name WHEN 'short' THEN '^[a-z]{3,7}\.ch$' WHEN 'text' THEN '(?<brand>thanedble|orantion|coop)'
+         ELSE 'watchlist of 10 brands within distance 1 by bitsquat, combosquat, homoglyph, hyphenation, keyboard, typo' END AS rule_pattern,
+       matched_value, method, brand FROM m""",
+    "feature_file": ORACLES["feature_export"],
+}.items()}

@@ -439,6 +439,6 @@ def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged.select("name", names.display(F.col("name")).alias("display"), confusables.is_homograph(F.col("name")).alias("is_homograph"))
 
 
-#: The same on names as A-labels, which SQL can't say, and those decoded; plain versions test them.
+#: The same on names as A-labels, and those decoded.
 WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "whole_display_names": display_names, **{f"whole_{k}": _of_whole(q) for k, q in QUERIES.items()}}

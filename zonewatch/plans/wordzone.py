@@ -30,7 +30,7 @@ IDN_SQUATS = ("thаnedble", "оrantion", "thintiоn", "onblееa", "thshíng", "
 class Whole(str):
     """A folder of tables whose zone has A-labels, and squats in other scripts.
 
-    On a plain path the same words and pairs are labels as they are written, which SQL can say too."""
+    On a plain path the same words and pairs are labels as they are written."""
 
 
 def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
