@@ -393,6 +393,48 @@ SELECT rule_name, reads AS display_name, event_type AS event, CASE WHEN name LIK
        method, brand FROM m""",
 }
 
+#: What is said of each hit of a watchlist and of randomness, in d, with the letters of the label as they are read.
+DETAILS = f""",
+kl AS (
+  SELECT x, y, arg_min(layout, ord) AS layout FROM (
+    SELECT layout, ord, substr(r, i, 1) AS x, substr(r, i + step, 1) AS y
+    FROM (SELECT layout, ord, r, unnest(range(1, length(r) + 1)) AS i
+          FROM (VALUES {", ".join(f"('{n}', {i}, '{r}')" for i, (n, rows) in enumerate(LAYOUTS.items()) for r in rows)}) AS v(layout, ord, r)),
+         (SELECT unnest([-1, 1]) AS step) WHERE i + step BETWEEN 1 AND length(r)) GROUP BY x, y),
+kslips AS (
+  SELECT brand, substr(brand, 1, i - 1) || y || substr(brand, i + 1) AS label, layout
+  FROM (SELECT brand, unnest(range(1, length(brand) + 1)) AS i FROM b) JOIN kl ON x = substr(brand, i, 1)),
+d AS (
+  SELECT hits.*, CASE
+      WHEN method = 'homoglyph' THEN 'reads as ''' || {_fold('shown')} || ''', like ''' || brand || '''' ||
+        CASE WHEN regexp_matches(shown, '[^\\x00-\\x7F]') THEN ', with letters beyond ASCII' ELSE '' END
+      WHEN method = 'bitsquat' THEN 'one flipped bit away from ''' || brand || ''''
+      WHEN method = 'keyboard' THEN 'a neighbouring key of ' || layout || ' in ''' || brand || ''''
+      WHEN method = 'hyphenation' THEN '''' || brand || ''' once its hyphens are gone'
+      WHEN method = 'combosquat' THEN 'holds ''' || brand || '''; ' || CASE
+        WHEN regexp_matches(aft, '^-?({_WORDS})')
+        THEN CASE WHEN starts_with(aft, '-') THEN 'behind a hyphen ' ELSE '' END || 'the word ''' || regexp_extract(aft, '^-?({_WORDS})', 1) || ''' comes straight after it'
+        WHEN regexp_matches(bef, '({_WORDS})-?$')
+        THEN CASE WHEN ends_with(bef, '-') THEN 'behind a hyphen ' ELSE '' END || 'the word ''' || regexp_extract(bef, '({_WORDS})-?$', 1) || ''' comes straight before it'
+        ELSE 'a hyphen sets it apart' END
+      ELSE 'distance ' || distance || ' to ''' || brand || ''', by ' || method END AS detail
+  FROM hits JOIN n USING (label, tld) LEFT JOIN beside USING (label, tld, brand)
+  LEFT JOIN kslips USING (brand, label)),
+said AS (
+  SELECT label, tld, r / 0.65 AS randomness, printf('%.2f bits a character, %d consonants in a row, %.2f vowels',
+           round(entropy, 2), coalesce(max_consonant_run, 0)::INTEGER, round(vowel_ratio, 2)) AS sentence
+  FROM lex JOIN three USING (label, tld))"""
+
+ORACLES |= {
+    "signal_texts": ZONE + ALL_LABELS + HITS + LEXICAL + DETAILS + """
+SELECT label, tld, method AS signal, brand, 'squats on ''' || brand || ''' (' || method || ')' AS reason, detail FROM d
+UNION ALL SELECT label, tld, 'randomness', NULL, printf('looks random: %.2f', round(randomness, 2)), sentence FROM said WHERE randomness > 0""",
+    "match_signals": ZONE + EVENT_LABELS + HITS + LEXICAL + DETAILS + """
+SELECT label || '.' || tld AS name, method, brand, distance, detail, label, length, round_even(entropy, 4)::DOUBLE AS entropy, hyphen_count, is_idn,
+       CASE WHEN randomness > 0 THEN round(randomness, 6) END AS randomness, CASE WHEN randomness > 0 THEN sentence END AS sentence
+FROM d JOIN lex USING (label, tld) JOIN said USING (label, tld)""",
+}
+
 #: Of the queries on the whole zone.
 WHOLE_ORACLES: dict[str, str] = {
     "whole_display_names": whole(ZONE + "\nSELECT name, reads AS display, regexp_matches(reads, '[^\\x00-\\x7F]') AS is_homograph FROM z WHERE staged"),

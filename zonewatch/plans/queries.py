@@ -302,6 +302,13 @@ def assess_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("signals").alias("n_signals"))
 
 
+def signal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every signal of every label says."""
+    found = scoring.assess(wordzone.labels(spark, sf_dir).select("label", "tld"), _watchlist())
+    return found.select("label", "tld", F.explode("signals").alias("s")).select(
+        "label", "tld", F.col("s.name").alias("signal"), "s.brand", "s.reason", "s.detail")
+
+
 ALL = diff.EVENT_TYPES
 SHORT = rules.RegexRule("short", "Three to seven letters", r"^[a-z]{3,7}\.ch$", (diff.ADDED, diff.REMOVED))
 TEXT = rules.RegexRule("text", "A brand's text anywhere", r"(thanedble|orantion|coop)", ALL)
@@ -329,6 +336,17 @@ def rule_typo_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "name", "event_type", "rule_name", "matched_value", "method", "brand", _three("score"))
 
 
+def match_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signals that matches carry as JSON, read back."""
+    schema = ("method string, brand string, distance int, detail string, "
+              "lexical struct<label: string, length: int, entropy: double, hyphen_count: int, is_idn: boolean>, "
+              "lexical_signals array<struct<name: string, weight: double, detail: string>>")
+    found = rules.evaluate(_events(spark, sf_dir), [_typo_rule()]).select("name", F.from_json("signals", schema).alias("j"))
+    own = F.get("j.lexical_signals", F.lit(0))
+    return found.select("name", "j.method", "j.brand", "j.distance", "j.detail", "j.lexical.*",
+                        F.round(own["weight"], 6).alias("randomness"), own["detail"].alias("sentence"))
+
+
 def rule_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     state, _ = wordzone.zone(spark, sf_dir)
     return rules.backfill(state, _rules(), _at(), 7).select("name", "event_type", "rule_name", "matched_value", "method", "brand")
@@ -426,7 +444,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Further operators, each with SQL too.
 QUERIES |= {f.__name__: f for f in (
     zone_text_awkward, name_parts, zone_rejected, snapshot_stats, due_tlds, zone_baseline, lexical_rounded, ngram_merged, ngram_from_labels, ngram_updated,
-    word_skeletons, squat_typo_two, squat_many_two, analyse_names, assess_signals, backfill_one, backfill_updated, rule_many_patterns, rule_patterns, match_lines)}
+    word_skeletons, signal_texts, match_signals, squat_typo_two, squat_many_two, analyse_names, assess_signals, backfill_one, backfill_updated, rule_many_patterns, rule_patterns, match_lines)}
 
 
 def _of_whole(query):

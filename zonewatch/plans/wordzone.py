@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import normalise
+from ..sources.scratch import new_folder
 
 #: Words of the documents that serve as brands.
 BRANDS = ("thanedble", "orantion", "thintion", "onbleea", "thshing", "teteber", "hetition", "thatin", "ononst", "coop")
@@ -33,6 +34,19 @@ class Whole(str):
     On a plain path the same words and pairs are labels as they are written."""
 
 
+class Prepared(str):
+    """A folder of tables whose labels were written beforehand, so that only what is done with them is timed."""
+
+    written: str
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> Prepared:
+        out = cls(sf_dir)
+        out.written = new_folder(spark, "labels")
+        labels(spark, sf_dir).write.parquet(out.written)
+        return out
+
+
 def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(label, source): all words of 3 to 63 letters and digits, in any script, and all hyphenated pairs."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", F.coalesce("source", F.lit("")).alias("source"))
@@ -45,6 +59,8 @@ def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(label, tld, known, in_zone, staged), a row a label, with the squats: all in today's snapshot, the hyphenated known."""
+    if isinstance(sf_dir, Prepared):
+        return spark.read.parquet(sf_dir.written)
     found = (label_rows(spark, sf_dir).groupBy("label")
              .agg(F.bool_or(F.col("source") != "src9").alias("known"),
                   F.bool_or(~F.col("source").isin("src8", "src9")).alias("in_zone"),
