@@ -434,3 +434,38 @@ def test_letters_beyond_two_planes():
     assert list(langid._buckets("\U00020000\U0002A6D6\U00031350", letters, 1 << 16, 3))
     assert not list(langid._buckets("\U0003FFFF\U000F0000\U0010FFFF \U0001F600", letters, 1 << 16, 3))
     assert toxicity._classes()[[0x20000, 0x31350, 0x3FFFF]].tolist() == [1, 1, 4]
+
+
+# memory of workers that live on
+
+def test_workers_give_their_memory_back():
+    import re
+    from pathlib import Path
+
+    from zonewatch.llm.common import lean
+
+    def mb():
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+    kept = []
+
+    def run(batches):
+        for n in batches:
+            held = [bytes(1000) for _ in range(n)]
+            kept.append(bytes(1000))  # above the others, so that the heap doesn't shrink by itself
+            yield mb()
+            del held
+
+    before, peak = mb(), max(lean(run)([200_000]))
+    assert peak > before + 150
+    assert mb() < before + 50
+
+
+def test_small_tables_start_no_workers(spark):
+    from zonewatch.llm.common import ranked, small
+
+    rows = [(2**40, "ä", None), (None, "", 1.5)]
+    out = small(spark, rows, "a long, b string, c double")
+    assert out.collect() == rows and out.dtypes == [("a", "bigint"), ("b", "string"), ("c", "double")]
+    assert small(spark, [], "a long, b string").collect() == []
+    assert "ExistingRDD" not in ranked(spark.range(50), "id")._jdf.queryExecution().toString()

@@ -42,7 +42,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate, components, hot_keys, lookup, pieces, ranked, save
+from .common import annotate, components, hot_keys, lean, lookup, pieces, ranked, save
 
 TREES, FIRST = 32, 4
 #: Prefix lengths at which a crowded region's parts have hubs, and those that lead on to a hub.
@@ -207,7 +207,7 @@ def _sorted_neighbours(orders: DataFrame, whole: int, near: int) -> DataFrame:
     again = rows.where(F.col("rank") % RUN >= RUN - reach).withColumn("run", F.col("run") + 1)
     runs = rows.withColumn("own", F.lit(True)).unionByName(again.withColumn("own", F.lit(False)))
     return (runs.repartition(F.col("run")).sortWithinPartitions("run", "rank").select("run", "rank", "own", "k", "turned", "node", "n")
-            .mapInPandas(_neighbours(whole, near), "a long, b long, depth int"))
+            .mapInPandas(lean(_neighbours(whole, near)), "a long, b long, depth int"))
 
 
 def _hubs(crowded: DataFrame, whole: int) -> DataFrame:
@@ -238,7 +238,7 @@ def _candidates(forest: DataFrame, classes: DataFrame, whole: int, near: int) ->
     places = forest.join(sizes, "k").groupBy("node").agg(F.collect_list(F.struct("tree", "k", "n")).alias("l"))  # a tree at most once
     places = places.select("node", *(F.transform("l", lambda x: x[c]).alias(c) for c in ("tree", "k", "n")))
     orders = save(places.join(classes.select("node", "sig"), "node").mapInPandas(
-        _order(whole), "k long, turned binary, node long, n long, keys array<long>"), "orders")
+        lean(_order(whole)), "k long, turned binary, node long, n long, keys array<long>"), "orders")
     pairs = _sorted_neighbours(orders, whole, near)
     crowded = orders.where(F.col("n") > whole)
     if not crowded.limit(1).count():
@@ -265,7 +265,7 @@ def _rarest(sets: DataFrame, percent: int) -> DataFrame:
     """(node, size, item, at): of every set the rarest items that a set like it shares one of, and their places in
     the set by rarity. Items of one set only come first and meet nothing, so they are counted but not returned."""
     sized = sets.select("node", F.expr("octet_length(items) div 8").alias("size"))
-    items = sets.mapInPandas(_items, "node long, item long")
+    items = sets.mapInPandas(lean(_items), "node long, item long")
     shared = items.groupBy("item").agg(F.count("*").alias("n")).where("n > 1")
     lists = items.join(shared, "item").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("l"))
     own = F.expr("size - size(l)")
@@ -353,7 +353,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = save(annotate(texts, ["id", "h"], "text", _sign(trees * FIRST, width), "n_shingles long, node long, sig binary"), "signatures")
     # a class goes by one of its rows: the smallest id, or where all ids are null the hash of a text
     classes = save(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.min("h").alias("h"), F.first("sig").alias("sig")), "classes")
-    forest = classes.select("node", "sig").mapInPandas(_plant(trees), "node long, tree int, k long")
+    forest = classes.select("node", "sig").mapInPandas(lean(_plant(trees)), "node long, tree int, k long")
     proposed, crowded = _candidates(forest, classes, whole, near)
     pairs = save(proposed.groupBy("a", "b").agg(F.sum("depth").alias("depth")), "candidates")
 
@@ -365,17 +365,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unnamed = (texts.where("id IS NULL").join(sized(wanted.where("id IS NULL").select("node", "h")), "h")
                .groupBy("node").agg(F.first("text").alias("text")))
     # a repeated id gives a set twice, and then a confirmed pair twice, which is one link
-    sets = save(named.unionByName(unnamed).mapInPandas(_sets(width), "node long, items binary"), "sets")
+    sets = save(named.unionByName(unnamed).mapInPandas(lean(_sets(width)), "node long, items binary"), "sets")
 
     def confirmed(some: DataFrame) -> DataFrame:
-        return save(_with(some, sets, "items").select("a", "b", "x", "y").mapInPandas(_confirm(percent), "a long, b long"), "confirmed")
+        return save(_with(some, sets, "items").select("a", "b", "x", "y").mapInPandas(lean(_confirm(percent)), "a long, b long"), "confirmed")
 
     ends = pairs.union(pairs.select("b", "a", "depth"))
     best = save(ends.groupBy("a").agg(F.max_by("b", F.struct("depth", "b")).alias("b"))
                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "best")
     found = components(confirmed(best))
     other = _ends(pairs.join(best, ["a", "b"], "left_anti").select("a", "b"), found).where("ca <> cb").select("a", "b")
-    likely = _with(other, classes, "sig").select("a", "b", "x", "y").mapInPandas(_agree(least), "a long, b long")
+    likely = _with(other, classes, "sig").select("a", "b", "x", "y").mapInPandas(lean(_agree(least)), "a long, b long")
     more = confirmed(likely)
     if more.limit(1).count():
         found = _merged(found, more)
