@@ -40,6 +40,27 @@ def test_bytes_round_trip(docs, chunk, overlap):
     assert got == sorted(((i, enc.encode_ordinary(t or ""), (t or "").encode()) for i, t in pairs(docs)), key=key)
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_bytes_only_chunks_that_do_not_meet_are_written_again(spark, monkeypatch, most):
+    written, save = [], bytebpe.save
+
+    def counted(df, label, *sort):
+        out = save(df, label, *sort)
+        if label == "chunks":
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(bytebpe, "save", counted)
+    monkeypatch.setattr(bytebpe, "BROADCAST_CHUNKS", most, raising=False)
+    texts = [" ".join(f"word{i * j}" for j in range(60)) for i in range(20)]
+    texts.append("a few words before " * 6 + "x" * 150 + " and some after" * 9)
+    enc = bytebpe.load_encoding(BYTES, P.PATTERN)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = bytebpe.encode(rows, BYTES, P.PATTERN, chunk=64, overlap=16).collect()
+    assert {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in out} == {i: enc.encode_ordinary(t) for i, t in enumerate(texts)}
+    assert len(written) > 1 and written[0] > 100 and sum(written[1:]) < 10
+
+
 def test_bytes_empty(spark):
     assert bytebpe.encode(empty(spark), BYTES, P.PATTERN).count() == 0
 

@@ -6,7 +6,8 @@ the overlap they stay together from there on, so that place is a boundary of the
 chunk then encodes the piece between its two meeting places; the pieces' ids, in order, are the
 ids of the whole text. Where no boundary meets (an unbroken run longer than the overlap), the two
 chunks become one and are pre-tokenised again, until it meets the next one behind the run: exact,
-and only as much is joined as the run is long.
+and only as much is joined as the run is long. Only the boundaries are put in order and compared; a
+chunk's text is shuffled and written once, and again only when it is joined.
 
 Null and empty texts give no ids. Repeated rows are encoded each by itself: rows are told apart
 by a row number, never by their id, which may be any column. An empty table gives no rows; other
@@ -25,6 +26,9 @@ from .common import annotate, save
 CHUNK = 32_768
 OVERLAP = 512
 
+#: So many chunks' places are broadcast to their texts.
+BROADCAST_CHUNKS = 500_000
+
 
 def load_encoding(path: str, pattern: str):
     """A tiktoken encoding of a rank file, without special tokens."""
@@ -76,31 +80,45 @@ def _ids(path: str, pattern: str):
     return start
 
 
-def _met(cut: DataFrame, pattern: str, overlap: int) -> DataFrame:
-    """The chunks (id, row, chunk, start, body) with `begin`, where each takes over from the one before;
-    chunks that don't meet are joined until all do."""
+def _beside(chunks: DataFrame, of: DataFrame) -> DataFrame:
+    """The chunks that `of` names by (row, chunk, round), with its columns. As many rows as BROADCAST_CHUNKS
+    are broadcast, so that the chunks' texts aren't shuffled; more are joined by a shuffle."""
+    few = of.limit(BROADCAST_CHUNKS + 1).count() <= BROADCAST_CHUNKS
+    return chunks.join(F.broadcast(of) if few else of, ["row", "chunk", "round"])
+
+
+def _met(cut: DataFrame, pattern: str, overlap: int) -> tuple[DataFrame, DataFrame]:
+    """The chunks (id, row, chunk, round, start, body), and (row, chunk, round, start, begin) of those that
+    count: where each takes over from the one before. Chunks that don't meet are joined until all do, as
+    chunks of another round; the others' texts stay where they were written."""
     keep = ["id", "row", "chunk", "start", "body"]
 
-    def scan(df: DataFrame) -> DataFrame:
-        return annotate(df, keep, "body", _boundaries(pattern, overlap), "head array<bigint>, tail array<bigint>")
+    def scan(df: DataFrame, number: int) -> DataFrame:
+        found = annotate(df, keep, "body", _boundaries(pattern, overlap), "head array<bigint>, tail array<bigint>")
+        return save(found.withColumn("round", F.lit(number)), "chunks")
 
     inside = Window.partitionBy("row").orderBy("chunk")
     whole = F.expr("transform(tail, e -> e + start)")
     first = F.array_min(F.array_intersect(F.expr("transform(head, e -> e + start)"), F.lag(whole).over(inside)))
-    chunks = save(scan(cut), "chunks")
+    ends, number = ["row", "chunk", "round", "start", "head", "tail"], 0
+    chunks = scan(cut, number)
+    current = chunks.select(*ends)
     while True:
-        met = chunks.withColumn("begin", F.when(F.row_number().over(inside) == 1, F.lit(0).cast("long")).otherwise(first))
+        met = save(current.withColumn("begin", F.when(F.row_number().over(inside) == 1, F.lit(0).cast("long")).otherwise(first)), "met")
         if not met.where("begin IS NULL").limit(1).count():
-            return met
+            return chunks, met.select("row", "chunk", "round", "start", "begin")
         part = met.withColumn("part", F.count("begin").over(inside)).withColumn("next", F.lead("start").over(inside))
-        sizes = Window.partitionBy("row", "part")
-        part = part.withColumn("alone", F.count("*").over(sizes) == 1)
+        part = save(part.withColumn("alone", F.count("*").over(Window.partitionBy("row", "part")) == 1), "parts")
         # all but the last of those joined without what they share with the next
         of = F.array_sort(F.collect_list(F.struct("chunk", "start", "next", "body")))
         text = F.expr("array_join(transform(l, (x, i) -> if(i = size(l) - 1, x.body, substring(x.body, 1, int(x.next - x.start)))), '')")
-        joined = part.where("NOT alone").groupBy("row", "part").agg(F.first("id").alias("id"), of.alias("l")).select(
+        apart = _beside(chunks, part.where("NOT alone").select("row", "chunk", "round", "part", "next"))
+        joined = apart.groupBy("row", "part").agg(F.first("id").alias("id"), of.alias("l")).select(
             "id", "row", F.expr("l[0].chunk").alias("chunk"), F.expr("l[0].start").alias("start"), text.alias("body"))
-        chunks = save(part.where("alone").select(*keep, "head", "tail").unionByName(scan(joined)), "chunks")
+        number += 1
+        more = scan(joined, number)
+        chunks = chunks.unionByName(more)
+        current = part.where("alone").select(*ends).unionByName(more.select(*ends))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
@@ -111,9 +129,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     long = rows.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
     cut = annotate(long, ["id", "row"], "text", _cut(chunk, overlap), "chunk int, start bigint, body string", many=True)
-    met = _met(cut.repartition(F.col("row"), F.col("chunk")), pattern, overlap)
+    chunks, met = _met(cut.repartition(F.col("row"), F.col("chunk")), pattern, overlap)
     until = F.lead("begin").over(Window.partitionBy("row").orderBy("chunk"))
-    pieces = met.withColumn("until", until).select("id", "row", "chunk", F.expr(
+    pieces = _beside(chunks.select("id", "row", "chunk", "round", "body"), met.withColumn("until", until)).select("id", "row", "chunk", F.expr(
         "substring(body, int(begin - start) + 1, int(coalesce(until - begin, length(body))))").alias("text"))
     whole = (annotate(pieces, ["id", "row", "chunk"], "text", _ids(path, pattern), "ids binary")
              .groupBy("row").agg(F.first("id").alias("id"), F.expr("listagg(ids) WITHIN GROUP (ORDER BY chunk)").alias("ids")).select("id", "ids"))
