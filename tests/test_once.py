@@ -74,3 +74,15 @@ def test_written_labels_of_a_whole_zone(spark, sf_dir):
     once = wordzone.Prepared.of(spark, wordzone.Whole(sf_dir))
     assert isinstance(once, wordzone.Whole) and wordzone.Prepared.of(spark, once) is once
     assert wordzone.labels(spark, once).count() == wordzone.labels(spark, wordzone.Whole(sf_dir)).count()
+
+
+def test_pairs_that_cannot_be_within_the_distance_are_dropped_natively(spark):
+    import random
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(0, 7)))
+    pairs = [(word(), word()) for _ in range(4000)]
+    for most in (2, 3):
+        near = spark.createDataFrame(pairs, "a string, b string").select("a", "b", watchlist.maybe_within(F.col("a"), F.col("b"), most).alias("near")).collect()
+        within = [watchlist.osa(r["a"], r["b"], most) is not None for r in near]
+        assert all(r["near"] for r, x in zip(near, within) if x)
+        assert sum(r["near"] for r in near) < 1.5 * sum(within)
